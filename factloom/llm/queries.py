@@ -78,7 +78,7 @@ WITH RECURSIVE words AS (
 ), sets AS (
   SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []
     WHEN len(w) = 1 THEN [w[1]]
-    ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
   FROM words
 ), flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 common AS (

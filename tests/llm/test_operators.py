@@ -1,0 +1,389 @@
+"""Operators against brute force, with nulls, empty and long texts, repeats, ties, empty tables
+and extra columns."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.llm import chat, neardup, neighbours, packing, passages, quality, secrets, sentencepieces, sharding, toxicity
+
+SCHEMA = "doc_id long, text string, node long, key string, `group` string, place int"
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def frame(spark, texts):
+    """Documents with extra columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, -1, "x", "y", 0) for i, t in enumerate(texts)], SCHEMA)
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(n))
+
+
+def odd_texts():
+    rng = random.Random(4)
+    base = [words(rng, 60) for _ in range(6)]
+    out = [None, "", "  \n\t", "one", "one", "ONE two", "x" * 5000, words(rng, 20000)]
+    for b in base:
+        out += [b, b, b.upper()]
+        for k in (1, 2, 4, 8, 12):
+            w = b.split()
+            for _ in range(k):
+                w[rng.randrange(len(w))] = "z%d" % rng.randrange(9999)
+            out.append(" ".join(w))
+    return out
+
+
+def shingles(text, n):
+    w = WORD.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates_match_brute_force(spark, size):
+    texts = odd_texts()
+    sets = [shingles(t, size) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            u, v = sorted((find(a), find(b)))
+            root[v] = u
+    got = {r.doc_id: r for r in neardup.near_duplicates(frame(spark, texts), size).collect()}
+    assert [(got[i].n_shingles, got[i].component_id, got[i].kept) for i in range(len(texts))] == [(len(s), find(i), find(i) == i) for i, s in enumerate(sets)]
+
+
+def test_large_family_is_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FAMILY_BLOCK", 16)
+    rng = random.Random(9)
+    base = words(rng, 80).split()
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(80), rng.randint(1, 7)):
+            w[k] = "q%d" % (i * 100 + k)
+        texts.append(" ".join(w))
+    sets = [shingles(t, 2) for t in texts]
+    links = {(a, b) for a, b in itertools.combinations(range(150), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    label = list(range(150))
+    for _ in range(150):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(spark, texts), 2).collect()}
+    assert [got[i] for i in range(150)] == label
+
+
+def test_chunk_keys_hold_every_pair_within_reach():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 256, (200, neardup.SYMBOLS)).astype(np.uint8)
+    b = a.copy()
+    for i in range(200):
+        at = rng.choice(neardup.SYMBOLS, neardup.REACH, replace=False)
+        b[i, at] = rng.integers(0, 256, neardup.REACH)
+    x, y = neardup.chunk_keys(a), neardup.chunk_keys(b)
+    assert all(set(p) & set(q) for p, q in zip(x, y))
+
+
+def test_chat_round_trip(spark):
+    hard = ["\\### Assistant: </turn> ok", "", None, "</turn></turn>\n### </turn", "\\", "\\\\n", "a\nb", "### : ", "é😀"]
+    rows = [(c, t, ["user", "assistant", "a:b\\c", None][(c + t) % 4], hard[(c * 3 + t) % len(hard)], 1) for c in range(12) for t in range(6)]
+    rows += [(99, 0, "user", "same", 1), (99, 0, "user", "same", 1), (98, None, "assistant", "x", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
+    by = collections.defaultdict(list)
+    for c, t, r, x, _ in rows:
+        by[c].append((-1 if t is None else t, r or "", x or ""))
+    got = {r.conv_id: r for r in chat.conversation_digests(df).collect()}
+    assert got.keys() == by.keys()
+    for c, turns in by.items():
+        said = "".join(f"{r}\n{x}\n" for _, r, x in sorted(turns))
+        loss = "".join(x for _, r, x in sorted(turns) if r == "assistant")
+        g = got[c]
+        assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.conversation_digests(df.limit(0)).count() == 0
+
+
+def test_chat_loss_mask_marks_the_assistants_text(spark):
+    df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes ### </turn>"), (1, 2, "assistant", "no")], "conv_id long, turn long, role string, text string")
+    r = chat.format_rows(df).first()
+    assert [r.formatted[m.start : m.stop] for m in r.loss_mask] == ["yes ##\\# <\\/turn>", "no"]
+
+
+def test_chat_layouts(spark):
+    records = ['{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":null}]}', '{"completion":"c","prompt":"p"}', '{"instruction":"a","input":"b","output":"o"}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '{"x":1}', "{bad", None]
+    got = [r.turns and [tuple(t) for t in r.turns] for r in chat.turns_of_records(spark.createDataFrame([(r,) for r in records], "record string")).collect()]
+    assert got == [[("user", "hi"), ("assistant", "")], [("user", "p"), ("assistant", "c")], [("user", "a\n\nb"), ("assistant", "o")], [("user", "q"), ("assistant", "a")], None, None, None]
+
+
+def test_quality_counts_match_brute_force(spark):
+    texts = [*odd_texts(), "a b c a b c a b c", "# $ x\n\n y\nx\nx\n \n y", "a b 　 c"]
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(20)] + [(3, None, 1), (None, 1, 1)], "doc_id long, label int, text int")
+    got = {r.doc_id: r for r in quality.quality(frame(spark, texts), labels).collect()}
+    for i, t in enumerate(texts):
+        w = WORD.findall(t or "")
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        n = collections.Counter(grams)
+        covered = {k + d for k, g in enumerate(grams) if n[g] > 1 for d in range(3)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered))
+        g = got[i]
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == want
+        assert g.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (g.base_failed and g.kept)
+    assert quality.quality(frame(spark, texts).limit(0), labels).count() == 0
+    assert quality.quality(frame(spark, texts[-3:]), labels.limit(0)).count() == 3
+
+
+def test_quality_learns(spark):
+    rng = random.Random(2)
+    good = [words(rng, 80) for _ in range(150)]
+    bad = [" ".join(w.upper() + "!!" for w in words(rng, 80).split()) for _ in range(150)]
+    docs = frame(spark, good + bad)
+    labels = spark.createDataFrame([(i, int(i < 150)) for i in range(300) if i % 3], "doc_id long, label int")
+    kept = {r.doc_id: r.kept for r in quality.quality(docs, labels).collect()}
+    assert sum(kept[i] == (i < 150) for i in range(0, 300, 3)) >= 98
+
+
+def removed_by_brute_force(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    n = collections.Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if n[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        left = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((len(b), int(gone.sum()), int((np.diff(np.r_[0, gone]) == 1).sum()), hashlib.sha256(left).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("length", [10, 20])
+def test_repeated_passages_match_brute_force(spark, length):
+    rng = random.Random(3)
+    parts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(12)]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 5))) for _ in range(100)]
+    texts += [None, "", "é" * 30, "a" * 300, "xyz" * 50, "é" * 30]
+    got = [tuple(r)[1:] for r in sorted(passages.repeated_passages(frame(spark, texts), length).collect())]
+    assert got == removed_by_brute_force(texts, length)
+    assert passages.repeated_passages(frame(spark, texts).limit(0), length).count() == 0
+
+
+def test_repeated_passages_at_the_production_length(spark):
+    rng = random.Random(8)
+    shared = words(rng, 90)
+    texts = [words(rng, 40) + " " + shared[rng.randint(0, 80) :] + words(rng, 20) for _ in range(12)] + [words(rng, 200), shared[:199]]
+    got = [tuple(r)[1:] for r in sorted(passages.repeated_passages(frame(spark, texts), 200).collect())]
+    assert got == removed_by_brute_force(texts, 200)
+
+
+def test_sliding_argmin():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        x = rng.integers(0, rng.integers(2, 50), rng.integers(1, 60)).astype(np.uint64)
+        w = int(rng.integers(1, 12))
+        assert passages.sliding_argmin(x, w).tolist() == sorted({p + int(np.argmin(x[p : p + w])) for p in range(len(x) - w + 1)})
+
+
+def test_nearest_recall_and_ties(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(30, 16))
+    x = centre[rng.integers(0, 30, 3000)] + 0.3 * rng.normal(size=(3000, 16))
+    x[:700] = x[0]  # one vector, many times
+    rows = [(i, [float(np.float32(v)) for v in x[i]], 1) for i in range(3000)]
+    rows += [(5000, None, 1), (5100, [0.0] * 16, 1), (5200, [float("nan")] * 16, 1), (5300, [1.0, None], 1), (5400, [], 1), (None, [1.0] * 16, 1)]
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int"), shard_points=800).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    v = np.array([r[1] for r in rows[:3000]], np.float64)
+    hits = total = 0
+    assert set(got) == set(range(0, 3000, 100))
+    for q in got:
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        want = [i for i in np.lexsort((np.arange(3000), d)) if i != q][:10]
+        found = sorted(got[q])
+        assert [r for r, _, _ in found] == list(range(1, 11))
+        assert all(abs(s - d[i]) < 1e-12 for _, i, s in found)
+        hits += len({i for _, i, _ in found} & set(want))
+        total += 10
+        if q < 700:
+            assert [i for _, i, _ in found] == want
+    assert hits / total >= 0.9
+
+
+def test_nearest_of_few_and_none(spark):
+    few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0]), (2, [1.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(few).collect()] == [(0, 1, 1, 1.0)]
+    assert neighbours.nearest(few.limit(0)).count() == 0
+
+
+def test_sharding(spark):
+    texts = [*odd_texts(), None, "", *["same text"] * 40]
+    rows = sharding.shard(frame(spark, texts), 5).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    by = collections.defaultdict(list)
+    home = collections.defaultdict(set)
+    for r in rows:
+        t = texts[r.doc_id]
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "bytes", None)
+        by[r["shard"]].append(r.slot)
+        home[t].add(r["shard"])
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert all(len(s) == 1 for s in home.values())
+    assert sharding.shard(frame(spark, []), 5).count() == 0
+
+
+def test_longest_first_is_the_heap(spark):
+    rng = random.Random(1)
+    for _ in range(40):
+        n = rng.randint(1, 6)
+        sizes = [(s, rng.randint(1, 50)) for s in rng.sample(range(1, 100), 8)]
+        loads, want = [0] * n, {}
+        for size, count in sorted(sizes, reverse=True):
+            dealt = collections.Counter()
+            for _ in range(count):
+                i = min(range(n), key=lambda k: (loads[k], k))
+                loads[i] += size
+                dealt[i] += 1
+            want[size] = sorted(dealt.items())
+        assert sharding.longest_first(sizes, n) == want
+
+
+def test_segments_match_brute_force():
+    rng = random.Random(1)
+
+    def brute(s):
+        out = []
+
+        def go(a, b):
+            best = None
+            for i in range(a, b):
+                total = 0.0
+                for j in range(i, b):
+                    total += s[j]
+                    if total > 1e-12 and (best is None or total > best[0] + 1e-9):
+                        best = (total, i, j + 1)
+            if best:
+                go(a, best[1])
+                out.append(best)
+                go(best[2], b)
+
+        go(0, len(s))
+        return [(round(x, 6), i, j) for x, i, j in out]
+
+    for _ in range(150):
+        s = np.array([rng.uniform(-1, 1) for _ in range(rng.randint(0, 15))])
+        assert [(round(x, 6), i, j) for x, i, j in toxicity.segments(s)] == brute(s)
+
+
+def test_toxicity_held_out(spark):
+    rng = random.Random(6)
+    nasty = ["vile", "scum", "rotten"]
+    texts, label = [], []
+    for i in range(600):
+        w = words(rng, 120).split()
+        label.append(int(i % 5 == 0))
+        if label[-1]:
+            k = rng.randrange(100)
+            for d in range(0, 9, 3):
+                w[k + d] = rng.choice(nasty)
+        texts.append(" ".join(w))
+    docs = frame(spark, [*texts, None, ""])
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(label) if i % 3], "doc_id long, label int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    held = range(0, 600, 3)
+    assert sum(got[i].predicted == label[i] for i in held) >= 0.98 * len(held)
+    assert got[600].predicted == got[601].predicted == 0
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+    assert {r.predicted for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}
+
+
+def test_secrets(spark):
+    forest = secrets.train()
+    sample = secrets.sample_findings(800, 77)
+    p = forest.predict(np.array([secrets.features(t, a, b) for t, a, b, _ in sample]))
+    assert np.mean((p >= 0.5) == np.array([y for *_, y in sample])) >= 0.97
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    block = "-----BEGIN RSA PRIVATE KEY-----\nMIIEabc123+/=\n-----END RSA PRIVATE KEY-----"
+    texts = [f'words token = "{key}" more', f"sha256 commit {key}", None, "", block, "no secret here", f"token = {key} and token = {key}", "é" * 3000 + f' token = "{key}"']
+    rows = secrets.scan(frame(spark, texts), forest).collect()
+    hits = collections.Counter(r.doc_id for r in rows if r.is_secret)
+    assert hits == {0: 1, 4: 1, 6: 2, 7: 1}
+    assert all(texts[r.doc_id].encode()[r.start : r.stop].decode() == r.value for r in rows)
+    clean = {r.doc_id: r.text for r in secrets.redact(frame(spark, texts), forest).collect()}
+    assert clean[0] == 'words token = "[SECRET]" more' and clean[2] is None and clean[1] == texts[1] and key not in clean[6] + clean[7]
+    assert secrets.scan(frame(spark, []), forest).count() == 0
+
+
+def test_minimum_bin_slack_is_fullest():
+    rng = random.Random(3)
+    for _ in range(100):
+        counts = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}
+        items = [k for k, n in counts.items() for _ in range(n)]
+        best = max(s for r in range(len(items) + 1) for c in itertools.combinations(items, r) if (s := sum(c)) <= 40)
+        bin_ = packing.fullest(counts, 40)
+        assert sum(k * n for k, n in bin_.items()) == best and all(n <= counts[k] for k, n in bin_.items())
+
+
+def test_packing(spark):
+    rng = random.Random(12)
+    texts = [*odd_texts(), *[words(rng, rng.randint(1, 600)) for _ in range(120)], "<|endoftext|> x", "漢字 \x0b   ¼", *["tiny"] * 50]
+    at = public_tokenizers.path
+    rows = packing.pack(frame(spark, texts), at("byte_bpe_50k.json"), at("byte_bpe_50k.tiktoken")).collect()
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(at("byte_bpe_50k.json"))
+    ids = [np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for t in texts]
+    bins, parts = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        bins[r.sequence_id].append((r.offset, r.length))
+        parts[r.doc_id].append((r.piece, r.start, r.length))
+    for spans in bins.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) <= 1024
+    for i, x in enumerate(ids):
+        p = sorted(parts[i])
+        assert [k for k, _, _ in p] == list(range(len(p))) and sum(n for *_, n in p) == len(x)
+        assert len(p) == -(-len(x) // 1024) and all(n == 1024 for *_, n in p[1:])
+    assert len(bins) <= -(-sum(map(len, ids)) // 1024) + 2
+    assert packing.pack(frame(spark, []), at("byte_bpe_50k.json")).count() == 0
+
+
+def test_sentencepiece_matches_the_library(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["", " ", "  a ", "a\n\nb", "a  b   c    d", " " * 40 + "x", "　x", "ﬁ 漢字 😀 \x00", "a▁b", "▁", "x" * 500, "== == ==", "é <s> </s> <unk> <0x41>", None, *odd_texts()]
+    docs = frame(spark, texts)
+    ids = {r.doc_id: r.ids for r in sentencepieces.encode(docs, path).collect()}
+    assert all(ids[i] == (None if t is None else library.encode(t)) for i, t in enumerate(texts))
+    back = {r.doc_id: r.text for r in sentencepieces.decode(sentencepieces.encode(docs, path), path).collect()}
+    assert all(back[i] == (None if t is None else library.decode(library.encode(t))) for i, t in enumerate(texts))
+    assert sentencepieces.encode(docs.limit(0), path).count() == 0
+
+
+def test_viterbi_finds_the_best_sum():
+    model = sentencepieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    words_ = ["▁the", "▁then", "▁unit", "▁wxyz"]
+    scores = dict(zip((model.pieces[i] for i in model.ids), model.value))
+    for w in words_:
+        points = np.array([[ord(c) for c in w]])
+        got = sum(model.scores[i] for i in model._viterbi(points)[0])
+        best = {0: 0.0}
+        for end in range(1, len(w) + 1):
+            best[end] = max((best[a] + scores[w[a:end]] for a in range(end) if a in best and w[a:end] in scores), default=-1e18)
+        assert got == best[len(w)]

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,10 +101,13 @@ def _survey(length: int):
 
 def _contexts(length: int):
     gram = length // 2
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int64()), ("lead", pa.int32()), ("bytes", pa.binary())])
+    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int64()), ("lead", pa.int32()), ("bytes", pa.binary()), ("stop", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal rows of a batch settle each other: one of them travels on with its bytes, each
+        leaves its range. So a passage that very many texts share is a row a batch, not a text."""
         for batch in batches:
+            seen: dict[tuple, list | None] = {}
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             wanted = batch.column(batch.schema.get_field_index("grams")).to_pylist()
             rows: list[tuple] = []
@@ -112,7 +116,15 @@ def _contexts(length: int):
                 keep = np.isin(h, np.array(grams, np.int64))
                 for i, g in zip(spots[keep].tolist(), h[keep].tolist(), strict=True):
                     begin = max(0, i - (length - gram))
-                    rows.append((g, doc, begin, i - begin, text[begin : i + length]))
+                    part = text[begin : i + length]
+                    same = g, i - begin, hashlib.blake2b(part, digest_size=16).digest()
+                    if same not in seen:
+                        seen[same] = [doc, begin]
+                        rows.append((g, doc, begin, i - begin, part, begin + len(part)))
+                        continue
+                    for d, b in ([seen[same]] if seen[same] else []) + [[doc, begin]]:
+                        rows.append(((d * 1_000_003 + b) & 0x7FFFFFFFFFFFFFFF, d, b, 0, None, b + len(part)))
+                    seen[same] = None
                 if len(rows) >= 4000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []
@@ -174,13 +186,18 @@ def _repeats(length: int):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
     def settle(tables: list[pa.Table]) -> pa.RecordBatch:
+        table = pa.concat_tables(tables)
+        told = table.filter(pa.compute.is_null(table.column("bytes")))
+        known = [told.column(c).to_numpy() for c in ("doc_id", "begin", "stop")]
+        tables = [t.filter(pa.compute.is_valid(t.column("bytes"))) for t in tables]
         table = pa.concat_tables(tables)
         group = np.repeat(np.arange(len(tables)), [t.num_rows for t in tables])
         lead = table.column("lead").to_numpy().astype(np.int64)
         first, last = insert_columns(group, table.column("bytes").to_pylist(), lead, length)
         hit = first >= 0
         base = table.column("begin").to_numpy() + lead - slack
-        return pa.RecordBatch.from_arrays([pa.array(table.column("doc_id").to_numpy()[hit]), pa.array((base + first)[hit]), pa.array((base + last)[hit] + length)], schema=schema)
+        found = [table.column("doc_id").to_numpy()[hit], (base + first)[hit], (base + last)[hit] + length]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(known, found, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -222,7 +239,8 @@ def repeated_passages(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
     kept_sha256 (of the bytes left, lowercase hex) and, on demand, kept_bytes (null where
     nothing was removed).
 
-    ``docs`` needs doc_id (long, unique, not null) and text; other columns are ignored. Null
+    ``docs`` needs doc_id (long, unique) and text; other columns are ignored; a row of null
+    doc_id loses bytes only where its whole text has a copy. Null
     text counts as empty. Every string is judged on the input. Texts shorter than ``length``
     bytes lose nothing; equal texts of that length or more lose everything, each copy alike.
     Bytes left need not be valid UTF-8. Very long texts are taken whole; empty tables give
@@ -240,7 +258,7 @@ def repeated_passages(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
     wanted = shared.groupBy("node").agg(F.collect_set("key").alias("grams"))
     active = materialize(docs.join(wanted, docs.doc_id == wanted.node).select("doc_id", "text", "grams"), "active")
 
-    rows = active.mapInArrow(_contexts(length), "gram long, doc_id long, begin long, lead int, bytes binary")
+    rows = active.mapInArrow(_contexts(length), "gram long, doc_id long, begin long, lead int, bytes binary, stop long")
     rows = rows.repartition("gram").sortWithinPartitions("gram")
     spans = rows.mapInArrow(_repeats(length), "doc_id long, start long, stop long")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

@@ -26,6 +26,21 @@ class Word:
     review_paint: bool = False
 
 
+def laid_out(said: str, start: int, words) -> str:
+    """The text with line breaks for the spaces between words on other rows, or between digits
+    at least one and a half heights apart; invalid geometry changes nothing."""
+    chars = list(said)
+    for a, b in zip(words, words[1:]):
+        at = a.stop - start
+        if not (0 <= at < len(chars)) or chars[at] != " " or not _sound((a, b)):
+            continue
+        shared = min(a.bottom, b.bottom) - max(a.top, b.top)
+        apart = b.x0 - a.x1 >= 1.5 * max(a.bottom - a.top, b.bottom - b.top)
+        if shared < min(a.bottom - a.top, b.bottom - b.top) / 2 or (apart and a.text[-1:].isdigit() and b.text[:1].isdigit()):
+            chars[at] = "\n"
+    return "".join(chars)
+
+
 @dataclass
 class Page:
     number: int
@@ -47,7 +62,9 @@ class Page:
     def tokens(self) -> list[tuple[int, int, numbers.Token]]:
         """Number tokens with their ranges in ``text``."""
         if self._tokens is None:
-            self._tokens = [(self.source[t.start], self.source[t.stop - 1] + 1, t) for t in numbers.tokens(self.plain)]
+            shown = laid_out(self.text, 0, self.words)
+            plain = "".join("\n" if c == " " and shown[at] == "\n" else c for c, at in zip(self.plain, self.source, strict=True))
+            self._tokens = [(self.source[t.start], self.source[t.stop - 1] + 1, t) for t in numbers.tokens(plain)]
         return self._tokens
 
     def touched(self, start: int, stop: int) -> list[Word]:

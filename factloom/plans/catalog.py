@@ -542,3 +542,42 @@ SELECT doc_id, sha256(trim(regexp_replace(translate(text, '""" + _PUNCT + "', '"
 def normalize_text(spark, sf_dir):
     text = F.trim(F.regexp_replace(F.translate("text", _PUNCT, _PLAIN), R.SPACE, " "))
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text, 256).alias("digest"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS doc_id, day(o_orderdate) AS d, month(o_orderdate) AS m FROM orders)
+SELECT doc_id, 'total' AS path, CASE WHEN doc_id % 2 = 0 THEN 'verified' ELSE 'needs_review' END AS status, CAST(CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS INTEGER) AS n_reasons FROM o
+UNION ALL SELECT doc_id, 'issue_date', CASE WHEN d > 12 OR d = m THEN 'verified' ELSE 'needs_review' END, CASE WHEN d > 12 OR d = m THEN 0 ELSE 1 END FROM o
+UNION ALL SELECT doc_id, 'po_number', 'unsupported', 1 FROM o""")
+def verify_fields(spark, sf_dir):
+    """Every order as a one-line document with three claims: a total, every other one a cent
+    off, its date and a number that no order shows."""
+    from factloom.operators.verify import verify
+
+    price = _money("o_totalprice")
+    said = F.concat(F.format_string("%,d", F.floor(price).cast("long")), F.lit("."), F.lpad(F.pmod((price * 100).cast("long"), F.lit(100)).cast("string"), 2, "0"))
+    on = F.date_format("o_orderdate", "dd/MM/yyyy")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), said.alias("said"), on.alias("on"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"), price.alias("price"))
+    words = R.page_words(orders.select("doc_id", F.concat_ws(" ", F.lit("Total"), "said", F.lit("dated"), "on").alias("text")))
+    words = words.select("doc_id", F.lit(1).alias("page"), "word_no", F.col("word").alias("text"), F.col("start").cast("double").alias("x0"), F.lit(0.0).alias("top"), F.col("stop").cast("double").alias("x1"), F.lit(10.0).alias("bottom"), F.lit(False).alias("review_paint"))
+    claim = lambda n, path, value, quote: F.struct(F.lit(n).alias("field_no"), F.lit(path).alias("path"), value.alias("value"), F.array(quote).alias("evidence"))
+    off = F.col("price") + F.when(F.col("doc_id") % 2 == 0, F.lit("0.00")).otherwise(F.lit("0.01")).cast("decimal(10,2)")
+    claims = orders.select("doc_id", F.explode(F.array(claim(0, "total", off.cast("string"), F.col("said")), claim(1, "issue_date", F.to_json(F.struct("iso")).substr(8, 12), F.col("on")), claim(2, "po_number", F.lit('"QQ"'), F.lit("purchase number QQ")))).alias("c"))
+    claims = claims.select("doc_id", "c.*", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("declared_kind"))
+    return verify(words, claims).select("doc_id", "path", "status", F.size("reasons").alias("n_reasons"))
+
+
+@query()
+def fuzzy_best_window(spark, sf_dir):
+    """The best window of each part's name, misspelt, in its type and name; tested on vectors."""
+    from factloom.functions.text import best_window
+
+    @F.pandas_udf("struct<score:double,start:int,stop:int>")
+    def window(quote, said):
+        import pandas as pd
+
+        return pd.DataFrame([best_window(q, s) for q, s in zip(quote, said, strict=True)], columns=["score", "start", "stop"])
+
+    part = table(spark, sf_dir, "part")
+    found = window(F.concat(F.substring("p_name", 1, 3), F.lit("x"), F.substring("p_name", 4, 200)), F.concat_ws(" ", "p_type", "p_name", "p_brand"))
+    return part.select("p_partkey", found.alias("w")).select("p_partkey", "w.*")

@@ -1,17 +1,21 @@
 """Verification of extracted fields against documents.
 
 ``verify_document`` judges the claims of one document: location, paint, strength, value, rows,
-columns. ``verify`` deals documents and claims by doc_id and applies it to each pair of groups;
+columns. ``verify`` gathers the words and the claims of each document and applies it row by row;
 a document's claims and pages are bounded by the limits of ``check_limits``.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from factloom.functions import numbers, text
 from factloom.operators import grounding as G
@@ -109,15 +113,11 @@ def row_prefix(path: str) -> str | None:
         elif c == '"':
             quoted = not quoted
         masked.append("_" if quoted or c == '"' else c)
-    import re
-
     m = re.match(r"(.*\[\d+\])\.", "".join(masked))
     return path[: m.end(1)] if m else None
 
 
 def hints_date(path: str) -> bool:
-    import re
-
     last = re.search(r'(?:\["((?:[^"\\]|\\.)*)"\]|([^.\[\]]+))(?:\[\d+\])*$', path)
     name = (last[1] or last[2]) if last else path
     parts = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", name)
@@ -340,21 +340,34 @@ def verify(words: DataFrame, claims: DataFrame, options: Options | None = None)
     without words are unsupported.
     """
     options = options or Options()
+    names = [p.split(" ")[0] for p in RESULT.split(", ")]
+    schema = pa.schema([("doc_id", pa.int64()), ("field_no", pa.int32()), ("path", pa.string()), ("status", pa.string()), ("reasons", pa.list_(pa.string())), ("notes", pa.list_(pa.string())), ("score", pa.float64()), ("found", pa.string()), ("page", pa.int32()), ("boxes", pa.list_(pa.list_(pa.float64()))), ("row_status", pa.string()), ("column_status", pa.string())])
 
-    def one(key: tuple, w: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    def one(doc: int, said: list[dict], told: list[dict]) -> list[tuple]:
         pages = []
-        for number, part in w.sort_values(["page", "word_no"]).groupby("page"):
+        for number, part in itertools.groupby(said or [], key=lambda x: x["page"]):
             at, made = 0, []
-            for x in part.itertuples():
-                made.append(G.Word(x.text, x.x0, x.top, x.x1, x.bottom, at, at + len(x.text), bool(x.review_paint)))
-                at += len(x.text) + 1
-            pages.append(G.Page(int(number), made))
-        c = c.sort_values("field_no")
-        told = [Claim(x.path, json.loads(x.value), list(x.evidence) if x.evidence is not None else [], None if pd.isna(x.page) else int(x.page), x.declared_kind) for x in c.itertuples()]
-        rows = [
-            (key[0], int(no), r.claim.path, r.status, r.reasons, r.notes, r.match.score if r.match else None, r.match.found if r.match else None, r.match.page if r.match else None, [list(map(float, b)) for b in G.line_boxes(r.match)] if r.match else [], r.row_status, r.column_status)
-            for no, r in zip(c["field_no"], verify_document(told, pages, options), strict=True)
+            for x in part:
+                made.append(G.Word(x["text"], x["x0"], x["top"], x["x1"], x["bottom"], at, at + len(x["text"]), bool(x["review_paint"])))
+                at += len(x["text"]) + 1
+            pages.append(G.Page(number, made))
+        if pages:
+            check_limits(pages)
+        asked = [Claim(x["path"], json.loads(x["value"]), x["evidence"] or [], x["page"], x["declared_kind"]) for x in told]
+        return [
+            (doc, x["field_no"], r.claim.path, r.status, r.reasons, r.notes, r.match.score if r.match else None, r.match.found if r.match else None, r.match.page if r.match else None, [list(map(float, b)) for b in G.line_boxes(r.match)] if r.match else [], r.row_status, r.column_status)
+            for x, r in zip(told, verify_document(asked, pages, options), strict=True)
         ]
-        return pd.DataFrame(rows, columns=[p.split()[0] for p in RESULT.split(", ")])
 
-    return claims.groupBy("doc_id").cogroup(words.groupBy("doc_id")).applyInPandas(lambda key, c, w: one(key, w, c), RESULT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [r for x in batch.to_pylist() for r in one(x["doc_id"], x["w"], x["c"])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    assert names == schema.names
+    w = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "word_no", "text", "x0", "top", "x1", "bottom", "review_paint"))).alias("w"))
+    c = claims.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("field_no", "path", "value", "evidence", "page", "declared_kind"))).alias("c"))
+    both = c.join(w, "doc_id", "left").select("doc_id", "w", "c")
+    # documents are small rows but much work: adaptive execution must not put them together
+    return both.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, RESULT)

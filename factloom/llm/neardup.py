@@ -18,8 +18,9 @@ threshold; the groups are the connected components of the links.
    that hold every pair within reach.
 4. Kernel B takes a family's full texts and counts shared shingles exactly through an
    inverted index, again emitting a spanning forest, now of true links. Families beyond
-   ``FAMILY_BLOCK`` are dealt in blocks: first each block with the family's first rows, then,
-   where several components remain, the rows outside the largest one against all blocks.
+   ``FAMILY_BLOCK`` rows or ``FAMILY_SHINGLES`` shingles are dealt by hash in as many blocks
+   of half that as they need: first each block with some heads of the family, then, where
+   several components remain, the rows outside the largest one against all blocks.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factloom.llm.bytesops import U64, Words, binary_column, blocks, mix64
 from factloom.llm.components import connected_components
@@ -38,8 +38,8 @@ from factloom.llm.storage import bound_batches, materialize
 
 SYMBOLS, CHUNKS, WIDTH = 100, 20, 5
 REACH = 2 * CHUNKS - 1
-#: Rows of one key, and of one family, that a single task takes together.
-KEY_BLOCK, FAMILY_BLOCK, HEADS = 1 << 16, 1024, 16
+#: Rows of one key, and rows and shingles of one family, that a single task takes together.
+KEY_BLOCK, FAMILY_BLOCK, FAMILY_SHINGLES, HEADS = 1 << 16, 1024, 1 << 20, 16
 
 _RNG = np.random.default_rng(77)
 _XOR = _RNG.integers(0, 2**63, SYMBOLS).astype(U64)
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(docs.mapInArrow(_signatures(shingle_words), "doc_id long, n_shingles long, print binary, sig binary"), "signatures")
-    classes = materialize(signed.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "classes")
+    classes = materialize(signed.where("print is not null and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
 
     keys = classes.select("node", "sig").mapInArrow(_emit_keys, "key long, node long")
     keys = keys.repartition("key").sortWithinPartitions("key", "node")
@@ -279,9 +279,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     forest = placed.repartition("key", "unit").sortWithinPartitions("key", "unit", "node").mapInArrow(_family_edges, "a long, b long")
     family = materialize(connected_components(forest), "families").select("node", F.col("component").alias("family"))
 
-    placed = family.select("*", (F.row_number().over(Window.partitionBy("family", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy("node"))).alias("rn"))
-    sizes = family.groupBy("family").agg(F.count("*").alias("members"))
-    placed = placed.join(sizes, "family").select("family", "node", "members", F.when(F.col("members") <= FAMILY_BLOCK, 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.lit(64)) + 64 * F.floor((F.col("rn") - 1) / (FAMILY_BLOCK // 2))).cast("long").alias("block"))
+    family = materialize(family.join(classes.select("node", "n_shingles"), "node"), "members")
+    half = F.greatest(F.count("*") / (FAMILY_BLOCK // 2), F.sum("n_shingles") / (FAMILY_SHINGLES // 2))
+    sizes = family.groupBy("family").agg(F.ceil(half).alias("blocks"))
+    block = F.when(F.col("blocks") <= 2, 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("long")
+    placed = family.join(sizes, "family").select("family", "node", block.alias("block"))
     placed = materialize(placed, "blocks")
     texts = placed.select("node").join(docs, placed.node == docs.doc_id).select("node", "text")
     texts = materialize(texts, "family-texts")
@@ -292,7 +294,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         return rows.mapInArrow(_true_edges(shingle_words, percent), "a long, b long")
 
     no = F.lit(0).cast("long")
-    heads = placed.where("members > %d" % FAMILY_BLOCK).groupBy("family").agg(F.expr(f"slice(array_sort(collect_set(case when block % 64 = 1 and node is not null then node end)), 1, {HEADS})").alias("heads"))
+    heads = placed.where("block > 0").groupBy("family").agg(F.expr(f"slice(array_sort(collect_set(case when block = 1 then node end)), 1, {HEADS})").alias("heads"))
     split = placed.where("block > 0").select("family", "block").distinct().join(heads, "family").select("family", F.explode("heads").alias("node"), "block")
     first = placed.select("family", "node", "block").unionByName(split).distinct().select("family", "block", no.alias("other"), "node", F.col("node").alias("known"), F.lit(True).alias("asks"))
     links = materialize(linked(first), "links")

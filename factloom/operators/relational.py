@@ -185,3 +185,30 @@ def compare_runs(before: DataFrame, after: DataFrame, keys: list[str], status: s
     was = F.when(F.col("_in_before"), F.coalesce("_before", F.lit("null"))).otherwise("absent")
     now = F.when(F.col("_in_after"), F.coalesce("_after", F.lit("null"))).otherwise("absent")
     return both.groupBy(was.alias("was"), now.alias("now")).agg(F.count("*").alias("n"))
+
+
+def combined_paint(words: DataFrame, key: str, state: str) -> DataFrame:
+    """One paint state per key from those of its characters: unavailable, then no_contribution,
+    then ambiguous_overlap if any has it; contributes only if all do, else null."""
+    is_ = [F.coalesce(F.bool_or(F.col(state) == s), F.lit(False)).alias(s) for s in ("unavailable", "no_contribution", "ambiguous_overlap")]
+    found = words.groupBy(key).agg(*is_, F.bool_and(F.coalesce(F.col(state) == "contributes", F.lit(False))).alias("contributes"))
+    first = F.when(F.col("unavailable"), "unavailable").when(F.col("no_contribution"), "no_contribution")
+    return found.select(key, first.when(F.col("ambiguous_overlap"), "ambiguous_overlap").when(F.col("contributes"), "contributes").alias("paint_state"))
+
+
+def capacity(docs: DataFrame, key: str, max_count: int, max_bytes: int, max_words: int) -> DataFrame:
+    """Documents, UTF-8 bytes and words a key holds, and whether another would be refused."""
+    words = F.size(F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+    held = docs.groupBy(key).agg(
+        F.count("*").alias("n_documents"),
+        F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n_bytes"),
+        F.coalesce(F.sum(F.when(F.col("text").isNotNull(), words)), F.lit(0)).alias("n_words"),
+    )
+    full = (F.col("n_documents") >= max_count) | (F.col("n_bytes") >= max_bytes) | (F.col("n_words") >= max_words)
+    return held.withColumn("is_full", full)
+
+
+def seen_in_other_half(rows: DataFrame, name: str, in_first: Column) -> DataFrame:
+    """One row: distinct names of each half, and how many of the second stand in the first too."""
+    halves = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.bool_or(in_first).alias("a"), F.bool_or(~in_first).alias("b"))
+    return halves.agg(F.count_if("a").alias("n_first"), F.count_if("b").alias("n_second"), F.count_if(F.col("a") & F.col("b")).alias("n_both"))

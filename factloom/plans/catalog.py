@@ -581,3 +581,41 @@ def fuzzy_best_window(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     found = window(F.concat(F.substring("p_name", 1, 3), F.lit("x"), F.substring("p_name", 4, 200)), F.concat_ws(" ", "p_type", "p_name", "p_brand"))
     return part.select("p_partkey", found.alias("w")).select("p_partkey", "w.*")
+
+
+# ---------------------------------------------------------------- paint, capacity, halves
+
+_PAINT = {0: "unavailable", 1: "no_contribution", 2: "ambiguous_overlap", 3: None}
+
+
+@query("""
+WITH w AS (SELECT l_orderkey, CASE l_partkey % 23 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'no_contribution'
+  WHEN 2 THEN 'ambiguous_overlap' WHEN 3 THEN NULL ELSE 'contributes' END AS state FROM lineitem)
+SELECT l_orderkey, CASE WHEN count(*) FILTER (state = 'unavailable') > 0 THEN 'unavailable'
+  WHEN count(*) FILTER (state = 'no_contribution') > 0 THEN 'no_contribution'
+  WHEN count(*) FILTER (state = 'ambiguous_overlap') > 0 THEN 'ambiguous_overlap'
+  WHEN count(*) FILTER (state = 'contributes') = count(*) THEN 'contributes' END AS paint_state
+FROM w GROUP BY 1""")
+def paint_state(spark, sf_dir):
+    part = F.col("l_partkey") % 23
+    state = F.when(F.coalesce(~part.isin(*_PAINT), F.lit(True)), "contributes")
+    for remainder, name in _PAINT.items():
+        state = state.when(part == remainder, name)
+    return R.combined_paint(table(spark, sf_dir, "lineitem").select("l_orderkey", state.alias("state")), "l_orderkey", "state")
+
+
+@query(r"""
+SELECT source, count(*) AS n_documents, CAST(coalesce(sum(octet_length(encode(text))), 0) AS BIGINT) AS n_bytes,
+  CAST(coalesce(sum(len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))), 0) AS BIGINT) AS n_words,
+  count(*) >= 200 OR coalesce(sum(octet_length(encode(text))), 0) >= 1000000
+    OR coalesce(sum(len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))), 0) >= 100000 AS is_full
+FROM documents GROUP BY 1""")
+def session_capacity(spark, sf_dir):
+    return R.capacity(table(spark, sf_dir, "documents"), "source", 200, 1_000_000, 100_000)
+
+
+@query("""
+WITH h AS (SELECT l_suppkey, bool_or(l_orderkey % 2 = 0) AS a, bool_or(l_orderkey % 2 <> 0) AS b FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1)
+SELECT count(*) FILTER (a) AS n_first, count(*) FILTER (b) AS n_second, count(*) FILTER (a AND b) AS n_both FROM h""")
+def companies_in_both_halves(spark, sf_dir):
+    return R.seen_in_other_half(table(spark, sf_dir, "lineitem"), "l_suppkey", F.col("l_orderkey") % 2 == 0)

@@ -19,6 +19,11 @@ Burrows-Wheeler transform; since equal windows stand in equal columns, the segme
 round is compared within itself only, which makes the work linear in the text. Columns and
 the (order, common prefix) segments go through sequential temporary files, so a round holds a
 few words per row. A window is repeated if a neighbour shares ``length`` symbols with it.
+
+*Hot grams.* Grams are counted with map-side combination. One that more than ``HOT_ROWS`` texts
+hold would make a group too large for a task, so its windows are counted one by one instead, by
+their 128-bit digests: equal windows of a batch settle each other and send one row, so a passage
+costs a row a batch however many texts share it, and no group meets anywhere. Also exact.
 """
 
 from __future__ import annotations
@@ -32,13 +37,18 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.llm.bytesops import binary_column, blocks, prefix_hash, span_hash
-from factloom.llm.neardup import _grouped, _shared_keys
+from factloom.llm.neardup import _grouped
 from factloom.llm.storage import bound_batches, materialize
 
 #: Rows that one pass of the construction takes together, over as many grams as that holds.
 PASS_ROWS = 8192
+#: Texts that share a gram beyond which its windows are counted by digest.
+HOT_ROWS = 1 << 16
+#: Digests that a batch holds at a time.
+HELD_WINDOWS = 200_000
 _PAD = 0xFF  # never a byte of UTF-8
 
 
@@ -134,6 +144,55 @@ def _contexts(length: int):
     return run
 
 
+def runs(starts: list[int]) -> list[tuple[int, int]]:
+    """(first, last) of the maximal runs of consecutive numbers."""
+    x = np.unique(np.array(starts, np.int64))
+    cut = np.flatnonzero(np.diff(x) > 1)
+    return list(zip(x[np.r_[0, cut + 1]].tolist(), x[np.r_[cut, len(x) - 1]].tolist(), strict=True)) if len(x) else []
+
+
+def _windows(length: int):
+    gram = length // 2
+    schema = pa.schema([("window", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+
+    def rows(seen: dict[bytes, tuple[int, int]], told: dict[int, list[int]]) -> pa.RecordBatch:
+        out = [(w, d, a, a + length) for w, (d, a) in seen.items()]
+        out += [(None, d, a, b + length) for d, starts in told.items() for a, b in runs(starts)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows that hold a hot gram: the first of equal ones travels by its digest; where
+        there are more, all of them are told."""
+        for batch in batches:
+            seen: dict[bytes, tuple[int, int]] = {}
+            told: dict[int, list[int]] = {}
+            n = 0
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            hot = batch.column(batch.schema.get_field_index("hot")).to_pylist()
+            for doc, text, grams in zip(ids, binary_column(batch, "text"), hot, strict=True):
+                spots, h = anchors(text, length)
+                spots = spots[np.isin(h, np.array(grams, np.int64))]
+                # a window may hold several anchors and still counts once
+                edge = np.zeros(len(text) + 2, np.int32)
+                np.add.at(edge, np.maximum(0, spots - (length - gram)), 1)
+                np.add.at(edge, np.minimum(spots, len(text) - length) + 1, -1)
+                for a in np.flatnonzero(np.cumsum(edge) > 0).tolist():
+                    if n >= HELD_WINDOWS:
+                        yield rows(seen, told)
+                        seen, told, n = {}, {}, 0
+                    n += 1
+                    w = hashlib.blake2b(text[a : a + length], digest_size=16).digest()
+                    if w not in seen:
+                        seen[w] = doc, a
+                        continue
+                    for d, b in (seen[w], (doc, a)):
+                        told.setdefault(d, []).append(b)
+            if seen:
+                yield rows(seen, told)
+
+    return run
+
+
 def insert_columns(group: np.ndarray, rows: list[bytes], lead: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) column at which a row's window also stands in another row of its group,
     (-1, -1) for none. ``group`` must be sorted; a row's gram begins at column length // 2."""
@@ -234,7 +293,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], schema=schema)
 
 
-def repeated_passages(docs: DataFrame, length: int = 200, keep_bytes: bool = False) -> DataFrame:
+def _hot_spans(active: DataFrame, length: int) -> DataFrame:
+    """(doc_id, start, stop) of the repeated windows that hold a hot gram, runs of them joined."""
+    found = materialize(active.where("size(hot) > 0").mapInArrow(_windows(length), "window binary, doc_id long, start long, stop long"), "windows")
+    again = found.where("window is not null").groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    met = found.join(again, "window", "left_semi").select("doc_id", "start", "stop")
+    by_start = Window.partitionBy("doc_id").orderBy("start")
+    met = met.withColumn("new", F.coalesce(F.col("start") - F.lag("start").over(by_start) > 1, F.lit(True)).cast("long"))
+    met = met.withColumn("run", F.sum("new").over(by_start)).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
+    return met.unionByName(found.where("window is null").drop("window"))
+
+
+def repeated_passages(docs: DataFrame, length: int = 200, keep_bytes: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256 (of the bytes left, lowercase hex) and, on demand, kept_bytes (null where
     nothing was removed).
@@ -244,7 +314,7 @@ def repeated_passages(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
     text counts as empty. Every string is judged on the input. Texts shorter than ``length``
     bytes lose nothing; equal texts of that length or more lose everything, each copy alike.
     Bytes left need not be valid UTF-8. Very long texts are taken whole; empty tables give
-    empty results.
+    empty results. ``hot_rows`` sets how a gram's windows are compared, not the result.
     """
     if length < 4 or length % 2:
         raise ValueError("length must be even and at least 4")
@@ -254,13 +324,16 @@ def repeated_passages(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
     classes = materialize(surveyed.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "texts")
     first = surveyed.join(classes.select("node"), surveyed.doc_id == classes.node, "left_semi").where("size(grams) > 0")
     keys = first.select(F.explode("grams").alias("key"), F.col("doc_id").alias("node"))
-    shared = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared_keys, "key long, node long, place long")
-    wanted = shared.groupBy("node").agg(F.collect_set("key").alias("grams"))
-    active = materialize(docs.join(wanted, docs.doc_id == wanted.node).select("doc_id", "text", "grams"), "active")
+    counts = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "grams")
+    is_hot = F.col("n") > hot_rows
+    wanted = keys.join(counts, "key").groupBy("node").agg(F.collect_set(F.when(~is_hot, F.col("key"))).alias("grams"), F.collect_set(F.when(is_hot, F.col("key"))).alias("hot"))
+    active = materialize(docs.join(wanted, docs.doc_id == wanted.node).select("doc_id", "text", "grams", "hot"), "active")
 
     rows = active.mapInArrow(_contexts(length), "gram long, doc_id long, begin long, lead int, bytes binary, stop long")
     rows = rows.repartition("gram").sortWithinPartitions("gram")
     spans = rows.mapInArrow(_repeats(length), "doc_id long, start long, stop long")
+    if not counts.where(is_hot).isEmpty():
+        spans = spans.unionByName(_hot_spans(active, length))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     cut = active.select("doc_id", "text").join(spans, "doc_id").mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     cut = cut if keep_bytes else cut.drop("kept_bytes")

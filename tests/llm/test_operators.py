@@ -171,13 +171,16 @@ def removed_by_brute_force(texts, length):
 
 
 @pytest.mark.parametrize("length", [10, 20])
-def test_repeated_passages_match_brute_force(spark, length):
+def test_repeated_passages_match_brute_force(spark, length, monkeypatch):
     rng = random.Random(3)
     parts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(12)]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 5))) for _ in range(100)]
     texts += [None, "", "é" * 30, "a" * 300, "xyz" * 50, "é" * 30]
     got = [tuple(r)[1:] for r in sorted(passages.repeated_passages(frame(spark, texts), length).collect())]
     assert got == removed_by_brute_force(texts, length)
+    monkeypatch.setattr(passages, "HELD_WINDOWS", 50)
+    hot = passages.repeated_passages(frame(spark, texts), length, hot_rows=3)
+    assert [tuple(r)[1:] for r in sorted(hot.collect())] == got
     assert passages.repeated_passages(frame(spark, texts).limit(0), length).count() == 0
 
 
@@ -185,8 +188,9 @@ def test_repeated_passages_at_the_production_length(spark):
     rng = random.Random(8)
     shared = words(rng, 90)
     texts = [words(rng, 40) + " " + shared[rng.randint(0, 80) :] + words(rng, 20) for _ in range(12)] + [words(rng, 200), shared[:199]]
-    got = [tuple(r)[1:] for r in sorted(passages.repeated_passages(frame(spark, texts), 200).collect())]
-    assert got == removed_by_brute_force(texts, 200)
+    for hot_rows in (passages.HOT_ROWS, 4, 1):
+        got = [tuple(r)[1:] for r in sorted(passages.repeated_passages(frame(spark, texts), 200, hot_rows=hot_rows).collect())]
+        assert got == removed_by_brute_force(texts, 200)
 
 
 def test_sliding_argmin():

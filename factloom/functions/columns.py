@@ -168,3 +168,44 @@ REASON_CLASSES = (
     ("does not add up", "arithmetic"),
     ("does not show", "value"),
 )
+
+
+#: Words of a member's name that say it holds a date.
+DATE_WORDS = ("date", "dates", "birthdate", "birthdates")
+
+
+def hints_date(path: Column) -> Column:
+    """Whether the last named member of a path speaks of a date."""
+    member = r'(?:\["((?:[^"\\]|\\.)*)"\]|([^.\[\]]+))(?:\[\d+\])*\z'
+    quoted, plain = F.regexp_extract(path, member, 1), F.regexp_extract(path, member, 2)
+    parted = F.regexp_replace(F.concat(quoted, plain), "([a-z0-9])([A-Z])", "$1 $2")
+    return F.arrays_overlap(F.split(F.lower(parted), r"(?U)[\W_\d]+"), F.array(*map(F.lit, DATE_WORDS)))
+
+
+def row_prefix(path: Column) -> Column:
+    """The longest ``...[n]`` before a further member, null for none; quoted members are atoms."""
+    found = F.regexp_extract(path, r'\A((?:"(?:[^"\\]|\\.)*"|[^"])*\[\d+\])\.', 1)
+    return F.when(found != "", found)
+
+
+def edit_value(kind: Column, text: Column) -> Column:
+    """(accepted, number) of a correction typed for a ``number``, ``boolean`` or string field:
+    numbers plain and finite, booleans as ``true`` or ``false``, strings as they are."""
+    typed = F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    plain = typed.rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z")
+    number = F.when(plain, typed.try_cast("double"))
+    finite = F.abs(number) < F.lit(float("inf"))
+    accepted = F.when(kind == "number", F.coalesce(finite, F.lit(False))).when(kind == "boolean", typed.isin("true", "false")).otherwise(text.isNotNull())
+    return F.struct(F.coalesce(accepted, F.lit(False)).alias("accepted"), F.when((kind == "number") & finite, number).alias("number"))
+
+
+def page_limit(width: Column, height: Column, scale: float, max_pixels: int) -> Column:
+    """``ok``, ``bad_dimensions`` or ``too_large`` for a page drawn at ``scale``."""
+    sound = [F.coalesce((x > 0) & (x < F.lit(float("inf"))), F.lit(False)) for x in (width, height)]
+    pixels = F.ceil(width * F.lit(scale)).cast("double") * F.ceil(height * F.lit(scale)).cast("double")
+    return F.when(~(sound[0] & sound[1]), "bad_dimensions").when(pixels > max_pixels, "too_large").otherwise("ok")
+
+
+def match_strength(score: Column, letters_agree: Column, by_value: Column) -> Column:
+    """(is_exact, is_strong) of a located quote."""
+    return F.struct(((score >= 100) & ~by_value).alias("is_exact"), F.coalesce(letters_agree, score >= 92).alias("is_strong"))

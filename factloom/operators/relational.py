@@ -212,3 +212,88 @@ def seen_in_other_half(rows: DataFrame, name: str, in_first: Column) -> DataFram
     """One row: distinct names of each half, and how many of the second stand in the first too."""
     halves = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.bool_or(in_first).alias("a"), F.bool_or(~in_first).alias("b"))
     return halves.agg(F.count_if("a").alias("n_first"), F.count_if("b").alias("n_second"), F.count_if(F.col("a") & F.col("b")).alias("n_both"))
+
+
+def nearest_candidates(candidates: DataFrame, hints: DataFrame, key: str) -> DataFrame:
+    """Per hint (key, page, top) the candidate (key, ord, page, top) nearest to it: its own page
+    first, then the smallest vertical distance, then the candidates' order. Always chooses."""
+    both = candidates.join(hints.select(key, F.col("page").alias("_page"), F.col("top").alias("_top")), key)
+    near = F.struct((F.col("page") != F.col("_page")).alias("other"), F.abs(F.col("top") - F.col("_top")).alias("away"), "ord", "page", "top")
+    best = both.groupBy(key).agg(F.min(near).alias("b"))
+    return best.select(key, "b.ord", "b.page", "b.top")
+
+
+def row_anchors(fields: DataFrame, *keys: str) -> DataFrame:
+    """Fields with the ``anchor_path`` of their row (``keys``): the first in field order that is
+    verified, strongly located and without notes; null where the row has none."""
+    able = (F.col("status") == "verified") & F.col("is_strong") & (F.col("n_notes") == 0)
+    first = fields.where(able).groupBy(*keys).agg(F.min_by("path", "field_no").alias("anchor_path"))
+    return fields.join(first, list(keys), "left")
+
+
+def row_check(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``row_status`` and ``row_reason``, decided in order. Columns: extracted,
+    anchor_trusted, field_supported (booleans), and page, top, bottom, x0, x1 of the field, with
+    ``a_`` before those of the anchor (null where not located)."""
+    sound = lambda p: F.coalesce((F.col(p + "bottom") > F.col(p + "top")) & (F.col(p + "x1") > F.col(p + "x0")), F.lit(False))
+    shared = F.least("bottom", "a_bottom") - F.greatest("top", "a_top")
+    lower = F.least(F.col("bottom") - F.col("top"), F.col("a_bottom") - F.col("a_top"))
+    reason = (
+        F.when(~F.col("extracted"), "not_extracted")
+        .when(~F.col("anchor_trusted") | F.col("a_page").isNull(), "anchor_untrusted")
+        .when(~F.col("field_supported") | F.col("page").isNull(), "field_unsupported")
+        .when(F.col("page") != F.col("a_page"), "other_page")
+        .when(~sound("") | ~sound("a_"), "bad_geometry")
+        .when((shared > 0) & (shared >= lower / 2), "one_line")
+        .otherwise("other_line")
+    )
+    status = F.when(F.col("row_reason") == "one_line", "same_line").when(F.col("row_reason").isin("other_page", "other_line"), "separate").otherwise("unavailable")
+    return pairs.withColumn("row_reason", reason).withColumn("row_status", status)
+
+
+def by_value(quotes: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """(key, quote_id, word_id): words with a reading that the quote has too. Both sides carry
+    ``readings``, an array of decimals; the join is on the value, so texts never meet."""
+    asked = quotes.select(key, "quote_id", F.explode("readings").alias("value"))
+    seen = words.select(key, "word_id", F.explode("readings").alias("value"))
+    return asked.join(seen, [key, "value"]).select(key, "quote_id", "word_id").distinct()
+
+
+def native_or_recognised(native: DataFrame, recognised: DataFrame, keys: list[str]) -> DataFrame:
+    """Native pages that have words, and the recognised ones in place of those without."""
+    blank = native.where("n_words = 0").select(*keys)
+    kept = native.where("n_words > 0").withColumn("text_source", F.lit("native"))
+    return kept.unionByName(recognised.join(blank, keys, "left_semi").withColumn("text_source", F.lit("recognised")))
+
+
+def other_documents(values: DataFrame, pool: list[str], doc: str, most: int) -> DataFrame:
+    """Evenly spread values of a pool's other documents: each document's complement within its
+    pool, every n-th of it with n = max(1, size // most), by order of (document, value).
+
+    A document's rows stand together in that order, so a rank is mapped past them by arithmetic
+    and joined by equality; no document meets its whole pool. Ranks add up from counts by
+    document, so a large pool is ordered by its documents alone.
+    """
+    counts = values.groupBy(*pool, doc).agg(F.count("*").alias("own"))
+    before = Window.partitionBy(*pool).orderBy(doc).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("begin", F.coalesce(F.sum("own").over(before), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy(*pool, doc).orderBy("value")) - 1
+    ranked = values.withColumn("within", within).join(counts, [*pool, doc]).withColumn("rank", F.col("begin") + F.col("within"))
+    size = values.groupBy(*pool).agg(F.count("*").alias("size"))
+    own = counts.join(size, pool)
+    rest = F.col("size") - F.col("own")
+    step = F.greatest(F.lit(1), F.floor(rest / most))
+    at = own.where(rest > 0).select(*pool, doc, "begin", "own", F.explode(F.sequence(F.lit(0).cast("long"), rest - 1, step.cast("long"))).alias("i"))
+    at = at.select(*pool, doc, F.when(F.col("i") < F.col("begin"), F.col("i")).otherwise(F.col("i") + F.col("own")).alias("rank"))
+    return at.join(ranked.select(*pool, "rank", F.col(doc).alias("other_" + doc), F.col("value").alias("other_value")), [*pool, "rank"]).drop("rank")
+
+
+def report_problems(fields: DataFrame, key: str, statuses: list[str]) -> DataFrame:
+    """Per report: rows whose path stands before, rows of an unknown status, rows of a page that
+    the document (``n_pages``) does not have."""
+    paths = fields.groupBy(key, "path").agg(
+        F.count("*").alias("n"),
+        F.count_if(~F.coalesce(F.col("status").isin(statuses), F.lit(False))).alias("s"),
+        F.count_if((F.col("page") < 1) | (F.col("page") > F.col("n_pages"))).alias("p"),
+    )
+    return paths.groupBy(key).agg(F.sum(F.col("n") - 1).alias("n_repeated_paths"), F.sum("s").alias("n_bad_status"), F.sum("p").alias("n_bad_page"))

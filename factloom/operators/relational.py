@@ -26,8 +26,9 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(doc_id, item_id): the passages that a text contains.
 
     Candidates come from an equi-join of a passage's longest interior word with the texts'
-    distinct words; passages of under three words, which have none, are looked for in every
-    text. Texts meet passages only for candidates.
+    distinct words; for passages of under three words, which have none, the first three
+    characters of the first word stand for it. Blank passages alone are looked for in every
+    text. Empty passages and null texts are in nothing.
     """
     words = F.filter(F.split("text", SPACE), lambda w: w != "")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
@@ -36,9 +37,16 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     seen = docs.select("doc_id", F.explode(F.array_distinct(words)).alias("anchor"))
     pairs = seen.join(asked.where("anchor is not null").select("item_id", "anchor"), "anchor").select("doc_id", "item_id")
     found = pairs.join(docs.select("doc_id", "text"), "doc_id").join(asked.select("item_id", "quote"), "item_id").where(F.contains("text", F.col("quote"))).select("doc_id", "item_id")
-    short = asked.where("anchor is null and quote <> ''").groupBy().agg(F.collect_list(F.struct("item_id", "quote")).alias("few"))
-    rest = docs.join(F.broadcast(short.where("size(few) > 0")), F.lit(True)).select("doc_id", F.explode(F.filter("few", lambda q: F.contains(F.col("text"), q["quote"]))).alias("q")).select("doc_id", "q.item_id")
-    return found.unionByName(rest)
+    short = asked.where("anchor is null and quote <> ''")
+    if short.isEmpty():
+        return found
+    starts = F.transform(F.filter(F.split("quote", SPACE), lambda w: w != ""), lambda w: F.substring(w, 1, 3))
+    short = short.select("item_id", "quote", F.coalesce(F.try_element_at(starts, F.lit(1)), F.lit("")).alias("gram"))
+    cut = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(w, i, n))))
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(F.array_distinct(words), cut))))
+    pairs = docs.select("doc_id", F.explode(grams).alias("gram")).join(short.select("item_id", "gram"), "gram").select("doc_id", "item_id")
+    rest = pairs.join(docs.select("doc_id", "text"), "doc_id").join(short.select("item_id", "quote"), "item_id").where(F.contains("text", F.col("quote")))
+    return found.unionByName(rest.select("doc_id", "item_id"))
 
 
 def location_verdicts(found: DataFrame, passages: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 
 from factloom.functions import numbers, text
 from factloom.operators import grounding as G
+from factloom.operators import relational
 from factloom.operators import verify as V
 from factloom.sources import readers
 from factloom.streaming.review import next_state
@@ -114,3 +115,18 @@ def test_review_and_sinks():
         with pytest.raises(ValueError):
             readers.read_strict(bad)
     assert readers.xlsx([{"a": 10**15, "b": 1.5}], ["a", "b"])[:2] == b"PK"
+
+
+def test_containing_finds_long_short_and_blank_passages(spark):
+    texts = ["one two three four", "xone two threex four", "a  b", "", None, "twofour", " "]
+    quotes = ["one two three", "two thr", "ne", "o", " ", "  b", "", "four", None, "zz", "two four six"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    passages = spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string")
+    got = sorted(map(tuple, relational.containing(docs, passages).collect()))
+    assert got == [(i, j) for i, t in enumerate(texts) for j, q in enumerate(quotes) if t and q and q in t]
+
+
+def test_nearest_candidate_always_chooses(spark):
+    found = spark.createDataFrame([(1, 0, 2, 5.0), (1, 1, 1, 90.0), (1, 2, 1, 70.0), (2, 0, 3, 0.0)], "k long, ord long, page long, top double")
+    hints = spark.createDataFrame([(1, 1, 80.0), (2, 1, 0.0)], "k long, page long, top double")
+    assert sorted(map(tuple, relational.nearest_candidates(found, hints, "k").collect())) == [(1, 1, 1, 90.0), (2, 0, 3, 0.0)]

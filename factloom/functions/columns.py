@@ -209,3 +209,9 @@ def page_limit(width: Column, height: Column, scale: float, max_pixels: int) ->
 def match_strength(score: Column, letters_agree: Column, by_value: Column) -> Column:
     """(is_exact, is_strong) of a located quote."""
     return F.struct(((score >= 100) & ~by_value).alias("is_exact"), F.coalesce(letters_agree, score >= 92).alias("is_strong"))
+
+
+def convention_text(words: Column) -> Column:
+    """A page's text from its words (array of (text, review)), those whose paint asks for review
+    blanked at full width, so that offsets hold and nothing hidden settles a convention."""
+    return F.array_join(F.transform(words, lambda w: F.when(w["review"], F.repeat(F.lit(" "), F.length(w["text"]))).otherwise(w["text"])), " ")

@@ -305,3 +305,12 @@ def report_problems(fields: DataFrame, key: str, statuses: list[str]) -> DataFra
         F.count_if((F.col("page") < 1) | (F.col("page") > F.col("n_pages"))).alias("p"),
     )
     return paths.groupBy(key).agg(F.sum(F.col("n") - 1).alias("n_repeated_paths"), F.sum("s").alias("n_bad_status"), F.sum("p").alias("n_bad_page"))
+
+
+def word_offsets(words: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Words stripped, blank ones dropped, with word_no, start and stop in the text that joins a
+    page's (``keys``) words by single spaces."""
+    bare = words.withColumn("text", F.regexp_replace("text", r"(?U)\A\s+|\s+\z", "")).where("text <> ''")
+    page = Window.partitionBy(*keys).orderBy(order)
+    start = F.coalesce(F.sum(F.length("text") + 1).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    return bare.withColumn("word_no", (F.row_number().over(page) - 1).cast("long")).withColumn("start", start).withColumn("stop", F.col("start") + F.length("text"))

@@ -132,6 +132,25 @@ def native_or_recognised(spark, sf_dir):
     return R.native_or_recognised(native, seen, ["doc_id"])
 
 
+@query("""
+WITH w AS (SELECT user_id AS doc_id, event_id % 3 AS page, event_id, CASE WHEN event_id % 6 = 0 THEN '' ELSE event_type END AS word, event_id % 500 / 2.0 AS x0 FROM events),
+k AS (SELECT *, row_number() OVER p - 1 AS word_no, coalesce(sum(length(word) + 1) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM w WHERE word <> '' WINDOW p AS (PARTITION BY doc_id, page ORDER BY event_id))
+SELECT doc_id, page, word_no, word AS text, CAST(s AS BIGINT) AS start, CAST(s + length(word) AS BIGINT) AS stop, CAST(x0 AS DOUBLE) AS x0 FROM k""")
+def recognised_offsets(spark, sf_dir):
+    e = F.col("event_id")
+    text = F.when(e % 6 == 0, " \t").otherwise(F.concat(F.lit(" "), "event_type", F.lit("\n")))
+    words = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (e % 3).alias("page"), "event_id", text.alias("text"), ((e % 500).cast("double") / 2).alias("x0"))
+    return R.word_offsets(words, ["doc_id", "page"], "event_id").select("doc_id", "page", "word_no", "text", "start", "stop", "x0")
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda x: x <> '') AS ws FROM documents)
+SELECT doc_id, array_to_string(list_transform(ws, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN repeat(' ', length(x)) ELSE x END), ' ') AS text FROM w""")
+def convention_texts(spark, sf_dir):
+    words = F.transform(F.filter(F.split("text", R.SPACE), lambda w: w != ""), lambda w: F.struct(w.alias("text"), w.rlike("[0-9]").alias("review")))
+    return table(spark, sf_dir, "documents").select("doc_id", C.convention_text(words).alias("text"))
+
+
 @query("""
 WITH v AS (SELECT c_mktsegment AS kind, c_nationkey AS doc, c_custkey AS value FROM customer),
 p AS (SELECT a.kind, a.doc, b.doc AS other_doc, b.value AS other_value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY a.kind, a.doc) AS n FROM (SELECT DISTINCT kind, doc FROM v) a JOIN v b ON a.kind = b.kind AND a.doc <> b.doc WINDOW w AS (PARTITION BY a.kind, a.doc ORDER BY b.doc, b.value))

@@ -58,6 +58,29 @@ def read_strict(raw: bytes) -> dict:
     return data
 
 
+def check_destination(spark: SparkSession, path: str, protected: list[str]) -> None:
+    """Refuse to write a report onto one of its inputs, inside it or above it; paths are compared
+    after the file system has resolved them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def resolved(p: str) -> str:
+        found = jvm.org.apache.hadoop.fs.Path(p)
+        fs = found.getFileSystem(conf)
+        whole = (fs.resolvePath(found) if fs.exists(found) else fs.makeQualified(found)).toString()
+        return whole.rstrip("/") + "/"
+
+    target = resolved(path)
+    for source in map(resolved, protected):
+        if target.startswith(source) or source.startswith(target):
+            raise ValueError("a report must not be written onto its inputs")
+
+
+def write_report(rows: DataFrame, path: str, protected: list[str]) -> None:
+    """Report rows as JSON lines; the writer's commit leaves no partial report behind."""
+    check_destination(rows.sparkSession, path, protected)
+    rows.write.json(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """Export rows as CSV; booleans in lower case come from the cast."""
     rows.select([F.col(c).cast("string").alias(c) for c in rows.columns]).write.csv(path, header=True)

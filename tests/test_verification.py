@@ -130,3 +130,14 @@ def test_nearest_candidate_always_chooses(spark):
     found = spark.createDataFrame([(1, 0, 2, 5.0), (1, 1, 1, 90.0), (1, 2, 1, 70.0), (2, 0, 3, 0.0)], "k long, ord long, page long, top double")
     hints = spark.createDataFrame([(1, 1, 80.0), (2, 1, 0.0)], "k long, page long, top double")
     assert sorted(map(tuple, relational.nearest_candidates(found, hints, "k").collect())) == [(1, 1, 1, 90.0), (2, 0, 3, 0.0)]
+
+
+def test_report_stays_off_its_inputs(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "total", "verified")], "doc_id long, path string, status string")
+    source = tmp_path / "claims"
+    rows.write.json(str(source))
+    for bad in (source, source / "report", tmp_path):
+        with pytest.raises(ValueError):
+            readers.write_report(rows, str(bad), [str(source)])
+    readers.write_report(rows, str(tmp_path / "claims-report"), [str(source)])
+    assert spark.read.json(str(tmp_path / "claims-report")).count() == 1

@@ -1,14 +1,16 @@
 """Secret scans: candidate strings and a random forest that removes false positives.
 
 Candidates are found by shape: runs of 16 or more characters of ``A-Za-z0-9_-+/=.~`` with a
-letter and a digit, shorter values assigned to a name that promises a secret, and private key
-blocks. A forest of decision trees judges each by its length, character mix and transitions,
-the share that a dictionary covers, path-like signs and the words around it. It is trained on
-labelled findings; without own ones, on findings composed by ``sample_findings``.
+letter and a digit; whole values of six bytes or more, quoted or not, assigned to a name that
+holds a word of ``CUES``; passwords in URLs; and private key blocks. A forest of decision trees
+judges each by its length, character mix and transitions, the share that a dictionary covers,
+path-like signs and the words around it. It is trained on labelled findings; without own ones,
+on findings composed by ``sample_findings``.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import uuid
 from collections.abc import Iterator
@@ -23,6 +25,10 @@ from factloom.llm.bytesops import Words, binary_column, blocks
 from factloom.llm.storage import bound_batches
 
 MIN_RUN = 16
+#: Fewest bytes of an assigned value.
+MIN_VALUE = 6
+#: Of overlapping candidates that are both secrets or both not, the first of these stays.
+_FIRST = {"key block": 0, "url": 1, "assigned": 2, "run": 3}
 #: Bytes before and after a candidate that its features see.
 AROUND = 48
 SECRET_FROM = 0.5
@@ -39,15 +45,54 @@ CUES = "token secret password passwd pwd passphrase apikey api_key api-key key a
 HARMLESS = "sha sha1 sha256 md5 hash checksum digest commit revision version uuid guid id etag example placeholder sample dummy test path file url href src filename session_id".split()
 DICTIONARY = "about access account action after again all and api app array auth back base before block body book build button call case change check city class client close code color come common config content copy could count course create current data date day default delete demo dev device dir document down each edit email end entry error event every example false field file find first folder font form format from function get good great group hand head health help here high home host house how html http https image img in index info input into item join just key know large last left level library life light like line link list load local log long look made main make many map master member menu message method mode model module month more most move name need net new next node none number object office open option order other output over page part path people phone place plan play point port post power present price private product profile public query range read record release report request response rest result right root row run sample save school script search section see select send server service session set shop show side simple site size small some source space staff start state static status step stop store story string style system table tag take target task team temp test text than that the theme then there thing this time title today token tool top total tree true type under unit until update upload url use user value version very video view water way web week what when where while white window with word work world write www year your".split()
 
-_ASSIGNED = re.compile(rb"""(?i)\b(?:password|passwd|pwd|passphrase|secret)["']?\s{0,3}[:=]\s{0,3}["']?([^\s"'<>]{6,})""")
+# Names end in a cue or carry on after it with _ or -. Cues that ordinary words end in (monkey)
+# must begin a part of the name; the others may follow anything (PGPASSWORD).
+_STARTING = {"key", "auth", "bearer", "private", "pwd"}
+_CUE = "|".join(sorted(CUES, key=len, reverse=True))
+_PART = re.compile(rf"(?<![a-z0-9])(?:{'|'.join(sorted(_STARTING))})(?![a-z0-9])|{'|'.join(sorted(set(CUES) - _STARTING, key=len, reverse=True))}".encode())
+_UNQUOTED = rb"""(?:[^\s"'`<>&;,]|[&;,](?![\s"'`]|[\w.-]{1,40}[=:]|\Z))"""
+# On lower-cased text. Quoted values may hold escaped quotes; one without an end counts as unquoted.
+_ASSIGNED = re.compile(
+    rb"(?P<cue>" + _CUE.encode() + rb")(?:orization)?s?(?:[_-][a-z0-9_-]{0,80}+)?"
+    rb"""(?:(?:\\?["'`\])]){0,2}\s{0,3}(?:=>|:=|={1,3}|:)\s{0,3}(?:(?:bearer|basic)[ \t]{1,3})?|(?<=bearer)[ \t]{1,3})"""
+    rb"""(?:"(?P<double>(?:[^"\\\r\n]|\\.){6,}+)"|'(?P<single>(?:[^'\\\r\n]|\\.){6,}+)'|`(?P<back>[^`\r\n]{6,}+)`|\\?["'`]?(?P<bare>(?!(?:""" + _CUE.encode() + rb""")s?[_-]?[a-z0-9_-]{0,80}["']?\s{0,3}[:=])""" + _UNQUOTED + rb"{6,}+))"
+)
+_URL = re.compile(rb"""://[^\s/:@"'<>]{0,200}+:([^\s/"'<>]+)@""")
 _KEY_BLOCK = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z ]{0,40}PRIVATE KEY-----")
 _UUID = re.compile(rb"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
 _DICT = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=len, reverse=True)).encode())
 _NAME = re.compile(rb"[a-z][a-z0-9_-]*")
+_DIRECT = re.compile(rb"(?:" + _CUE.encode() + rb""")(?:orization)?s?(?:[_-][a-z0-9_-]*)?["'`\])]{0,2}\s{0,3}[:=]+>?\s{0,3}["'`]?$""")
+# Values that code or a template fetches from elsewhere.
+_REFERENCE = re.compile(rb"^[$%{\[<]|\$\{|\{\{|[a-z_]\w*\(|\w\[|^[a-z_]\w*(?:(?:\.|->|::)[a-z_]\w*)+$")
+
+
+def assigned(text: bytes) -> list[tuple[int, int, str]]:
+    """(start, stop, kind) of the values that names of secrets are given, and of URL passwords."""
+    low = text.lower()
+    out, at = [], 0
+    while m := _ASSIGNED.search(low, at):
+        a = m.start("cue")
+        begins = a == 0 or not text[a - 1 : a].isalnum() or text[a - 1 : a].islower() and text[a : a + 1].isupper()
+        if m["cue"].decode() in _STARTING and not begins:
+            at = a + 1
+            continue
+        start, stop = m.span(m.lastgroup)
+        at = start  # a quoted value may hold a name with a value of its own
+        if m.lastgroup == "bare":
+            at = stop
+            extra = {close: low.count(close, start, stop) - low.count(opening, start, stop) for close, opening in (b")(", b"][", b"}{")}
+            while stop > start and (low[stop - 1] in b".,;\\" or extra.get(low[stop - 1], 0) > 0):
+                stop -= 1
+                if low[stop] in extra:
+                    extra[low[stop]] -= 1
+        if stop - start >= MIN_VALUE:
+            out.append((start, stop, "assigned"))
+    return out + [(*m.span(1), "url") for m in _URL.finditer(text)]
 
 
 def candidates(texts: list[bytes]) -> list[list[tuple[int, int, str]]]:
-    """(start, stop, kind) of each text's candidates in order, not overlapping."""
+    """(start, stop, kind) of each text's candidates; those of different kinds may overlap."""
     runs = Words(texts, breaks=_RUN)
     n = runs.end - runs.start
     digits, letters = (np.concatenate(([0], np.cumsum(x[runs.buf]))) for x in (_DIGIT, _LETTER))
@@ -64,16 +109,9 @@ def candidates(texts: list[bytes]) -> list[list[tuple[int, int, str]]]:
         if b - a >= MIN_RUN:
             found[i].append((a, b, "run"))
     for i, text in enumerate(texts):
-        low = text.lower()
-        more = [(m.start(1), m.end(1), "assigned") for m in _ASSIGNED.finditer(text)] if b"passw" in low or b"pwd" in low or b"passphrase" in low or b"secret" in low else []
-        more += [(*m.span(), "key block") for m in _KEY_BLOCK.finditer(text)] if b"PRIVATE KEY-----" in text else []
-        if more:
-            whole = sorted(more, key=lambda c: (c[2] != "key block", c[0])) + found[i]
-            taken: list[tuple[int, int, str]] = []
-            for c in whole:
-                if all(c[1] <= t[0] or c[0] >= t[1] for t in taken):
-                    taken.append(c)
-            found[i] = sorted(taken)
+        found[i] += assigned(text)
+        if b"PRIVATE KEY-----" in text:
+            found[i] += [(*m.span(), "key block") for m in _KEY_BLOCK.finditer(text)]
     return found
 
 
@@ -107,13 +145,18 @@ def features(text: bytes, start: int, stop: int) -> np.ndarray:
             bool(_UUID.match(value)),
             before.rstrip(b" \"'").endswith((b"=", b":")),
             before.endswith((b'"', b"'")),
-            any(w.decode() in CUES or w.endswith((b"_key", b"_token", b"_secret", b"-key")) for w in names),
+            any(_PART.search(w) for w in names),
             any(w.decode() in HARMLESS for w in names),
             any(w.decode() in HARMLESS for w in _NAME.findall(after)[:1]),
             bool(re.match(rb"(akia|asia|ghp_|gho_|github_pat_|sk-|sk_live|rk_live|xox[abpr]-|aiza|eyj|glpat-|hf_)", low)),
             low.startswith(b"-----begin"),
             bool(re.search(rb"\.(py|js|css|html?|png|jpe?g|json|xml|txt|pdf|com|org|net)\b", low)),
             bool(re.search(rb"(.)\1{4}|xxx|1234|abcd|changeme|your", low)),
+            bool(_DIRECT.search(before)),
+            bool(re.search(rb"://[^\s/]*:$", before)),
+            bool(_REFERENCE.search(low)),
+            value.count(b" ") / n,
+            digit.any() + upper.any() + lower.any() + (kind == 0).any(),
         ],
         float,
     )
@@ -189,6 +232,10 @@ def sample_findings(n: int = 3000, seed: int = 1) -> list[tuple[bytes, int, int,
     def one_of(*items):
         return items[rng.integers(len(items))]
 
+    def promised() -> str:
+        name = one_of(*CUES)
+        return one_of(lambda: name, lambda: rng.choice(DICTIONARY) + "_" + name, lambda: name + "_" + rng.choice(DICTIONARY))()
+
     out = []
     for i in range(n):
         secret = i % 2
@@ -198,10 +245,15 @@ def sample_findings(n: int = 3000, seed: int = 1) -> list[tuple[bytes, int, int,
             value = one_of(
                 lambda: some(hexa, one_of(32, 40, 48, 64)), lambda: some(hexa, 40).upper(), lambda: "AKIA" + some(alnum[:26] + alnum[52:], 16), lambda: some(alnum + "+/", 40), lambda: "ghp_" + some(alnum, 36),
                 lambda: "sk-" + some(alnum, one_of(24, 48)), lambda: "xoxb-" + some(alnum[52:], 11) + "-" + some(alnum, 24), lambda: "AIza" + some(alnum + "-_", 35), lambda: "eyJ" + some(alnum, 30) + "." + some(alnum, 60) + "." + some(alnum, 43), lambda: some(alnum + "!@#$%", rng.integers(8, 20)),
+                *[lambda: some(alnum + "!@#$%^&*-_", rng.integers(6, 20)), lambda: some(alnum[26:], rng.integers(8, 16)), lambda: words(rng.integers(1, 3), one_of("", "-", "_", "!")).title() + some(alnum[52:] + "!@#$%", rng.integers(2, 5)), lambda: some(alnum[26:52], rng.integers(3, 8)) + some(alnum[52:], rng.integers(1, 4)) + some(alnum[26:52] + "!@#$", rng.integers(1, 4))] * 2,
             )()
+            short = len(value) < 24
             name = one_of(*CUES, "AWS_SECRET_ACCESS_KEY".lower(), "auth_token", "service_key")
+            name = one_of(lambda: name, lambda: rng.choice(DICTIONARY) + one_of("_", "-") + name, lambda: name + one_of("_", "-") + rng.choice(DICTIONARY))()
             name = one_of(name, name.upper())
-            head = f"{lead} {name}{one_of(' = ', '=', ': ', ':', ' ')}{quote}"
+            head = f"{lead} {name}{one_of(' = ', '=', ': ', ':', *([] if short else [' ']))}{quote}"
+            if short and rng.integers(4) == 0:
+                head, tail, quote = f"{lead} {one_of('postgres', 'mysql', 'https', 'amqp', 'redis')}://{rng.choice(DICTIONARY)}:", f"{words(2, '.')}/{tail}", "@"
         else:
             value, name = one_of(
                 lambda: (some(hexa, one_of(32, 40, 64)), one_of("sha256", "md5", "commit", "checksum", "digest", "hash", "revision", "etag")),
@@ -214,7 +266,16 @@ def sample_findings(n: int = 3000, seed: int = 1) -> list[tuple[bytes, int, int,
                 lambda: (some(alnum[26:52], rng.integers(16, 40)) + str(rng.integers(9)), ""),
                 lambda: ("2024-01-0" + str(rng.integers(1, 9)) + "T10:00:00.000Z", "date"),
                 lambda: ("+".join(rng.choice(DICTIONARY, 4)) + "=" + str(rng.integers(99)), ""),
+                *[
+                    lambda: (one_of("string", "String", "required", "optional", "undefined", "integer", "boolean", "default", "disabled", "enabled", "primary", "foreign", "username", "password", "please", "invalid", "expired", "missing", "changeme", "********", "xxxxxxxx", "your_password", "<password>"), promised()),
+                    lambda: (words(1, "") + one_of("", "s", "ed", "ing", "er") + rng.choice(DICTIONARY), promised()),
+                    lambda: (words(rng.integers(2, 7), " "), promised()),
+                    lambda: (words(rng.integers(2, 4), one_of("_", ".", "-")), promised()),
+                    lambda: (words(rng.integers(1, 3), one_of("_", ".")) + one_of("()", "(self)", "(request)", "[0]", "['key']", ".get('" + words(1, "") + "')"), promised()),
+                    lambda: (one_of("${{{}}}", "{{{{{}}}}}", "${}", "%({})s", "process.env.{}", "os.environ['{}']", "getenv('{}')").format(one_of(str.upper, str)(words(2, "_"))), promised()),
+                ],
             )()
+            value = value if len(value) >= MIN_VALUE else value + "_value"
             head = f"{lead} {name}{one_of(' = ', '=', ': ', ' ') if name else ' '}{quote}"
         before = head.encode()
         out.append((before + value.encode() + f"{quote} {tail}".encode(), len(before), len(before) + len(value), secret))
@@ -229,6 +290,7 @@ def train(findings: list[tuple[bytes, int, int, int]] | None = None) -> Forest:
 
 
 def judged(texts: list[bytes], forest: Forest) -> list[list[tuple[int, int, str, float]]]:
+    """Candidates with probabilities in order, not overlapping: secrets before others."""
     found = candidates(texts)
     flat = [(i, c) for i, cs in enumerate(found) for c in cs]
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
@@ -236,6 +298,13 @@ def judged(texts: list[bytes], forest: Forest) -> list[list[tuple[int, int, str,
         p = forest.predict(np.array([features(texts[i], a, b) for i, (a, b, _) in flat]))
         for (i, (a, b, kind)), x in zip(flat, p, strict=True):
             out[i].append((a, b, kind, max(float(x), 0.99) if kind == "key block" else float(x)))
+    for i, cs in enumerate(out):
+        taken: list[tuple[int, int, str, float]] = []
+        for c in sorted(cs, key=lambda c: (c[3] < SECRET_FROM, _FIRST[c[2]], c[0])):
+            k = bisect.bisect(taken, c[0], key=lambda t: t[0])
+            if (k == 0 or taken[k - 1][1] <= c[0]) and (k == len(taken) or c[1] <= taken[k][0]):
+                taken.insert(k, c)
+        out[i] = taken
     return out
 
 

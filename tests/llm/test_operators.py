@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -331,6 +332,45 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, []), forest).count() == 0
 
 
+def test_secrets_assigned_to_any_cue(spark):
+    forest = secrets.train()
+    forms = {
+        'api_key: "a8F3kq91Zx"': "a8F3kq91Zx",
+        'token = "aB3!xY7$kQ9#mN"': "aB3!xY7$kQ9#mN",
+        'auth_token: "aB3!xY7$kQ9#mN2@"': "aB3!xY7$kQ9#mN2@",
+        'client_secret: "p9$Kd2!vQx"': "p9$Kd2!vQx",
+        "DB_PASSWORD: hunter2x": "hunter2x",
+        'db_password = "S3cr!t@9"': "S3cr!t@9",
+        "postgres://admin:S3cr3tPw@db.example.com/x": "S3cr3tPw",
+        "Authorization: Bearer aB3xY7kQ9mN2": "aB3xY7kQ9mN2",
+        'clientSecret: "p9$Kd2!vQx"': "p9$Kd2!vQx",
+        '{"apiKey": "a8F3kq91Zx", "x": 1}': "a8F3kq91Zx",
+        '{\\"api_key\\": \\"a8F3kq91Zx\\"}': "a8F3kq91Zx",
+        'password="it\\"s S3cr!t"': 'it\\"s S3cr!t',
+        "my-key-id = Zk29xQ81pp.": "Zk29xQ81pp",
+        "(pwd=abc12!x)": "abc12!x",
+        "curl https://h/?access_key=a8F3kq91Zx&user=bob": "a8F3kq91Zx",
+        "secrets: token=Zk29xQ81pp": "Zk29xQ81pp",
+    }
+    rows = secrets.scan(frame(spark, [f"é {x} and more" for x in forms]), forest).where("is_secret").collect()
+    got = collections.defaultdict(list)
+    for r in rows:
+        got[r.doc_id].append(r.value)
+    assert [got[i] for i in range(len(forms))] == [[v] for v in forms.values()]
+    plain = ["the monkey: banana2split is", "password: string", 'token = request.headers.get("X-Token")', 'key: "username"', "password = getpass()", "secret = ${DB_SECRET}", "token: required", "https://example.com:8080/path@x"]
+    assert secrets.scan(frame(spark, plain), forest).where("is_secret").count() == 0
+    inside = "auth: 'the words around token 04dbebab91ab85687d33eeaaf9ac699e1188f962 stay'"
+    clean = secrets.redact(frame(spark, [inside, 'x api_key: "a8F3kq91Zx"']), forest).orderBy("doc_id").collect()
+    assert "04dbebab" not in clean[0].text and clean[1].text == 'x api_key: "[SECRET]"'
+
+
+@pytest.mark.parametrize("part", [b"password=", b'token="', b"://a:", b"token=[", b"key_", b"token: )))))", b"key = ", b"token=\\'a "])
+def test_secret_search_is_linear(part):
+    begun = time.process_time()
+    secrets.assigned(part * 40_000)
+    assert time.process_time() - begun < 10
+
+
 def test_minimum_bin_slack_is_fullest():
     rng = random.Random(3)
     for _ in range(100):

@@ -314,3 +314,55 @@ def word_offsets(words: DataFrame, keys: list[str], order: str) -> DataFrame:
     page = Window.partitionBy(*keys).orderBy(order)
     start = F.coalesce(F.sum(F.length("text") + 1).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     return bare.withColumn("word_no", (F.row_number().over(page) - 1).cast("long")).withColumn("start", start).withColumn("stop", F.col("start") + F.length("text"))
+
+
+#: Upper 95 % limits of a Poisson mean by the number of events seen.
+POISSON_95 = (3.0, 4.74, 6.30, 7.75, 9.15)
+RESAMPLES, RESAMPLE_SEED = 2000, 1
+
+
+def resampled_bounds(n: list[int], k: list[int], count: list[int]) -> tuple[float, float]:
+    """Order statistics 50 and 1949 of the share of accepts over ``RESAMPLES`` resamples of
+    documents, ``count`` of which have ``n`` cases and ``k`` accepts each.
+
+    Drawing documents with replacement is drawing how often each (n, k) comes up, so a resample
+    is one multinomial draw, however many documents there are.
+    """
+    import numpy as np
+
+    rng = np.random.default_rng(RESAMPLE_SEED)
+    both, total = np.array([k, n], np.int64), sum(count)
+    step = max(1, 4_000_000 // len(n))
+    shares = []
+    for at in range(0, RESAMPLES, step):
+        drawn = rng.multinomial(total, np.array(count) / total, min(step, RESAMPLES - at))
+        accepts, cases = both @ drawn.T
+        shares.append(accepts / cases)
+    shares = np.sort(np.concatenate(shares))
+    return float(shares[50]), float(shares[1949])
+
+
+def cell_intervals(rows: DataFrame, keys: list[str], doc: str, accepted: Column) -> DataFrame:
+    """Per cell of ``keys``: n, k (accepted), docs, rate, lower_95 and upper_95, with documents
+    as the unit.
+
+    Below five accepts the upper bound is the Poisson limit over the documents, at most 1, and
+    the lower one null; from five on both come from a bootstrap over documents. Every cell has
+    the seed's own stream, so its bounds don't depend on other cells. Null keys are cells, a
+    null document is one, a null ``accepted`` is no accept.
+    """
+    import pandas as pd
+
+    @F.pandas_udf("struct<lower_95:double,upper_95:double>")
+    def bounds(profile):
+        found = [(None, None) if p is None else resampled_bounds([x["n"] for x in p], [x["k"] for x in p], [x["c"] for x in p]) for p in profile]
+        return pd.DataFrame(found, columns=["lower_95", "upper_95"], dtype="float64")
+
+    per_doc = rows.select(*keys, F.col(doc).alias("_doc"), accepted.alias("_ok")).groupBy(*keys, "_doc").agg(F.count("*").alias("_n"), F.count_if("_ok").alias("_k"))
+    alike = per_doc.groupBy(*keys, "_n", "_k").agg(F.count("*").alias("_c"))
+    profile = F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("_k").alias("k"), F.col("_c").alias("c"))))
+    cells = alike.groupBy(*keys).agg(F.sum(F.col("_n") * F.col("_c")).alias("n"), F.sum(F.col("_k") * F.col("_c")).alias("k"), F.sum("_c").alias("docs"), profile.alias("_profile"))
+    cells = cells.withColumn("_b", bounds(F.when(F.col("k") >= len(POISSON_95), F.col("_profile"))))
+    limit = F.least(F.lit(1.0), F.get(F.array(*map(F.lit, POISSON_95)), F.col("k").cast("int")) / F.col("docs"))
+    few = F.col("k") < len(POISSON_95)
+    return cells.select(*keys, "n", "k", "docs", (F.col("k").cast("double") / F.col("n").cast("double")).alias("rate"), "_b.lower_95", F.when(few, limit).otherwise(F.col("_b.upper_95")).alias("upper_95"))

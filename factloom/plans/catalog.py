@@ -508,10 +508,28 @@ def reason_classes(spark, sf_dir):
 @query(_OUTCOME_SQL + """, d AS (SELECT kind, doc, count(*) AS n, count(*) FILTER (status = 'verified') AS k FROM o GROUP BY 1, 2)
 SELECT kind, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k, CAST(sum(k) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS rate, count(*) AS docs, count(*) FILTER (k < 5) AS few FROM d GROUP BY 1""")
 def receipt_intervals(spark, sf_dir):
+    """The counts that intervals start from; ``receipt_cell_intervals`` gives the intervals."""
     d = _outcomes(spark, sf_dir).groupBy("kind", "doc").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "verified").alias("k"))
     return d.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), (F.sum("k").cast("double") / F.sum("n").cast("double")).alias("rate"), F.count("*").alias("docs"), F.count_if(F.col("k") < 5).alias("few"))
 
 
+@query()
+def receipt_cell_intervals(spark, sf_dir):
+    """Accepted shares by kind with 95 % intervals; its bootstrap is random, so it has no SQL."""
+    return R.cell_intervals(_outcomes(spark, sf_dir), ["kind"], "doc", F.col("status") == "verified")
+
+
+@query("""
+WITH d AS (SELECT l_partkey AS part, l_returnflag AS kind, l_orderkey AS doc, count(*) AS n, count(*) FILTER (l_quantity >= 25) AS k FROM lineitem GROUP BY 1, 2, 3),
+c AS (SELECT part, kind, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k, count(*) AS docs FROM d GROUP BY 1, 2)
+SELECT part, kind, n, k, docs, CAST(k AS DOUBLE) / CAST(n AS DOUBLE) AS rate, least(1.0, CASE k WHEN 0 THEN 3.0 WHEN 1 THEN 4.74 WHEN 2 THEN 6.30 WHEN 3 THEN 7.75 ELSE 9.15 END::DOUBLE / docs) AS upper_95
+FROM c WHERE k < 5""")
+def receipt_cell_limits(spark, sf_dir):
+    """The Poisson branch: cells of parts and kinds with fewer than five accepts."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("kind"), F.col("l_orderkey").alias("doc"), (F.col("l_quantity") >= 25).alias("ok"))
+    return R.cell_intervals(rows, ["part", "kind"], "doc", F.col("ok")).where("k < 5").drop("lower_95")
+
+
 @query("WITH " + _FIELDS_SQL + """, b AS (SELECT doc_id, path, status FROM f WHERE NOT (status = 'unsupported' AND value LIKE '1%')),
 a AS (SELECT doc_id, path, CASE WHEN doc_id % 7 = 0 THEN 'needs_review' ELSE status END AS status FROM f WHERE value NOT LIKE '9%')
 SELECT coalesce(b.status, 'absent') AS was, coalesce(a.status, 'absent') AS now, count(*) AS n FROM b FULL OUTER JOIN a USING (doc_id, path) GROUP BY 1, 2""")

@@ -141,3 +141,34 @@ def test_report_stays_off_its_inputs(spark, tmp_path):
             readers.write_report(rows, str(bad), [str(source)])
     readers.write_report(rows, str(tmp_path / "claims-report"), [str(source)])
     assert spark.read.json(str(tmp_path / "claims-report")).count() == 1
+
+
+def test_cell_intervals(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [("few%d" % k, d, "verified" if d < k else None) for k in range(5) for d in range(12)]
+    rows += [("capped", 1, "verified"), ("capped", None, "no"), ("capped", None, "no"), (None, 1, "no")]
+    rows += [("alike", d, s) for d in range(9) for s in ("verified", "no")]
+    rows += [("mixed", d, rng.choice(["verified", "no", "no"] if d % 3 else ["verified"])) for d in range(60) for _ in range(rng.randint(1, 15))]
+    df = spark.createDataFrame(rows, "cell string, doc int, status string")
+    got = {r.cell: r for r in relational.cell_intervals(df, ["cell"], "doc", F.col("status") == "verified").collect()}
+    for k, limit in enumerate((3.0, 4.74, 6.30, 7.75, 9.15)):
+        r = got["few%d" % k]
+        assert (r.n, r.k, r.docs, r.rate, r.lower_95, r.upper_95) == (12, k, 12, k / 12, None, min(1.0, limit / 12))
+    assert (got["capped"].docs, got["capped"].upper_95, got[None].upper_95) == (2, 1.0, 1.0)
+    assert (got["alike"].lower_95, got["alike"].upper_95) == (0.5, 0.5)
+    per = {}
+    for cell, d, s in rows:
+        if cell == "mixed":
+            n, k = per.get(d, (0, 0))
+            per[d] = (n + 1, k + (s == "verified"))
+    shares = []
+    for _ in range(2000):
+        drawn = rng.choices(list(per.values()), k=len(per))
+        shares.append(sum(k for _, k in drawn) / sum(n for n, _ in drawn))
+    shares.sort()
+    m, wide = got["mixed"], shares[1949] - shares[50]
+    assert abs(m.lower_95 - shares[50]) < 0.1 * wide and abs(m.upper_95 - shares[1949]) < 0.1 * wide

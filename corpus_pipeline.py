@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, secrets, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the
-last return the columns of ``documents``; the last returns the packed pieces.
+last return the columns of ``documents``; the last returns the packed pieces. Each row is a
+document of its own, also where doc_ids repeat or are null.
 """
 
 from __future__ import annotations
@@ -16,27 +17,37 @@ from factloom.llm.storage import materialize, read
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a unique _row, written, so that every use sees the same numbers."""
+    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")), name)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the classifier keep."""
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    kept = quality.quality(docs, labels).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    return quality.quality(docs, labels, carry=COLUMNS[1:]).where("kept").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near-duplicates: five-word shingles, 0.8 or more."""
-    kept = neardup.near_duplicates(docs, shingle_words=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """The first document of every group of near-duplicates: five-word shingles, 0.8 or more.
+    The first has the smallest doc_id; null ones come last, and of rows that repeat one stays."""
+    docs = _numbered(docs, "numbered")
+    found = neardup.near_duplicates(docs.select(F.col("_row").alias("doc_id"), "text"), shingle_words=5, percent=80)
+    found = found.select(F.col("doc_id").alias("_row"), "component_id").join(docs.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_row"))
+    kept = found.groupBy("component_id").agg(first.alias("_first")).select("_first._row")
+    return docs.join(kept, "_row", "left_semi").select(COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 200-byte strings that stand elsewhere too. Where a cut splits
     a character, its remaining bytes go; n_chars follows the new text."""
-    cut = passages.repeated_passages(docs, length=200, keep_bytes=True).where("n_removed > 0").select("doc_id", F.try_validate_utf8("kept_bytes").alias("_valid"), F.make_valid_utf8("kept_bytes").alias("_left"))
+    docs = _numbered(docs, "numbered")
+    cut = passages.repeated_passages(docs.select(F.col("_row").alias("doc_id"), "text"), length=200, keep_bytes=True).where("n_removed > 0").select(F.col("doc_id").alias("_row"), F.try_validate_utf8("kept_bytes").alias("_valid"), F.make_valid_utf8("kept_bytes").alias("_left"))
     left = F.coalesce("_valid", F.replace("_left", F.lit("�"), F.lit("")))
-    new = cut.select("doc_id", left.alias("_text"))
+    new = cut.select("_row", left.alias("_text"))
     text = F.coalesce("_text", "text")
-    return docs.join(new, "doc_id", "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast("long").alias("n_chars"))
+    return docs.join(new, "_row", "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast("long").alias("n_chars"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

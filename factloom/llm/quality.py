@@ -8,7 +8,7 @@ is a mean of looked-up weights, so no feature vector is built.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float,
     return (weights, bias, *platt(scores, label[held]))
 
 
-def _judge(model: tuple[np.ndarray, float, float, float]):
+def _judge(model: tuple[np.ndarray, float, float, float], keep_text: bool = False):
     weights, bias, slope, shift = model
     weights = weights.astype(np.float32)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -153,25 +153,29 @@ def _judge(model: tuple[np.ndarray, float, float, float]):
                     parts[n].append(x)
                 parts["probability"].append(sigmoid(slope * _score(texts, weights, bias) + shift))
             cols = {n: np.concatenate(x) if x else np.zeros(0) for n, x in parts.items()}
-            kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(cols[n].astype(np.int64)) for n in names), pa.array(cols["probability"].astype(np.float64))], names=[*(n for n in batch.schema.names if n != "text"), *names, "probability"])
+            held = [n for n in batch.schema.names if keep_text or n != "text"]
+            kept = [batch.column(batch.schema.get_field_index(n)) for n in held]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(cols[n].astype(np.int64)) for n in names), pa.array(cols["probability"].astype(np.float64))], names=[*held, *names, "probability"])
 
     return run
 
 
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept and probability (calibrated, of good quality).
 
     Needs doc_id and text in ``docs`` and doc_id and label (1 good, 0 bad) in ``labels``;
     other columns are ignored. Null and empty texts have no words and fail the rules. Several
     labels of a document count as the highest. Repeated rows are judged alike; empty tables
-    give empty results.
+    give empty results. Columns of ``docs`` named in ``carry`` stay beside each row's verdict.
     """
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    more = [c for c in carry if c not in ("doc_id", "text")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("string").alias("text"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
     model = train(docs, labels)
-    out = docs.mapInArrow(_judge(model), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, probability double")
+    held = docs if "text" in carry else docs.drop("text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
+    out = docs.mapInArrow(_judge(model, "text" in carry), f"{schema}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, probability double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("probability") >= KEEP_FROM)).alias("kept"), "probability")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("probability") >= KEEP_FROM)).alias("kept"), "probability", *(c for c in held.columns if c != "doc_id"))

@@ -1,6 +1,7 @@
 """The corpus pipeline on the smallest tables, stage by stage against brute force."""
 
 import collections
+import hashlib
 import re
 
 import pytest
@@ -112,3 +113,41 @@ def test_packing_holds_every_token_once(stages):
             assert offset == at
             at += length
         assert at <= 1024
+
+
+def odd_documents(spark, rows):
+    docs = spark.createDataFrame([(i, t, "en", "web", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.repartition(3)
+
+
+def told(df):
+    return sorted(((r.doc_id, r.text, r.n_chars) for r in df.collect()), key=repr)
+
+
+def wordy(seed, n=60):
+    return " ".join(hashlib.sha256(f"{seed} {k}".encode()).hexdigest()[:6] for k in range(n))
+
+
+def test_quality_judges_each_row(spark, monkeypatch):
+    monkeypatch.setattr(P, "read", lambda *_: spark.createDataFrame([], "doc_id long, quality int"))
+    good = [wordy(k) for k in range(3)]
+    rows = [(None, good[0]), (None, "too short"), (7, good[1]), (7, "short too"), (7, good[1]), (8, None), (9, good[2])]
+    out = P.quality_rules(spark, odd_documents(spark, rows), DIR)
+    assert out.columns == P.COLUMNS
+    assert told(out) == sorted(((i, t, len(t)) for i, t in rows if t in good), key=repr)
+
+
+def test_near_duplicates_judges_each_row(spark):
+    a, b, c, d = (wordy(k) for k in "abcd")
+    rows = [(5, a), (5, a), (3, a + " more"), (None, b), (None, b), (None, c), (4, c), (6, d), (6, b + " other " + d), (None, None), (None, None), (8, "")]
+    out = told(P.near_duplicates(spark, odd_documents(spark, rows), DIR))
+    want = [(3, a + " more"), (None, b), (4, c), (6, d), (6, b + " other " + d), (None, None), (None, None), (8, "")]
+    assert out == sorted(((i, t, None if t is None else len(t)) for i, t in want), key=repr)
+
+
+def test_repeated_passages_judges_each_row(spark):
+    shared = wordy("s")[:250]
+    rows = [(1, "A" + shared + "B"), (1, "C" + shared + "D"), (1, "alone"), (None, "E" + shared + "F"), (None, "none"), (2, None)]
+    want = [(1, "AB"), (1, "CD"), (1, "alone"), (None, "EF"), (None, "none"), (2, None)]
+    out = told(P.repeated_passages(spark, odd_documents(spark, rows), DIR))
+    assert out == sorted(((i, t, None if t is None else len(t)) for i, t in want), key=repr)

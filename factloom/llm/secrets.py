@@ -64,7 +64,7 @@ _DICT = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 3), key=le
 _NAME = re.compile(rb"[a-z][a-z0-9_-]*")
 _DIRECT = re.compile(rb"(?:" + _CUE.encode() + rb""")(?:orization)?s?(?:[_-][a-z0-9_-]*)?["'`\])]{0,2}\s{0,3}[:=]+>?\s{0,3}["'`]?$""")
 # Values that code or a template fetches from elsewhere.
-_REFERENCE = re.compile(rb"^[$%{\[<]|\$\{|\{\{|[a-z_]\w*\(|\w\[|^[a-z_]\w*(?:(?:\.|->|::)[a-z_]\w*)+$")
+_REFERENCE = re.compile(rb"^[$%{\[<]|\$\{|\{\{|[a-z_]\w{0,60}+\(|\w\[|^[a-z_]\w*(?:(?:\.|->|::)[a-z_]\w*)+$")
 
 
 def assigned(text: bytes) -> list[tuple[int, int, str]]:
@@ -117,7 +117,7 @@ def candidates(texts: list[bytes]) -> list[list[tuple[int, int, str]]]:
 
 def features(text: bytes, start: int, stop: int) -> np.ndarray:
     value = text[start:stop]
-    raw = np.frombuffer(value[:4096], np.uint8)
+    raw = np.frombuffer(value, np.uint8)
     n = max(1, len(raw))
     upper, digit = (raw >= 65) & (raw <= 90), _DIGIT[raw]
     lower = _LETTER[raw] & ~upper
@@ -127,7 +127,7 @@ def features(text: bytes, start: int, stop: int) -> np.ndarray:
     before = text[max(0, start - AROUND) : start].lower()
     after = text[stop : stop + AROUND].lower()
     names = _NAME.findall(before)[-2:]
-    low = value[:4096].lower()
+    low = value.lower()
     return np.array(
         [
             np.log1p(len(value)),

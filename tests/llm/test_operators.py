@@ -371,6 +371,22 @@ def test_secret_search_is_linear(part):
     assert time.process_time() - begun < 10
 
 
+def test_secret_features_see_whole_values():
+    value = b"a1" * 2048 + b"Q" * 4095 + b"." + b"table" * 1000 + b".py"
+    text = b"token = " + value
+    f = secrets.features(text, 8, len(text))
+    n = len(value)
+    classes = ["d" if c in b"0123456789" else "u" if 65 <= c <= 90 else "l" if 97 <= c <= 122 else "o" for c in value]
+    counts = collections.Counter(value)
+    entropy = -sum(c / n * np.log2(c / n) for c in counts.values())
+    want = [np.log1p(n), *(classes.count(x) / n for x in "dulo"), sum(a != b for a, b in zip(classes, classes[1:])) / n, entropy, entropy / np.log2(n), sum(c in b"0123456789abcdefABCDEF" for c in value) / n, 5000 / n]
+    assert np.allclose(f[:10], want) and f[20]
+    long = b"x9" * 1_000_000
+    begun = time.process_time()
+    secrets.features(long, 0, len(long))
+    assert time.process_time() - begun < 10
+
+
 def test_minimum_bin_slack_is_fullest():
     rng = random.Random(3)
     for _ in range(100):

@@ -5,47 +5,102 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Spellings of numbers. Digits and separators only.
-COMMA_THOUSANDS = r"\A\d{1,3}(,\d{3})+(\.\d+)?\z"
-DOT_THOUSANDS_COMMA = r"\A\d{1,3}(\.\d{3})+,\d{1,2}\z"
-DOT_THOUSANDS_MANY = r"\A\d{1,3}(\.\d{3}){2,}\z"
-DOT_THOUSANDS_ONE = r"\A[1-9]\d{0,2}\.\d{3}\z"
-COMMA_DECIMAL = r"\A\d*,\d{1,2}\z"
-PLAIN = r"\A(\d+(\.\d+)?|\.\d+)\z"
-INDIAN = r"\A\d{1,2}(,\d{2})+,\d{3}(\.\d+)?\z"
 ISO_DAY = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
+_ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _joined(groups: Column) -> Column:
+    return F.array_join(groups, "")
+
+
+def spelling(token: Column) -> Column:
+    """struct<groups, marks, sizes, joined, body, part>: a token's groups of digits, the
+    separators between them, the groups' lengths, all digits, those before the last separator and
+    those after it. Marks hold a ``?`` for any other character."""
+    plain = F.translate(token, _ARABIC_DIGITS, "0123456789")
+    marks = F.regexp_replace(F.translate(plain, "0123456789", ""), "[^.,٫٬]", "?")
+
+    def parts(groups: Column) -> Column:
+        head = F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0)))
+        return F.struct(groups.alias("groups"), marks.alias("marks"), F.transform(groups, F.length).alias("sizes"), _joined(groups).alias("joined"), _joined(head).alias("body"), F.try_element_at(groups, F.lit(-1)).alias("part"))
+
+    return _let(F.split(plain, "[^0-9]"), parts)
+
+
+def _roles(said: Column) -> tuple[Column, Column, Column, Column]:
+    """(all separators group by comma, ... by dot, all but the last group by comma and that is a
+    dot, ... by dot and that is a comma); none of them without a separator."""
+    marks, n = said["marks"], F.length(said["marks"])
+    head = F.substring(marks, F.lit(1), n - 1)
+    all_of = lambda text, sign: (F.length(text) > 0) & (F.replace(text, F.lit(sign), F.lit("")) == "")
+    ends = lambda sign: F.endswith(marks, F.lit(sign))
+    return all_of(marks, ","), all_of(marks, "."), all_of(head, ",") & ends("."), all_of(head, ".") & ends(",")
+
+
+def _in_threes(sizes: Column) -> Column:
+    return F.get(sizes, F.lit(0)).between(1, 3) & F.forall(F.slice(sizes, 2, F.size(sizes)), lambda n: n == 3)
+
+
+def _in_lakhs(sizes: Column) -> Column:
+    inner = F.slice(sizes, 2, F.greatest(F.size(sizes) - 2, F.lit(0)))
+    return (F.size(sizes) > 2) & F.get(sizes, F.lit(0)).between(1, 2) & (F.try_element_at(sizes, F.lit(-1)) == 3) & F.forall(inner, lambda n: n == 2)
 
 
 def number_readings(token: Column, style: Column | None = None) -> Column:
-    """array<struct<value decimal(38,6), places int>>: every reading of a token.
+    """array<struct<value decimal(38,10), places int>>: every reading of a token.
 
     ``style`` is ``decimal``, ``thousands`` or null: what a lone dot before three digits
     means. Unsupported spellings give an empty array.
     """
     style = F.lit(None).cast("string") if style is None else style
-    plain = lambda t: F.struct(t.try_cast("decimal(38,6)").alias("value"), F.when(F.instr(t, ".") > 0, F.length(t) - F.instr(t, ".")).otherwise(0).cast("int").alias("places"))
-    no_comma, no_dot = F.replace(token, F.lit(","), F.lit("")), F.replace(token, F.lit("."), F.lit(""))
-    to_dot = F.replace(no_dot, F.lit(","), F.lit("."))
-    none = F.array().cast("array<struct<value:decimal(38,6),places:int>>")
+    none = F.array().cast("array<struct<value:decimal(38,10),places:int>>")
+    return F.coalesce(_let(spelling(token), lambda said: _readings(said, style)), none)
+
+
+def _readings(said: Column, style: Column) -> Column:
+    sizes, part, marks = said["sizes"], said["part"], said["marks"]
+    body_sizes = F.slice(sizes, 1, F.greatest(F.size(sizes) - 1, F.lit(0)))
+    n_part = F.length(part)
+    reading = lambda text, places: F.struct(text.try_cast("decimal(38,10)").alias("value"), places.cast("int").alias("places"))
+    joined = reading(said["joined"], F.lit(0))
+    pointed = reading(F.concat(F.when(said["body"] == "", "0").otherwise(said["body"]), F.lit("."), part), n_part)
+    commas, dots, comma_point, dot_point = _roles(said)
+    arabic = F.replace(marks, F.lit("٬"), F.lit(""))
+    many = F.size(sizes) > 2
+    grouped = lambda s: _in_threes(s) | _in_lakhs(s)
+    lone = (marks == ".") & (n_part == 3) & F.get(sizes, F.lit(0)).between(1, 3) & ~F.startswith(said["joined"], F.lit("0"))
     return (
-        F.when(token.rlike(COMMA_THOUSANDS), F.array(plain(no_comma)))
-        .when(token.rlike(DOT_THOUSANDS_COMMA), F.array(plain(to_dot)))
-        .when(token.rlike(DOT_THOUSANDS_MANY), F.array(plain(no_dot)))
-        .when(token.rlike(COMMA_DECIMAL), F.array(plain(F.replace(token, F.lit(","), F.lit(".")))))
-        .when(token.rlike(DOT_THOUSANDS_ONE) & style.isNull(), F.array(plain(token), plain(no_dot)))
-        .when(token.rlike(DOT_THOUSANDS_ONE) & (style == "thousands"), F.array(plain(no_dot)))
-        .when(token.rlike(PLAIN), F.array(plain(token)))
-        .when(token.rlike(INDIAN), F.array(plain(no_comma)))
-        .otherwise(none)
+        F.when(marks == "", F.when(F.get(sizes, F.lit(0)) > 0, F.array(joined)))
+        .when(lone, F.when(style == "thousands", F.array(joined)).when(style == "decimal", F.array(pointed)).otherwise(F.array(pointed, joined)))
+        .when(marks == ".", F.when(n_part > 0, F.array(pointed)))
+        .when(commas & grouped(sizes), F.array(joined))
+        .when(marks == ",", F.when(n_part.between(1, 2), F.array(pointed)))
+        .when(comma_point & grouped(body_sizes), F.when(n_part > 0, F.array(pointed)))
+        .when(dots & many & _in_threes(sizes), F.array(joined))
+        .when(dot_point & _in_threes(body_sizes), F.when(n_part.between(1, 2), F.array(pointed)))
+        .when((arabic == "") & (marks != "") & _in_threes(sizes), F.array(joined))
+        .when((arabic == "٫") & F.endswith(marks, F.lit("٫")) & ((marks == "٫") | _in_threes(body_sizes)), F.when(n_part > 0, F.array(pointed)))
     )
 
 
 def number_style(token: Column) -> Column:
-    """What a token proves about the dot: ``decimal``, ``thousands`` or null."""
-    return (
-        F.when(token.rlike(r"\A\d{1,3}(,\d{3})+\.\d+\z") | (token.rlike(r"\A\d*\.\d+\z") & ~token.rlike(DOT_THOUSANDS_ONE)), "decimal")
-        .when(token.rlike(DOT_THOUSANDS_COMMA) | token.rlike(DOT_THOUSANDS_MANY) | token.rlike(COMMA_DECIMAL), "thousands")
-    )
+    """What a token proves about the dot: ``decimal`` (comma groups, then a point and one or two
+    digits), ``thousands`` (several dot groups, or dot groups, a comma and one or two digits) or
+    null, as most spellings do: 4.00, 3,5 and 60.000 prove nothing."""
+    return _let(spelling(token), _style)
+
+
+def _style(said: Column) -> Column:
+    sizes, n_part = said["sizes"], F.length(said["part"])
+    body_sizes = F.slice(sizes, 1, F.greatest(F.size(sizes) - 1, F.lit(0)))
+    _, dots, comma_point, dot_point = _roles(said)
+    cents = n_part.between(1, 2) & _in_threes(body_sizes)
+    return F.when(comma_point & cents, "decimal").when((dot_point & cents) | (dots & (F.size(sizes) > 2) & _in_threes(sizes)), "thousands")
 
 
 def settled(found: Column, default: Column | None = None) -> Column:
@@ -76,10 +131,12 @@ def _day(year: Column, month: Column, day: Column) -> Column:
 def numeric_date(text: Column) -> Column:
     """struct<mdy date, dmy date>: the calendar-valid readings of a whole numeric date with one
     separator throughout; two-digit years 69 to 99 are 19xx, others 20xx."""
-    shape = r"\A(\d{1,2})([/.\-])(\d{1,2})\2(\d{4}|\d{2})\z"
-    a, b, y = (F.regexp_extract(text, shape, k) for k in (1, 3, 4))
+    fields = F.split(text, "[/.-]")
+    a, b, y = (F.get(fields, k) for k in range(3))
+    signs = F.translate(text, "0123456789", "")
+    short = lambda x: F.length(x).between(1, 2)
+    ok = signs.isin("//", "..", "--") & short(a) & short(b) & F.length(y).isin(2, 4)
     year = F.when(F.length(y) == 4, y).when(y >= "69", F.concat(F.lit("19"), y)).otherwise(F.concat(F.lit("20"), y))
-    ok = text.rlike(shape)
     return F.struct(F.when(ok, _day(year, a, b)).alias("mdy"), F.when(ok, _day(year, b, a)).alias("dmy"))
 
 
@@ -112,10 +169,16 @@ def check_date(claim: Column, readings: Column, order: Column) -> Column:
 def check_bool(value: Column, evidence: Column) -> Column:
     """Does a quote give one explicit answer, after a label or alone, and is it ``value``?"""
     text = F.lower(F.trim(F.regexp_replace(evidence, r"\s+", " ")))
-    shape = r"\A(?:(\w[\w ()/&,'\-]*)\s*[:=]\s*)?(yes|no|true|false)\.?\z"
-    label, answer = F.regexp_extract(text, shape, 1), F.regexp_extract(text, shape, 2)
-    clear = text.rlike(shape) & ~label.rlike(r"\b(yes|no|true|false)\b")
-    return F.when(~clear, "unclear").when(value == answer.isin("yes", "true"), "supported").otherwise("unsupported")
+    said = F.when(F.endswith(text, F.lit(".")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    answer = F.regexp_extract(said, "[a-z]+$", 0)
+    before = F.rtrim(F.substring(said, F.lit(1), F.length(said) - F.length(answer)))
+    label = F.rtrim(F.substring(before, F.lit(1), F.length(before) - 1))
+    labelled = F.endswith(before, F.lit(":")) | F.endswith(before, F.lit("="))
+    odd = F.regexp_replace(label, r"[\w ()/&,'\-]", "")
+    answers = F.array(*map(F.lit, ("yes", "no", "true", "false")))
+    sound = labelled & (odd == "") & F.substring(label, 1, 1).rlike(r"\w") & ~F.arrays_overlap(F.split(label, r"\W+"), answers)
+    clear = F.array_contains(answers, answer) & ((before == "") | sound)
+    return F.when(~F.coalesce(clear, F.lit(False)), "unclear").when(value == answer.isin("yes", "true"), "supported").otherwise("unsupported")
 
 
 def digits_present(value: Column, evidence: Column) -> Column:

@@ -140,12 +140,30 @@ def check_string(value: str, evidence: str, tolerance: int = 0) -> tuple[bool, s
     return False, "evidence does not show the value"
 
 
-_ANSWER = re.compile(r"(?:(\w[\w ()/&,'-]*)\s*[:=]\s*)?(yes|no|true|false)\.?")
+#: Answers and the signs that a label may hold.
+ANSWERS = {"yes": True, "true": True, "no": False, "false": False}
+LABEL_SIGNS = " ()/&,'-_"
+
+
+def _answer(said: str) -> bool | None:
+    """The one explicit answer of a text: it stands alone or after a label and a colon or equal
+    sign, and the label holds no answer of its own."""
+    said = said.removesuffix(".")
+    word = next((w for w in ANSWERS if said.endswith(w)), "")
+    before = said[: len(said) - len(word)].rstrip()
+    if not word:
+        return None
+    if before:
+        label = before[:-1].rstrip()
+        if before[-1] not in ":=" or not label or not (label[0].isalnum() or label[0] == "_"):
+            return None
+        if not all(c.isalnum() or c in LABEL_SIGNS for c in label) or ANSWERS.keys() & set(re.split(r"\W+", label)):
+            return None
+    return ANSWERS[word]
 
 
 def check_bool(value: bool, evidence: str) -> tuple[bool, str]:
-    found = _ANSWER.fullmatch(normalise(evidence)[0].casefold())
-    if not found or re.search(r"\b(?:yes|no|true|false)\b", found[1] or ""):
+    answer = _answer(normalise(evidence)[0].casefold())
+    if answer is None:
         return False, "evidence does not show one explicit yes/no or true/false answer"
-    ok = value == (found[2] in ("yes", "true"))
-    return ok, "" if ok else "evidence does not show this answer"
+    return value == answer, "" if value == answer else "evidence does not show this answer"

@@ -51,7 +51,7 @@ class Page:
         self.text = self.text or " ".join(w.text for w in self.words)
         self.plain, self.source = text.normalise(self.text)
         self._fold: tuple[str, list[int]] | None = None
-        self._tokens: list[numbers.Token] | None = None
+        self._tokens: list[tuple[int, int, numbers.Token]] | None = None
 
     @property
     def fold(self) -> tuple[str, list[int]]:
@@ -62,9 +62,7 @@ class Page:
     def tokens(self) -> list[tuple[int, int, numbers.Token]]:
         """Number tokens with their ranges in ``text``."""
         if self._tokens is None:
-            shown = laid_out(self.text, 0, self.words)
-            plain = "".join("\n" if c == " " and shown[at] == "\n" else c for c, at in zip(self.plain, self.source, strict=True))
-            self._tokens = [(self.source[t.start], self.source[t.stop - 1] + 1, t) for t in numbers.tokens(plain)]
+            self._tokens = [(t.start, t.stop, t) for t in numbers.tokens(laid_out(self.text, 0, self.words))]
         return self._tokens
 
     def touched(self, start: int, stop: int) -> list[Word]:

@@ -131,35 +131,125 @@ def _tokens(spark, sf_dir) -> DataFrame:
     return rows
 
 
-@query(_TOKENS_SQL + """
-SELECT s AS spelling, count(*) AS n, count(*) AS n_one_reading, CAST(sum(price) AS DOUBLE) AS total FROM parts, (SELECT unnest([0, 1, 2, 3]) AS s) GROUP BY 1""")
+_SPELT_SQL = """
+WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(floor(l_extendedprice) AS BIGINT) AS whole, CAST(l_quantity AS BIGINT) AS q, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT) % 100 AS cents, l_orderkey + l_linenumber AS k FROM lineitem),
+t AS (SELECT *, lpad(CAST(cents AS VARCHAR), 2, '0') AS c2, format('{:,}', whole) AS g FROM l),
+s AS (SELECT *, CASE k % 12 WHEN 0 THEN g || '.' || c2 WHEN 1 THEN replace(g, ',', '.') || ',' || c2 WHEN 2 THEN CAST(q AS VARCHAR) || '.00' WHEN 3 THEN CAST(q AS VARCHAR) || ',5' WHEN 4 THEN replace(g, ',', '.') WHEN 5 THEN g
+  WHEN 6 THEN CAST(whole AS VARCHAR) || '.' || c2 WHEN 7 THEN replace(g, ',', '.') || '.000.000' WHEN 8 THEN g || '.' || c2 || '0' WHEN 9 THEN CAST(whole AS VARCHAR) || ',' || c2 WHEN 10 THEN '12,34,567.' || c2 ELSE '.' || c2 END AS token FROM t)
+"""
+_STYLE_SQL = r"""CASE WHEN regexp_full_match(token, '[0-9]{1,3}(,[0-9]{3})+\.[0-9]{1,2}') THEN 'decimal' WHEN regexp_full_match(token, '[0-9]{1,3}(\.[0-9]{3}){2,}|[0-9]{1,3}(\.[0-9]{3})+,[0-9]{1,2}') THEN 'thousands' END"""
+
+
+def _spelt(spark, sf_dir) -> DataFrame:
+    """The lines' prices and quantities in twelve spellings, most of which prove no convention."""
+    price = _money("l_extendedprice")
+    whole, q, k = F.floor(price).cast("long"), F.col("l_quantity").cast("long").cast("string"), (F.col("l_orderkey") + F.col("l_linenumber")) % 12
+    grouped, cents = F.format_string("%,d", whole), F.lpad(F.pmod((price * 100).cast("long"), F.lit(100)).cast("string"), 2, "0")
+    dotted, said, plain = F.replace(grouped, F.lit(","), F.lit(".")), F.lit("."), whole.cast("string")
+    forms = [F.concat(grouped, said, cents), F.concat(dotted, F.lit(","), cents), F.concat(q, F.lit(".00")), F.concat(q, F.lit(",5")), dotted, grouped, F.concat(plain, said, cents), F.concat(dotted, F.lit(".000.000")), F.concat(grouped, said, cents, F.lit("0")), F.concat(plain, F.lit(","), cents), F.concat(F.lit("12,34,567."), cents), F.concat(said, cents)]
+    token = F.when(k == 0, forms[0])
+    for i, form in enumerate(forms[1:], 1):
+        token = token.when(k == i, form)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", k.alias("form"), token.alias("token"))
+
+
+@query(_SPELT_SQL + r""", r AS (SELECT k % 12 AS form, token, CASE
+  WHEN regexp_full_match(token, '[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?|[0-9]{1,2}(,[0-9]{2})+,[0-9]{3}(\.[0-9]+)?') THEN replace(token, ',', '')
+  WHEN regexp_full_match(token, '[0-9]{1,3}(\.[0-9]{3})+,[0-9]{1,2}|[0-9]{1,3}(\.[0-9]{3}){2,}') THEN replace(replace(token, '.', ''), ',', '.')
+  WHEN regexp_full_match(token, '[0-9]*,[0-9]{1,2}') THEN replace(token, ',', '.')
+  WHEN regexp_full_match(token, '[0-9]+(\.[0-9]+)?|\.[0-9]+') THEN token END AS first_value, regexp_full_match(token, '[1-9][0-9]{0,2}\.[0-9]{3}') AS two FROM s)
+SELECT form, count(*) AS n, count(first_value) AS n_read, count(*) FILTER (two) AS n_undecided, CAST(sum(CAST(first_value AS DECIMAL(28,4))) AS DOUBLE) AS total FROM r GROUP BY 1""")
 def number_parse_styles(spark, sf_dir):
-    r = C.number_readings(F.col("token"))
-    rows = _tokens(spark, sf_dir).withColumn("r", r)
-    return rows.groupBy("spelling").agg(F.count("*").alias("n"), F.count_if(F.size("r") == 1).alias("n_one_reading"), F.sum(F.col("r")[0]["value"].cast("decimal(18,2)")).cast("double").alias("total"))
+    rows = _spelt(spark, sf_dir).select("form", C.number_readings(F.col("token")).alias("r"))
+    return rows.groupBy("form").agg(F.count("*").alias("n"), F.count_if(F.size("r") > 0).alias("n_read"), F.count_if(F.size("r") == 2).alias("n_undecided"), F.sum(F.get("r", F.lit(0))["value"].cast("decimal(28,4)")).cast("double").alias("total"))
 
 
 @query(_TOKENS_SQL + """
-, c AS (SELECT d, CASE WHEN d IN (-1, 1) THEN 'unsupported' ELSE 'supported' END AS verdict FROM parts, (SELECT unnest([-1, 0, 1, 2]) AS d))
-SELECT d AS shift, verdict, count(*) AS n FROM c GROUP BY 1, 2""")
+, t AS (SELECT price, d, price + CASE WHEN d = 2 THEN 0.005 ELSE CAST(d AS DECIMAL(6,3)) * 0.01 END AS claim FROM parts, (SELECT unnest([-1, 0, 1, 2]) AS d))
+SELECT d AS shift, CASE WHEN abs(claim - price) <= 0.005 THEN 'supported' ELSE 'unsupported' END AS verdict, count(*) AS n FROM t GROUP BY 1, 2""")
 def number_check(spark, sf_dir):
-    rows = _tokens(spark, sf_dir).where("spelling = 0").select("price", "token", F.explode(F.array(*(F.lit(x) for x in (-1, 0, 1, 2)))).alias("shift"))
+    # a token is read once for all claims about it
+    rows = _tokens(spark, sf_dir).where("spelling = 0").select("price", C.number_readings(F.col("token")).alias("r"))
+    rows = rows.select("price", "r", F.explode(F.array(*(F.lit(x) for x in (-1, 0, 1, 2)))).alias("shift"))
     claim = F.col("price").cast("decimal(20,3)") + F.when(F.col("shift") == 2, F.lit("0.005").cast("decimal(20,3)")).otherwise(F.col("shift").cast("decimal(20,3)") / 100).cast("decimal(20,3)")
-    return rows.select("shift", C.check_number(claim, C.number_readings(F.col("token"))).alias("verdict")).groupBy("shift", "verdict").agg(F.count("*").alias("n"))
+    return rows.select("shift", C.check_number(claim, F.col("r")).alias("verdict")).groupBy("shift", "verdict").agg(F.count("*").alias("n"))
 
 
-@query("""
-WITH t AS (SELECT l_orderkey, CASE WHEN l_linenumber % 3 = 0 THEN CASE WHEN l_extendedprice >= 1 THEN 'decimal' END WHEN l_linenumber % 3 = 1 THEN 'thousands' END AS style FROM lineitem WHERE l_extendedprice >= 1000),
-s AS (SELECT l_orderkey, count(DISTINCT style) AS n, min(style) AS one FROM t GROUP BY 1)
-SELECT l_orderkey, n AS n_styles, CASE WHEN n = 1 THEN one WHEN n = 0 THEN 'decimal' END AS style FROM s""")
+@query(_SPELT_SQL + f"""
+, p AS (SELECT l_orderkey, {_STYLE_SQL} AS style FROM s), o AS (SELECT l_orderkey, count(DISTINCT style) AS n, min(style) AS one FROM p GROUP BY 1)
+SELECT l_orderkey, n AS n_styles, CASE WHEN n = 1 THEN one WHEN n = 0 THEN 'decimal' END AS style FROM o""")
 def number_style_by_order(spark, sf_dir):
-    rows = _tokens(spark, sf_dir).where("price >= 1000").withColumn("k", F.col("l_linenumber") % 3)
-    token = F.when(F.col("k") == 2, F.floor("price").cast("string")).otherwise(F.col("token"))
-    rows = rows.where("spelling = case when k = 0 then 0 else 1 end").select("l_orderkey", C.number_style(token).alias("style"))
+    rows = _spelt(spark, sf_dir).select("l_orderkey", C.number_style(F.col("token")).alias("style"))
     found = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("style")).alias("s"))
     return found.select("l_orderkey", F.size("s").cast("long").alias("n_styles"), C.settled(F.col("s"), F.lit("decimal")).alias("style"))
 
 
+_AROUND = ("{}", "Row 1 {}", "({})", "{}.", "AB{}CD", "{}%", "{}x", "{}e6", "{}²")
+
+
+@query(_SPELT_SQL + """
+, w AS (SELECT l_orderkey, l_linenumber, """ + _STYLE_SQL + """ AS style, k // 12 % 9 AS around, token FROM s),
+p AS (SELECT l_orderkey, style FROM w WHERE around IN (0, 1, 2) OR (around = 3 AND style IS NOT NULL))
+SELECT o.l_orderkey, coalesce(array_to_string(list_sort(list(DISTINCT style) FILTER (style IS NOT NULL)), ','), '') AS styles FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN p USING (l_orderkey) GROUP BY 1""")
+def number_conventions(spark, sf_dir):
+    """What whole texts prove: spellings in rows, brackets and sentences count, those inside
+    identifiers, rates, counts, exponents and powers don't."""
+    from factloom.operators.values import conventions
+
+    around = F.floor((F.col("l_orderkey") + F.col("l_linenumber")) / 12) % 9
+    said = F.lit(None).cast("string")
+    for i, frame in enumerate(_AROUND):
+        before, after = frame.split("{}")
+        said = F.when(around == i, F.concat(F.lit(before), "token", F.lit(after))).otherwise(said)
+    lines = _spelt(spark, sf_dir).select("l_orderkey", F.struct("l_linenumber", said.alias("said")).alias("x"))
+    texts = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["said"]), " ; ").alias("text"))
+    return conventions(texts).select("l_orderkey", F.array_join("number_styles", ",").alias("styles"))
+
+
+_SIGNED = (("{}", 1), ("({})", -1), ("{}-", -1), ("$ {}", 1), ("-$ {}", -1), ("{}%", 0), ("--{}", 0), ("1 {}", 0), ("Subtotal {} - 15% DISC", 1), ("{} / 2", 0), ("{}x7", 0))
+
+
+@query(_TOKENS_SQL + """
+SELECT l_orderkey, l_linenumber, CAST(sum(CASE k WHEN 0 THEN price WHEN 1 THEN -price WHEN 2 THEN -price WHEN 3 THEN price WHEN 4 THEN -price WHEN 8 THEN price ELSE 0 END) AS DOUBLE) AS total, count(*) FILTER (k IN (0, 1, 2, 3, 4, 8)) AS n
+FROM (SELECT *, l_partkey % 11 AS k FROM parts) GROUP BY l_orderkey, l_linenumber, l_partkey""")
+def numbers_in_text(spark, sf_dir):
+    """Signs, brackets, currencies and rates around amounts, as the scanner takes them."""
+    from factloom.operators.values import all_numbers
+
+    rows = _tokens(spark, sf_dir).where("spelling = 0")
+    said = F.lit(None).cast("string")
+    for i, (frame, _) in enumerate(_SIGNED):
+        before, after = frame.split("{}")
+        said = F.when(F.col("l_partkey") % len(_SIGNED) == i, F.concat(F.lit(before), "token", F.lit(after))).otherwise(said)
+    found = all_numbers(rows.select("l_orderkey", "l_linenumber", "l_partkey", said.alias("text"))).withColumn("t", F.aggregate("numbers", F.lit(0.0), lambda a, x: a + x))
+    return found.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.sum("t").alias("total"), F.sum(F.size("numbers")).alias("n")).drop("l_partkey")
+
+
+_DATE_FORMS = ("%Y-%m-%d", "%m/%d/%Y", "%m/%d/%y", "%d/%m/%Y", "%d/%m/%y", "%m-%d-%Y", "%d-%m-%Y", "%m-%d-%y", "%d-%m-%y", "%m.%d.%Y", "%d.%m.%Y", "%m.%d.%y", "%d.%m.%y", "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y", "%Y/%m/%d")
+_SPARK_FORMS = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%B": "MMMM", "%b": "MMM"}
+
+
+def _by_key(pieces: list[str]) -> str:
+    return "CASE k " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(pieces)) + " END"
+
+
+@query("WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_orderkey % 18 AS k FROM orders), t AS (SELECT *, " + _by_key([f"strftime(day, '{f}')" for f in _DATE_FORMS]) + " AS said FROM d) SELECT o_orderkey, said, CAST(CAST(coalesce(" + ", ".join(f"CASE WHEN regexp_matches(said, '[0-9]{{4}}') = {'%Y' in f} THEN try_strptime(said, '{f}') END" for f in _DATE_FORMS) + ") AS DATE) AS VARCHAR) AS day FROM t WHERE k NOT IN (2, 4, 7, 8, 11, 12) OR year(day) > 1999")
+def dates_parsed(spark, sf_dir):
+    """Every order's date in one of eighteen formats, alone or within a sentence, parsed from it."""
+    from factloom.operators.values import parsed_dates
+
+    day, k = F.to_date("o_orderdate"), F.col("o_orderkey") % len(_DATE_FORMS)
+    said = F.lit(None).cast("string")
+    for i, form in enumerate(_DATE_FORMS):
+        for c, spark_form in _SPARK_FORMS.items():
+            form = form.replace(c, spark_form)
+        said = F.when(k == i, F.date_format(day, form)).otherwise(said)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"), F.col("o_orderkey").alias("_k"), day.alias("_on"))
+    rows = rows.where(~(k.isin(2, 4, 7, 8, 11, 12)) | (F.year("_on") > 1999))
+    found = parsed_dates(rows.select("o_orderkey", "said", F.when((F.col("_k") % 5 == 0) | F.contains("said", F.lit("/")), F.col("said")).otherwise(F.concat(F.lit("Issued: "), "said", F.lit(" (copy)"))).alias("text")))
+    return found.select("o_orderkey", "said", F.col("day").cast("string").alias("day"))
+
+
 _DATES_SQL = """
 WITH d AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS day, o_orderkey % 4 AS form FROM orders),
 t AS (SELECT *, CASE form WHEN 0 THEN strftime(day, '%d/%m/%Y') WHEN 1 THEN strftime(day, '%m/%d/%Y') WHEN 2 THEN strftime(day, '%d.%m.%y') ELSE strftime(day, '%m-%d-%y') END AS said FROM d),
@@ -204,11 +294,12 @@ def date_check(spark, sf_dir):
 
 
 @query(r"""
-WITH t AS (SELECT o_orderkey, o_orderkey % 6 AS k, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders)
-SELECT k AS form, count(*) AS n, CAST(CASE WHEN k IN (0) THEN count(*) ELSE 0 END AS BIGINT) AS n_valid FROM t GROUP BY 1""")
+WITH t AS (SELECT o_orderkey % 6 AS k, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders),
+x AS (SELECT k, CASE k WHEN 0 THEN iso WHEN 1 THEN iso || chr(10) WHEN 2 THEN iso[1:5] || '13' || iso[8:] WHEN 3 THEN replace(iso, '-', '/') WHEN 4 THEN ' ' || iso ELSE iso[1:8] || '30' END AS said FROM t)
+SELECT k AS form, count(*) AS n, count(*) FILTER (regexp_full_match(said, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(said AS DATE) IS NOT NULL) AS n_valid FROM x GROUP BY 1""")
 def iso_date_strict(spark, sf_dir):
     iso, k = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 6
-    text = F.when(k == 0, iso).when(k == 1, F.concat(iso, F.lit("\n"))).when(k == 2, F.concat(F.substring(iso, 1, 5), F.lit("13"), F.substring(iso, 8, 3))).when(k == 3, F.replace(iso, F.lit("-"), F.lit("/"))).when(k == 4, F.concat(F.lit(" "), iso)).otherwise(F.concat(F.substring(iso, 1, 8), F.lit("32")))
+    text = F.when(k == 0, iso).when(k == 1, F.concat(iso, F.lit("\n"))).when(k == 2, F.concat(F.substring(iso, 1, 5), F.lit("13"), F.substring(iso, 8, 3))).when(k == 3, F.replace(iso, F.lit("-"), F.lit("/"))).when(k == 4, F.concat(F.lit(" "), iso)).otherwise(F.concat(F.substring(iso, 1, 8), F.lit("30")))
     return table(spark, sf_dir, "orders").select(k.alias("form"), C.iso_date(text).alias("d")).groupBy("form").agg(F.count("*").alias("n"), F.count("d").alias("n_valid"))
 
 

@@ -30,22 +30,31 @@ _BITS = 16
 _FAMILIES = 3
 WIDTH = _FAMILIES << _BITS
 _SCALE = 100.0
+#: Weights are scored as whole multiples of 1 / this.
+_UNIT = 1 << 24
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _WHITE = b" \t\n\x0b\x0c\r"
 
 
 def _features(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each family: feature number of every occurrence, and the bounds of each text."""
+    """For each family: feature number of every occurrence, and the bounds of each text. Grams
+    lie within one text each, so a text has the same features whatever stands beside it."""
     words = Words(texts, lower=True)
     out = [((words.hashes() >> U64(64 - _BITS)).astype(np.int64), words.bounds)]
     buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    ends = words.offset[1:] - 1
     for family, n in ((1, 3), (2, 5)):
         code = np.zeros(max(0, len(buf) - n + 1), U64)
         for k in range(n):
             code = (code << U64(8)) | buf[k : k + len(code)]
         code = (code * U64(0x9E3779B97F4A7C15)) >> U64(64 - _BITS)
-        out.append((code.astype(np.int64) + (family << _BITS), np.minimum(words.offset, len(code))))
+        size = np.maximum(0, ends - words.offset[:-1] - n + 1)
+        edge = np.zeros(len(buf) + 1, np.int64)  # +1 where a text's grams begin, -1 after the last
+        np.add.at(edge, words.offset[:-1], 1)
+        np.add.at(edge, words.offset[:-1] + size, -1)
+        inside = np.cumsum(edge[: len(code)]) > 0
+        out.append((code[inside].astype(np.int64) + (family << _BITS), np.concatenate(([0], np.cumsum(size)))))
     return out
 
 
@@ -86,13 +95,19 @@ def counted_rules(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def _score(texts: list[bytes], weights: np.ndarray, bias: float) -> np.ndarray:
+    """Scores by ``weights`` in units of 1 / ``_UNIT``. The sums are of integers, hence exact: a
+    text's score doesn't depend on its neighbours in the last bit either."""
     z = np.full(len(texts), bias)
     for feature, bounds in _features(texts):
         n = np.maximum(1, np.diff(bounds))
-        z += _SCALE * sum_by_text(weights[feature], bounds) / n
+        z += _SCALE * (sum_by_text(weights[feature], bounds) / (n * _UNIT))
     return z
 
 
+def _fixed_point(weights: np.ndarray) -> np.ndarray:
+    return np.round(weights * _UNIT).astype(np.int64)
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sparse features of labelled rows: columns and values as bytes."""
     for batch in batches:
@@ -121,9 +136,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float,
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
     found = texts.select("doc_id", "label", "text").mapInArrow(_cells, "doc_id long, label int, cols binary, values binary")
-    table = found.orderBy(F.xxhash64("doc_id")).toPandas()
+    table = found.toPandas()  # TRAIN_ROWS documents at most, in any order
     if table.empty:
         return np.zeros(WIDTH), 4.0, 1.0, 0.0
+    table = table.iloc[np.lexsort((table["values"], table["cols"], table["doc_id"]))].reset_index(drop=True)
+    table = table.iloc[np.argsort(mix64(table["doc_id"].to_numpy().astype(U64)), kind="stable")].reset_index(drop=True)
     label = table["label"].to_numpy()
     fold = np.arange(len(table)) % 4 == 0
     cols = [np.frombuffer(x, np.int32) for x in table["cols"]]
@@ -136,13 +153,14 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float,
 
     weights, bias = solve(~fold) if (~fold).any() else solve(fold)
     held = np.flatnonzero(fold)
-    scores = np.array([bias + (weights[cols[i]] * values[i]).sum() for i in held])
+    coarse = _fixed_point(weights) / _UNIT  # as texts are scored
+    scores = np.array([bias + (coarse[cols[i]] * values[i].astype(float)).sum() for i in held])
     return (weights, bias, *platt(scores, label[held]))
 
 
 def _judge(model: tuple[np.ndarray, float, float, float], keep_text: bool = False):
     weights, bias, slope, shift = model
-    weights = weights.astype(np.float32)
+    weights = _fixed_point(weights)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

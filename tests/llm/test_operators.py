@@ -157,6 +157,26 @@ def test_quality_learns(spark):
     assert sum(kept[i] == (i < 150) for i in range(0, 300, 3)) >= 98
 
 
+def test_quality_scores_a_text_by_itself(spark):
+    rng = random.Random(21)
+    texts = [t or "" for t in odd_texts()] + ["ab", "abcd", "x", *[words(rng, rng.randint(1, 90)) for _ in range(60)]]
+    raw = [t.encode() for t in texts]
+    weights = quality._fixed_point(np.random.default_rng(3).normal(size=quality.WIDTH))
+    alone = [quality._score([t], weights, 0.25)[0] for t in raw]
+    assert quality._score(raw, weights, 0.25).tolist() == alone
+    assert quality._score(raw[::-1], weights, 0.25).tolist() == alone[::-1]
+    one = raw[-1]
+    for n, (feature, bounds) in zip((0, 3, 5), quality._features([b"zz", one, b"", b"q"])):
+        size = bounds[2] - bounds[1]
+        assert size == (len(one.split()) if not n else max(0, len(one) - n + 1)) and bounds[-1] == len(feature)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, len(texts), 2)], "doc_id long, label int")
+    docs = frame(spark, texts)
+    runs = []
+    for dealt in (docs.coalesce(1), docs.repartition(7, F.xxhash64("doc_id")), docs.orderBy(F.desc("doc_id"))):
+        runs.append({r.doc_id: (r.probability, r.kept) for r in quality.quality(dealt, labels).collect()})
+    assert runs[0] == runs[1] == runs[2]
+
+
 def removed_by_brute_force(texts, length):
     raw = [(t or "").encode() for t in texts]
     n = collections.Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))

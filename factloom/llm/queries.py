@@ -16,11 +16,40 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+#: Roles as the layout with ``from`` and ``value`` names them.
+_FROM = {"user": "human", "assistant": "gpt"}
+
+
+def _as_records(rows: DataFrame) -> DataFrame:
+    """(conv_id, record): each conversation as a JSON record of one of three layouts, by its id,
+    with fields that no layout knows."""
+    told = F.coalesce(F.col("role"), F.lit(""))
+    said = F.coalesce(F.col("text"), F.lit(""))
+    turn = F.struct(F.col("turn").isNotNull().alias("later"), "turn", told.alias("role"), said.alias("text"))
+    by = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    listed = lambda role: F.transform("t", lambda t: F.struct(role(t).alias("a"), t["text"].alias("b"), F.lit(1).alias("weight")))
+    same = lambda t: t["role"]
+    renamed = lambda t: F.coalesce(F.create_map(*(F.lit(x) for kv in _FROM.items() for x in kv))[t["role"]], t["role"])
+    as_json = lambda top, role, text, turns: F.to_json(F.struct(F.col("conv_id").alias("id"), turns.cast(f"array<struct<{role}:string,{text}:string,weight:int>>").alias(top)))
+    kind = F.pmod("conv_id", F.lit(4))
+    taken = F.exists("t", lambda t: t["role"].isin("human", "gpt", "bot", "model"))
+    record = (
+        F.when((kind == 1) | taken, as_json("messages", "role", "content", listed(same)))
+        .when(kind == 2, as_json("turns", "role", "text", listed(same)))
+        .otherwise(as_json("conversations", "`from`", "value", listed(renamed)))
+    )
+    return by.select("conv_id", record.alias("record"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the conversations goes in as rows of the table, the others as JSON records of
+    three layouts, so that records are told apart by their fingerprints."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("\\### Assistant: </turn> ok")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
-    return chat.conversation_digests(rows.unionByName(more))
+    rows = rows.unionByName(more)
+    as_rows = F.col("conv_id").isNull() | (F.pmod("conv_id", F.lit(4)) == 0)
+    return chat.conversation_digests(chat.canonical_rows(rows.where(as_rows)).unionByName(chat.canonical_records(_as_records(rows.where(~as_rows)))))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,34 +98,89 @@ def test_chunk_keys_hold_every_pair_within_reach():
     assert all(set(p) & set(q) for p, q in zip(x, y))
 
 
-def test_chat_round_trip(spark):
-    hard = ["\\### Assistant: </turn> ok", "", None, "</turn></turn>\n### </turn", "\\", "\\\\n", "a\nb", "### : ", "é😀"]
-    rows = [(c, t, ["user", "assistant", "a:b\\c", None][(c + t) % 4], hard[(c * 3 + t) % len(hard)], 1) for c in range(12) for t in range(6)]
-    rows += [(99, 0, "user", "same", 1), (99, 0, "user", "same", 1), (98, None, "assistant", "x", 1)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
+HARD = ["\\### Assistant: </turn> ok", "", None, "</turn></turn>\n### </turn", "\\", "\\\\n", "a\nb", "### : ", "é😀", "x" * 1023 + "😀</turn>\n" + "y" * 3000, "\u2028\x00\t\"{}'"]
+ROLES = ["user", "assistant", "a:b\\c", None, "a</turn>\nb", "### x:\n", "\\n\\l\\c\\b", "human", "system"]
+
+
+def check_digests(got, rows):
     by = collections.defaultdict(list)
-    for c, t, r, x, _ in rows:
-        by[c].append((-1 if t is None else t, r or "", x or ""))
-    got = {r.conv_id: r for r in chat.conversation_digests(df).collect()}
+    for c, t, r, x in rows:
+        by[c].append((t is not None, t or 0, r or "", x or ""))
     assert got.keys() == by.keys()
     for c, turns in by.items():
-        said = "".join(f"{r}\n{x}\n" for _, r, x in sorted(turns))
-        loss = "".join(x for _, r, x in sorted(turns) if r == "assistant")
+        said = "".join(f"{r}\n{x}\n" for *_, r, x in sorted(turns))
+        loss = "".join(x for *_, r, x in sorted(turns) if r == "assistant")
         g = got[c]
-        assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()), c
+
+
+def hard_rows():
+    rows = [(c, t, ROLES[(c + t) % len(ROLES)], HARD[(c * 3 + t) % len(HARD)]) for c in range(24) for t in range(12)]
+    return rows + [(99, 0, "user", "same"), (99, 0, "user", "same"), (98, None, "assistant", "x"), (98, 0, "assistant", "b"), (98, 0, "assistant", "a"), (None, 0, "user", "q"), (97, 0, None, None)]
+
+
+def test_chat_round_trip(spark):
+    rows = hard_rows()
+    df = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, formatted int, head string")
+    check_digests({r.conv_id: r for r in chat.conversation_digests(df).collect()}, rows)
     assert chat.conversation_digests(df.limit(0)).count() == 0
 
 
+def test_chat_query(spark, tmp_path):
+    """The query itself, over records of all layouts, with roles that another layout renames."""
+    from factloom.llm import queries
+
+    rows = hard_rows()
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    said = "\\### Assistant: </turn> ok"
+    out = queries.op2_chat_format(spark, str(tmp_path))
+    check_digests({r.conv_id: r for r in out.collect()}, [*rows, (-7, 0, "user", said), (-7, 1, "assistant", said)])
+    kinds = chat.turns_of_records(queries._as_records(spark.createDataFrame([r for r in rows if r[0] in (1, 2, 3, 99)], "conv_id long, turn long, role string, text string"))).collect()
+    assert {r.conv_id: r.layout for r in kinds} == {1: "messages", 2: "messages", 3: "messages", 99: "conversations"}
+
+
 def test_chat_loss_mask_marks_the_assistants_text(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes ### </turn>"), (1, 2, "assistant", "no")], "conv_id long, turn long, role string, text string")
-    r = chat.format_rows(df).first()
+    out = chat.format_rows(df)
+    r = out.first()
     assert [r.formatted[m.start : m.stop] for m in r.loss_mask] == ["yes ##\\# <\\/turn>", "no"]
+    assert chat.masked_texts(out).first().masked == ["yes ### </turn>", "no"]
+    shifted = out.withColumn("loss_mask", F.transform("loss_mask", lambda s: F.struct((s["start"] + 1).alias("start"), s["stop"].alias("stop"))))
+    assert chat.masked_texts(shifted).first().masked == ["es ### </turn>", "o"]
+
+
+def test_chat_ranges_across_chunks(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("ab😀é\n") for _ in range(5 * chat.CHUNK + 7))
+    spans = [(0, 0), (0, 1), (chat.CHUNK - 1, chat.CHUNK + 1), (chat.CHUNK, chat.CHUNK), (chat.CHUNK, 2 * chat.CHUNK), (0, len(text)), (len(text), len(text))] + [tuple(sorted((rng.randint(0, len(text)), rng.randint(0, len(text))))) for _ in range(40)]
+    df = spark.createDataFrame([(text, spans), ("", []), (None, None)], "formatted string, loss_mask array<struct<start:long,stop:long>>")
+    assert [r.masked for r in chat.masked_texts(df).collect()] == [[text[a:b] for a, b in spans], [], None]
 
 
 def test_chat_layouts(spark):
-    records = ['{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":null}]}', '{"completion":"c","prompt":"p"}', '{"instruction":"a","input":"b","output":"o"}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '{"x":1}', "{bad", None]
-    got = [r.turns and [tuple(t) for t in r.turns] for r in chat.turns_of_records(spark.createDataFrame([(r,) for r in records], "record string")).collect()]
-    assert got == [[("user", "hi"), ("assistant", "")], [("user", "p"), ("assistant", "c")], [("user", "a\n\nb"), ("assistant", "o")], [("user", "q"), ("assistant", "a")], None, None, None]
+    records = {
+        '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":null}]}': [("user", "hi"), ("assistant", "")],
+        '{"id":1,"messages":[{"role":"gpt","content":"hi","weight":2,"name":"n"}],"meta":{"role":[1]}}': [("gpt", "hi")],
+        '{"messages":[{"role":"user","content":[{"type":"text","text":"a"},{"text":"b"}]}]}': [("user", "ab")],
+        '{"messages":[]}': [],
+        '{"completion":"c","prompt":"p","x y":1}': [("user", "p"), ("assistant", "c")],
+        '{"instruction":"a","input":"b","output":"o"}': [("user", "a\n\nb"), ("assistant", "o")],
+        '{"instruction":"a","output":"o"}': [("user", "a"), ("assistant", "o")],
+        '{"system":"s","prompt":"p","response":"r"}': [("system", "s"), ("user", "p"), ("assistant", "r")],
+        '{"prompt":"p","response":null}': [("user", "p")],
+        '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"},{"from":"x","value":"y"}]}': [("user", "q"), ("assistant", "a"), ("x", "y")],
+        '{"data":{"messages":[{"role":"user","content":"hi"}]}}': None,
+        '{"messages":["hi"]}': None, '{"messages":[{"role":"user"}]}': None, '{"x":1}': None, "{}": None, "[]": None, "3": None, "{bad": None, "": None,
+    }
+    df = spark.createDataFrame([(r,) for r in [*records, None]], "record string")
+    got = {r.record: r.turns and [tuple(t) for t in r.turns] if r.turns != [] else [] for r in chat.turns_of_records(df).collect()}
+    assert got == records | {None: None}
+    odd = spark.createDataFrame([('{"a.b":{"c`d":[[{"e":1}],[]]},"f":[]}',)], "r string")
+    assert sorted(odd.select(chat.paths_of_json(F.col("r"))).first()[0]) == ["a.b", "a.b.c`d", "a.b.c`d[][].e", "f", "f[] empty"]
+    told = spark.createDataFrame([([("human", "q", 1)], "z")], "conversations array<struct<`from`:string,value:string,n:int>>, turns string")
+    assert [tuple(t) for t in chat.turns_of_table(told).first().turns] == [("user", "q")]
+    with pytest.raises(ValueError):
+        chat.canonical_rows(told)
 
 
 def test_quality_counts_match_brute_force(spark):

@@ -7,7 +7,7 @@ in the same document or another. Matches never cross documents.
 with the smallest hash (the leftmost of equals). Equal windows pick the same gram at the same
 place, so windows can only be equal if their anchors hold equal grams: a gram that occurs once
 settles all windows that picked it. This is lossless and leaves about two anchors per half
-length. Documents with equal texts are one row here; they are removed whole later.
+length. Equal texts are one text here, known by its digest; they are removed whole later.
 
 *Construction.* Around every anchor whose gram occurs again, the bytes that its windows can
 cover make one row, aligned at the gram. The rows of a gram are a collection of short
@@ -16,20 +16,23 @@ inserts one symbol per document in front of its suffix, a stable distribution by
 gives the order of the longer suffixes, and the common prefix of neighbours is one more than
 the smallest common prefix passed over. The symbols in suffix order are the collection's
 Burrows-Wheeler transform; since equal windows stand in equal columns, the segment of each
-round is compared within itself only, which makes the work linear in the text. Columns and
-the (order, common prefix) segments go through sequential temporary files, so a round holds a
-few words per row. A window is repeated if a neighbour shares ``length`` symbols with it.
-
-*Hot grams.* Grams are counted with map-side combination. One that more than ``HOT_ROWS`` texts
-hold would make a group too large for a task, so its windows are counted one by one instead, by
-their 128-bit digests: equal windows of a batch settle each other and send one row, so a passage
-costs a row a batch however many texts share it, and no group meets anywhere. Also exact.
+round is compared within itself only, which makes the work linear in the text, and a round
+needs nothing but the order and the common prefixes of the round before. A window is repeated
+if a neighbour shares ``length`` symbols with it.
+
+*Bounded groups.* A task takes few rows at a time, so a gram that stands in more than
+``GROUP_ROWS`` places is split by the bytes beside it. The windows of a row begin at the columns
+0 to half a length; those of the left half all hold the gram and the bytes before it up to the
+middle, those of the right half the bytes after it. So each row goes into two groups of longer
+grams, each for half of the windows, and again until groups are small or the gram is as long as
+the window, where the rows of a group are equal and only counted. Equal rows of a batch settle
+each other before they travel: one goes on, each is told its range. A passage that very many
+texts share is thus a row a batch, and no group meets in one task. All of this is exact.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,19 +40,20 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from factloom.llm.bytesops import binary_column, blocks, prefix_hash, span_hash
+from factloom.llm.bytesops import binary_column, prefix_hash, span_hash
 from factloom.llm.neardup import _grouped
 from factloom.llm.storage import bound_batches, materialize
 
-#: Rows that one pass of the construction takes together, over as many grams as that holds.
-PASS_ROWS = 8192
-#: Texts that share a gram beyond which its windows are counted by digest.
-HOT_ROWS = 1 << 16
-#: Digests that a batch holds at a time.
-HELD_WINDOWS = 200_000
+#: Places of a gram that one group may hold, and rows that one pass of the construction takes
+#: together, over as many groups as that holds.
+GROUP_ROWS = PASS_ROWS = 4096
+#: Parts that the rows of a frequent gram are dealt in where they meet the list of such grams.
+SALTS = 32
 _PAD = 0xFF  # never a byte of UTF-8
+_ROWS = pa.schema([("key", pa.int64()), ("low", pa.int32()), ("print", pa.binary()), ("begin", pa.int64()), ("offset", pa.int32()), ("bytes", pa.binary()), ("stop", pa.int64())])
+_ROWS_DDL = "key long, low int, print binary, begin long, offset int, bytes binary, stop long"
+_SPANS_DDL = "print binary, start long, stop long"
 
 
 def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
@@ -91,176 +95,180 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _survey(length: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("print", pa.binary()), ("sha", pa.string()), ("grams", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("print", pa.binary()), ("sha", pa.string()), ("grams", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list] = {name: [] for name in schema.names[1:]}
             for text in binary_column(batch, "text"):
                 text = text or b""
-                _, h = anchors(text, length)
-                value, count = np.unique(h, return_counts=True)
+                value, count = np.unique(anchors(text, length)[1], return_counts=True)
+                sha = hashlib.sha256(text)
                 rows["n_bytes"].append(len(text))
-                rows["print"].append(hashlib.blake2b(text, digest_size=16).digest())
-                rows["sha"].append(hashlib.sha256(text).hexdigest())
-                rows["grams"].append(np.repeat(value, np.minimum(count, 2)))  # twice: repeated within
+                rows["print"].append(sha.digest()[:16])
+                rows["sha"].append(sha.hexdigest())
+                rows["grams"].append(value)
+                rows["places"].append(count)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id"))] + [pa.array(v, schema.field(k).type) for k, v in rows.items()], schema=schema)
 
     return run
 
 
-def _contexts(length: int):
-    gram = length // 2
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int64()), ("lead", pa.int32()), ("bytes", pa.binary()), ("stop", pa.int64())])
+class _Settling:
+    """Rows of a batch on their way to their groups. Equal ones settle each other: the first goes
+    on with its bytes, all are told the range that their windows cover. Ranges of one text that
+    follow each other are told as one."""
+
+    def __init__(self) -> None:
+        self.seen: dict[tuple, tuple | None] = {}
+        self.rows: list[tuple] = []
+        self.open: list | None = None
+
+    def tell(self, text: bytes, begin: int, stop: int) -> None:
+        if self.open and self.open[0] == text and self.open[1] <= begin <= self.open[2]:
+            self.open[2] = max(self.open[2], stop)
+            return
+        self.close()
+        self.open = [text, begin, stop]
+
+    def close(self) -> None:
+        if self.open:
+            text, begin, stop = self.open
+            self.rows.append(((int.from_bytes(text[:7], "little") * 1_000_003 + begin) & 0x7FFFFFFFFFFFFFFF, 0, text, begin, 0, None, stop))
+            self.open = None
+
+    def put(self, key: int, low: int, text: bytes, begin: int, offset: int, part: bytes) -> None:
+        same = key, offset, hashlib.blake2b(part, digest_size=16).digest()
+        if same not in self.seen:
+            self.seen[same] = text, begin
+            self.rows.append((key, low, text, begin, offset, part, begin + len(part)))
+            return
+        first = self.seen[same]
+        if first:
+            self.tell(*first, first[1] + len(part))
+            self.seen[same] = None
+        self.tell(text, begin, begin + len(part))
+
+    def batches(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if len(self.rows) >= least:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.rows, strict=True), _ROWS, strict=True)], schema=_ROWS)
+            self.rows = []
+
+
+def _contexts(length: int, which: str):
+    """The rows of each text around the anchors whose grams its column ``which`` names."""
+    slack = length - length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Equal rows of a batch settle each other: one of them travels on with its bytes, each
-        leaves its range. So a passage that very many texts share is a row a batch, not a text."""
         for batch in batches:
-            seen: dict[tuple, list | None] = {}
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            wanted = batch.column(batch.schema.get_field_index("grams")).to_pylist()
-            rows: list[tuple] = []
-            for doc, text, grams in zip(ids, binary_column(batch, "text"), wanted, strict=True):
+            out = _Settling()
+            prints = binary_column(batch, "print")
+            wanted = batch.column(batch.schema.get_field_index(which)).to_pylist()
+            for key, text, grams in zip(prints, binary_column(batch, "text"), wanted, strict=True):
+                if not grams:
+                    continue
                 spots, h = anchors(text, length)
                 keep = np.isin(h, np.array(grams, np.int64))
                 for i, g in zip(spots[keep].tolist(), h[keep].tolist(), strict=True):
-                    begin = max(0, i - (length - gram))
-                    part = text[begin : i + length]
-                    same = g, i - begin, hashlib.blake2b(part, digest_size=16).digest()
-                    if same not in seen:
-                        seen[same] = [doc, begin]
-                        rows.append((g, doc, begin, i - begin, part, begin + len(part)))
-                        continue
-                    for d, b in ([seen[same]] if seen[same] else []) + [[doc, begin]]:
-                        rows.append(((d * 1_000_003 + b) & 0x7FFFFFFFFFFFFFFF, d, b, 0, None, b + len(part)))
-                    seen[same] = None
-                if len(rows) >= 4000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    begin = max(0, i - slack)
+                    out.put(g, 0, key, begin, slack - (i - begin), text[begin : i + length])
+                    yield from out.batches(4000)
+            out.close()
+            yield from out.batches()
 
     return run
 
 
-def runs(starts: list[int]) -> list[tuple[int, int]]:
-    """(first, last) of the maximal runs of consecutive numbers."""
-    x = np.unique(np.array(starts, np.int64))
-    cut = np.flatnonzero(np.diff(x) > 1)
-    return list(zip(x[np.r_[0, cut + 1]].tolist(), x[np.r_[cut, len(x) - 1]].tolist(), strict=True)) if len(x) else []
+def halves(ranges: list[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
+    """Ranges (first, last) of window columns cut in two, by their first column; one of a single
+    column stays."""
+    return {a: [(a, b)] if a == b else [(a, (a + b) // 2), ((a + b) // 2 + 1, b)] for a, b in ranges}
 
 
-def _windows(length: int):
-    gram = length // 2
-    schema = pa.schema([("window", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
-
-    def rows(seen: dict[bytes, tuple[int, int]], told: dict[int, list[int]]) -> pa.RecordBatch:
-        out = [(w, d, a, a + length) for w, (d, a) in seen.items()]
-        out += [(None, d, a, b + length) for d, starts in told.items() for a, b in runs(starts)]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+def _split(length: int, into: dict[int, list[tuple[int, int]]]):
+    """Each row once for each part of its range of windows in which it has a window: cropped to
+    these windows, in the group of the bytes that all of them hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows that hold a hot gram: the first of equal ones travels by its digest; where
-        there are more, all of them are told."""
         for batch in batches:
-            seen: dict[bytes, tuple[int, int]] = {}
-            told: dict[int, list[int]] = {}
-            n = 0
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            hot = batch.column(batch.schema.get_field_index("hot")).to_pylist()
-            for doc, text, grams in zip(ids, binary_column(batch, "text"), hot, strict=True):
-                spots, h = anchors(text, length)
-                spots = spots[np.isin(h, np.array(grams, np.int64))]
-                # a window may hold several anchors and still counts once
-                edge = np.zeros(len(text) + 2, np.int32)
-                np.add.at(edge, np.maximum(0, spots - (length - gram)), 1)
-                np.add.at(edge, np.minimum(spots, len(text) - length) + 1, -1)
-                for a in np.flatnonzero(np.cumsum(edge) > 0).tolist():
-                    if n >= HELD_WINDOWS:
-                        yield rows(seen, told)
-                        seen, told, n = {}, {}, 0
-                    n += 1
-                    w = hashlib.blake2b(text[a : a + length], digest_size=16).digest()
-                    if w not in seen:
-                        seen[w] = doc, a
+            out = _Settling()
+            cols = [batch.column(i).to_pylist() for i in range(6)]
+            for key, low, text, begin, offset, part in zip(*cols, strict=True):
+                left = low + offset
+                right = left + len(part)
+                for a, b in into[low]:
+                    first, last = max(a, left), min(b, right - length)
+                    if first > last:
                         continue
-                    for d, b in (seen[w], (doc, a)):
-                        told.setdefault(d, []).append(b)
-            if seen:
-                yield rows(seen, told)
+                    core = part[b - left : a + length - left]
+                    inner = hashlib.blake2b(core + b"%d %d %d" % (key, a, b), digest_size=8).digest()
+                    out.put(int.from_bytes(inner, "little", signed=True), a, text, begin + first - left, first - a, part[first - left : last + length - left])
+                yield from out.batches(4000)
+            out.close()
+            yield from out.batches()
 
     return run
 
 
-def insert_columns(group: np.ndarray, rows: list[bytes], lead: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def insert_columns(group: np.ndarray, rows: list[bytes], offset: np.ndarray, length: int, windows: int) -> tuple[np.ndarray, np.ndarray]:
     """(first, last) column at which a row's window also stands in another row of its group,
-    (-1, -1) for none. ``group`` must be sorted; a row's gram begins at column length // 2."""
-    slack, n = length - length // 2, len(rows)
-    width = slack + length
+    (-1, -1) for none. ``group`` must be sorted; row i begins at column ``offset[i]``; windows
+    begin at the columns below ``windows``."""
+    n, width = len(rows), windows - 1 + length
     first, last = np.full(n, -1), np.full(n, -1)
     if n < 2:
         return first, last
     size = np.array([len(r) for r in rows])
-    with tempfile.TemporaryFile() as columns, tempfile.TemporaryFile() as segments:
-        table = np.full((n, width), _PAD, np.uint8)
-        for i, r in enumerate(rows):
-            table[i, slack - lead[i] : slack - lead[i] + len(r)] = np.frombuffer(r, np.uint8)
-        for j in range(width - 1, -1, -1):
-            columns.write(np.ascontiguousarray(table[:, j]).tobytes())
-        del table
-        columns.seek(0)
-        order = np.arange(n)
-        common = np.zeros(n + 1, np.int32)  # with the row before; the last one bounds ranges
-        for j in range(width - 1, -1, -1):
-            symbol = np.frombuffer(columns.read(n), np.uint8)[order]
-            key = (group[order] << 8) | symbol
-            put = np.argsort(key, kind="stable")
-            key = key[put]
-            same = np.flatnonzero(key[1:] == key[:-1])  # neighbours now that were p < q before
-            fresh = np.zeros(n + 1, np.int32)
-            if len(same):
-                ends = np.empty(2 * len(same), np.int64)
-                ends[0::2], ends[1::2] = put[same] + 1, put[same + 1] + 1
-                fresh[same + 1] = 1 + np.minimum.reduceat(common, ends)[0::2] if j < width - 1 else 1
-            order, common = order[put], fresh
-            if j <= slack:
-                segments.write(order.astype(np.int32).tobytes())
-                segments.write(common[:n].tobytes())
-        segments.seek(0)
-        for j in range(slack, -1, -1):
-            order = np.frombuffer(segments.read(4 * n), np.int32)
-            common = np.frombuffer(segments.read(4 * n), np.int32)
-            hit = common >= length
-            hit[:-1] |= common[1:] >= length
+    columns = np.full((width, n), _PAD, np.uint8)
+    for i, r in enumerate(rows):
+        columns[offset[i] : offset[i] + len(r), i] = np.frombuffer(r, np.uint8)
+    order = np.arange(n)
+    common = np.zeros(n + 1, np.int32)  # with the row before; the last one bounds ranges
+    for j in range(width - 1, -1, -1):
+        key = (group[order] << 8) | columns[j][order]
+        put = np.argsort(key, kind="stable")
+        key = key[put]
+        same = np.flatnonzero(key[1:] == key[:-1])  # neighbours now that were p < q before
+        fresh = np.zeros(n + 1, np.int32)
+        if len(same):
+            ends = np.empty(2 * len(same), np.int64)
+            ends[0::2], ends[1::2] = put[same] + 1, put[same + 1] + 1
+            fresh[same + 1] = 1 + np.minimum.reduceat(common, ends)[0::2] if j < width - 1 else 1
+        order, common = order[put], fresh
+        if j < windows:
+            hit = common[:n] >= length
+            hit[:-1] |= common[1:n] >= length
             who = order[hit]
-            who = who[(j >= slack - lead[who]) & (j + length <= slack - lead[who] + size[who])]
+            who = who[(j >= offset[who]) & (j + length <= offset[who] + size[who])]
             first[who] = j
             last[who] = np.where(last[who] < 0, j, last[who])
     return first, last
 
 
-def _repeats(length: int):
-    slack = length - length // 2
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+def _repeats(length: int, windows: int):
+    schema = pa.schema([("print", pa.binary()), ("start", pa.int64()), ("stop", pa.int64())])
+
+    def told(table: pa.Table) -> pa.RecordBatch:
+        return table.select(["print", "begin", "stop"]).combine_chunks().rename_columns(schema.names).to_batches()[0]
 
     def settle(tables: list[pa.Table]) -> pa.RecordBatch:
-        table = pa.concat_tables(tables)
-        told = table.filter(pa.compute.is_null(table.column("bytes")))
-        known = [told.column(c).to_numpy() for c in ("doc_id", "begin", "stop")]
-        tables = [t.filter(pa.compute.is_valid(t.column("bytes"))) for t in tables]
-        table = pa.concat_tables(tables)
         group = np.repeat(np.arange(len(tables)), [t.num_rows for t in tables])
-        lead = table.column("lead").to_numpy().astype(np.int64)
-        first, last = insert_columns(group, table.column("bytes").to_pylist(), lead, length)
+        table = pa.concat_tables(tables)
+        offset = table.column("offset").to_numpy().astype(np.int64)
+        first, last = insert_columns(group, table.column("bytes").to_pylist(), offset, length, windows)
         hit = first >= 0
-        base = table.column("begin").to_numpy() + lead - slack
-        found = [table.column("doc_id").to_numpy()[hit], (base + first)[hit], (base + last)[hit] + length]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(known, found, strict=True)], schema=schema)
+        base = table.column("begin").to_numpy() - offset
+        prints = table.column("print").filter(pa.array(hit)).combine_chunks()
+        return pa.RecordBatch.from_arrays([prints, pa.array((base + first)[hit]), pa.array((base + last)[hit] + length)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for table in _grouped(batches, 1):
+            if table.column("bytes").null_count:
+                yield told(table.filter(pa.compute.is_null(table.column("bytes"))))
+                table = table.filter(pa.compute.is_valid(table.column("bytes")))
+            if table.num_rows < 2:
+                continue
             held.append(table)
             n += table.num_rows
             if n >= PASS_ROWS:
@@ -273,9 +281,9 @@ def _repeats(length: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_bytes", pa.binary())])
+    schema = pa.schema([("print", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_bytes", pa.binary())])
     for batch in batches:
-        ids = batch.column(batch.schema.get_field_index("doc_id"))
+        ids = batch.column(batch.schema.get_field_index("print"))
         spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
         removed, count, sha, kept = [], [], [], []
         for text, found in zip(binary_column(batch, "text"), spans, strict=True):
@@ -293,52 +301,98 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], schema=schema)
 
 
-def _hot_spans(active: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, stop) of the repeated windows that hold a hot gram, runs of them joined."""
-    found = materialize(active.where("size(hot) > 0").mapInArrow(_windows(length), "window binary, doc_id long, start long, stop long"), "windows")
-    again = found.where("window is not null").groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    met = found.join(again, "window", "left_semi").select("doc_id", "start", "stop")
-    by_start = Window.partitionBy("doc_id").orderBy("start")
-    met = met.withColumn("new", F.coalesce(F.col("start") - F.lag("start").over(by_start) > 1, F.lit(True)).cast("long"))
-    met = met.withColumn("run", F.sum("new").over(by_start)).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
-    return met.unionByName(found.where("window is null").drop("window"))
-
-
-def repeated_passages(docs: DataFrame, length: int = 200, keep_bytes: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
+def _among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``rows`` whose key is (``left_semi``) or isn't (``left_anti``) in ``keys``. A key may hold
+    any share of the rows, so they are dealt in ``SALTS`` parts; the keys, few to the rows, go to
+    each."""
+    salted = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    part = F.pmod(F.xxhash64("print", "begin"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", part).join(salted, ["key", "_salt"], how).drop("_salt")
+
+
+def _built(rows: DataFrame, length: int, windows: int) -> DataFrame:
+    """(print, start, stop) of repeated windows in the rows of groups that are small enough."""
+    rows = rows.select(*_ROWS.names).repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(_repeats(length, windows), _SPANS_DDL)
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    return rows.where("bytes is null").select("print", F.col("begin").alias("start"), "stop")
+
+
+def _frequent_spans(active: DataFrame, length: int, group_rows: int) -> list[DataFrame]:
+    """Repeated ranges around the grams of too many places: their groups are split, all ranges of
+    a level together, until each is small or holds one window a row."""
+    rows = materialize(active.where("size(hot) > 0").mapInArrow(_contexts(length, "hot"), _ROWS_DDL), "frequent")
+    found, ranges = [_told(rows)], [(0, length - length // 2)]
+    rows = rows.where("bytes is not null")
+    while any(a < b for a, b in ranges):
+        into = halves(ranges)
+        ranges = [x for parts in into.values() for x in parts]
+        rows = materialize(rows.mapInArrow(_split(length, into), _ROWS_DDL), "split")
+        found.append(_told(rows))
+        rows = rows.where("bytes is not null")
+        many = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("key"), "many")
+        windows = max(b - a + 1 for a, b in ranges)
+        if many.isEmpty():
+            return [*found, _built(rows, length, windows)]
+        found.append(_built(_among(rows, many, "left_anti"), length, windows))
+        rows = materialize(_among(rows, many, "left_semi").select(*_ROWS.names), "frequent")
+    # a row is one window now: of equal ones, all are repeated
+    windows = rows.withColumn("key", F.xxhash64("bytes"))
+    again = windows.groupBy("key", "bytes").agg(F.count("*").alias("n")).where("n > 1")
+    salted = again.select("key", F.col("bytes").alias("window"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    part = F.pmod(F.xxhash64("print", "begin"), F.lit(SALTS)).cast("int")
+    met = windows.withColumn("_salt", part).join(salted, ["key", "_salt"]).where("bytes = window")
+    return [*found, met.select("print", F.col("begin").alias("start"), "stop")]
+
+
+def repeated_passages(docs: DataFrame, length: int = 200, keep_bytes: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
     kept_sha256 (of the bytes left, lowercase hex) and, on demand, kept_bytes (null where
     nothing was removed).
 
-    ``docs`` needs doc_id (long, unique) and text; other columns are ignored; a row of null
-    doc_id loses bytes only where its whole text has a copy. Null
-    text counts as empty. Every string is judged on the input. Texts shorter than ``length``
-    bytes lose nothing; equal texts of that length or more lose everything, each copy alike.
-    Bytes left need not be valid UTF-8. Very long texts are taken whole; empty tables give
-    empty results. ``hot_rows`` sets how a gram's windows are compared, not the result.
+    ``docs`` needs doc_id and text; other columns are ignored. doc_id is only passed through: it
+    may be null or repeat, each row is judged by its text. Null text counts as empty. Every
+    string is judged on the input. Texts shorter than ``length`` bytes lose nothing; equal texts
+    of that length or more, a repeated row's included, lose everything, each copy alike. Bytes
+    left need not be valid UTF-8. Very long texts are taken whole; empty tables give empty
+    results. ``group_rows`` bounds the rows that meet in a task and does not change the result.
     """
     if length < 4 or length % 2:
         raise ValueError("length must be even and at least 4")
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    surveyed = materialize(docs.mapInArrow(_survey(length), "doc_id long, n_bytes long, print binary, sha string, grams array<long>"), "survey")
-    classes = materialize(surveyed.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "texts")
-    first = surveyed.join(classes.select("node"), surveyed.doc_id == classes.node, "left_semi").where("size(grams) > 0")
-    keys = first.select(F.explode("grams").alias("key"), F.col("doc_id").alias("node"))
-    counts = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "grams")
-    is_hot = F.col("n") > hot_rows
-    wanted = keys.join(counts, "key").groupBy("node").agg(F.collect_set(F.when(~is_hot, F.col("key"))).alias("grams"), F.collect_set(F.when(is_hot, F.col("key"))).alias("hot"))
-    active = materialize(docs.join(wanted, docs.doc_id == wanted.node).select("doc_id", "text", "grams", "hot"), "active")
-
-    rows = active.mapInArrow(_contexts(length), "gram long, doc_id long, begin long, lead int, bytes binary, stop long")
-    rows = rows.repartition("gram").sortWithinPartitions("gram")
-    spans = rows.mapInArrow(_repeats(length), "doc_id long, start long, stop long")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    surveyed = materialize(docs.mapInArrow(_survey(length), "doc_id long, n_bytes long, print binary, sha string, grams array<long>, places array<long>"), "survey")
+    classes = materialize(surveyed.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("n_bytes").alias("size")), "texts")
+    # one row of each text stands for all; rows that repeat a doc_id and its text all do, which
+    # finds nothing more, as such texts are removed whole
+    mine = lambda df: df.join(classes.where(F.col("size") >= length).select(F.col("print").alias("_print"), "node"), (F.col("print") == F.col("_print")) & F.col("doc_id").eqNullSafe(F.col("node")), "left_semi")
+    keys = mine(surveyed).select(F.explode(F.arrays_zip("grams", "places")).alias("g"), "print").select(F.col("g.grams").alias("key"), F.col("g.places").alias("n"), "print")
+    counts = materialize(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "grams")
+    is_hot = F.col("n") > group_rows
+    wanted = keys.drop("n").join(counts, "key").groupBy("print").agg(F.collect_set(F.when(~is_hot, F.col("key"))).alias("grams"), F.collect_set(F.when(is_hot, F.col("key"))).alias("hot"))
+    chosen = wanted.join(classes.select("print", "node"), "print")
+    chosen = chosen.select(F.col("print").alias("_print"), "node", "grams", "hot")
+    digest = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
+    found = docs.withColumn("print", digest).join(chosen, (F.col("print") == F.col("_print")) & F.col("doc_id").eqNullSafe(F.col("node")))
+    active = materialize(found.select("print", "text", "grams", "hot"), "active")
+
+    rows = active.mapInArrow(_contexts(length, "grams"), _ROWS_DDL)
+    # ranges told travel with the rows, dealt by a number of their own, and pass the construction
+    rows = rows.repartition("key").sortWithinPartitions("key")
+    spans = rows.mapInArrow(_repeats(length, length - length // 2 + 1), _SPANS_DDL)
     if not counts.where(is_hot).isEmpty():
-        spans = spans.unionByName(_hot_spans(active, length))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    cut = active.select("doc_id", "text").join(spans, "doc_id").mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+        for more in _frequent_spans(active, length, group_rows):
+            spans = spans.unionByName(more)
+    spans = spans.groupBy("print").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    cut = active.select("print", "text").join(spans, "print").mapInArrow(_cut, "print binary, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     cut = cut if keep_bytes else cut.drop("kept_bytes")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    out = surveyed.drop("grams").join(classes.select("print", "copies"), "print").join(cut, "doc_id", "left")
+    single = surveyed.drop("grams", "places").join(classes.select("print", "copies"), "print")
+    # texts with copies are removed whole, so that a repeated row finds no second cut here
+    out = single.join(cut.withColumnRenamed("print", "_print"), (F.col("print") == F.col("_print")) & (F.col("copies") == 1), "left")
     cols = [
         "doc_id",
         "n_bytes",

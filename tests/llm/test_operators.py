@@ -254,21 +254,43 @@ def test_repeated_passages_match_brute_force(spark, length, monkeypatch):
     texts += [None, "", "é" * 30, "a" * 300, "xyz" * 50, "é" * 30]
     got = [tuple(r)[1:] for r in sorted(passages.repeated_passages(frame(spark, texts), length).collect())]
     assert got == removed_by_brute_force(texts, length)
-    monkeypatch.setattr(passages, "HELD_WINDOWS", 50)
-    hot = passages.repeated_passages(frame(spark, texts), length, hot_rows=3)
-    assert [tuple(r)[1:] for r in sorted(hot.collect())] == got
+    for group_rows in (2, 40):
+        split = passages.repeated_passages(frame(spark, texts), length, group_rows=group_rows)
+        assert [tuple(r)[1:] for r in sorted(split.collect())] == got
     assert passages.repeated_passages(frame(spark, texts).limit(0), length).count() == 0
 
 
+def test_repeated_passages_of_repeated_rows_and_null_ids(spark):
+    rng = random.Random(31)
+    shared, other = words(rng, 90), words(rng, 90)
+    texts = [shared, words(rng, 30) + shared[:260] + words(rng, 30), other, words(rng, 200), "short", None, words(rng, 20) + other[40:300]]
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[1] + "x"), (7, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (None, None), (2, None), (None, texts[6])]
+    got = passages.repeated_passages(spark.createDataFrame([(*r, "x", b"y", 0) for r in rows], "doc_id long, text string, print string, bytes binary, begin int"), 200).collect()
+    want = [(i, *x) for (i, _), x in zip(rows, removed_by_brute_force([t for _, t in rows], 200))]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_repeated_passages_at_the_production_length(spark):
     rng = random.Random(8)
     shared = words(rng, 90)
     texts = [words(rng, 40) + " " + shared[rng.randint(0, 80) :] + words(rng, 20) for _ in range(12)] + [words(rng, 200), shared[:199]]
-    for hot_rows in (passages.HOT_ROWS, 4, 1):
-        got = [tuple(r)[1:] for r in sorted(passages.repeated_passages(frame(spark, texts), 200, hot_rows=hot_rows).collect())]
+    for group_rows in (passages.GROUP_ROWS, 4):
+        got = [tuple(r)[1:] for r in sorted(passages.repeated_passages(frame(spark, texts), 200, group_rows=group_rows).collect())]
         assert got == removed_by_brute_force(texts, 200)
 
 
+def test_passages_of_one_long_run_stay_few_rows():
+    """Every place of a run of one letter is an anchor; its rows settle each other and are told
+    as one range."""
+    import pyarrow as pa
+
+    text = b"a" * 50_000
+    _, h = passages.anchors(text, 200)
+    batch = pa.RecordBatch.from_arrays([pa.array([b"p"], pa.binary()), pa.array([text], pa.binary()), pa.array([[int(h[0])]], pa.list_(pa.int64()))], names=["print", "text", "grams"])
+    out = pa.Table.from_batches(list(passages._contexts(200, "grams")(iter([batch]))))
+    assert out.num_rows < 500 and out.column("stop").to_numpy().max() == 50_000
+
+
 def test_sliding_argmin():
     rng = np.random.default_rng(0)
     for _ in range(200):

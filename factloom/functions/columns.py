@@ -278,3 +278,93 @@ def convention_text(words: Column) -> Column:
     """A page's text from its words (array of (text, review)), those whose paint asks for review
     blanked at full width, so that offsets hold and nothing hidden settles a convention."""
     return F.array_join(F.transform(words, lambda w: F.when(w["review"], F.repeat(F.lit(" "), F.length(w["text"]))).otherwise(w["text"])), " ")
+
+
+def sound_box(x0: Column, top: Column, x1: Column, bottom: Column) -> Column:
+    """Whether a box is finite with a width and a height; null sides make none."""
+    finite = F.lit(True)
+    for side in (x0, top, x1, bottom):
+        finite = finite & (F.abs(side) < F.lit(float("inf")))
+    return F.coalesce(finite & (x1 > x0) & (bottom > top), F.lit(False))
+
+
+#: What may keep a word from being seen, in the order of the reasons.
+PAINT_KINDS = ("unpainted", "transparent", "clipped", "no_contribution", "ambiguous_overlap", "unchecked")
+
+
+def paint_kinds(mode: Column, transparent: Column, clipped: Column, state: Column) -> Column:
+    """The kinds of ``PAINT_KINDS`` that hold for a word, in their order. Modes 3 and 7 paint
+    nothing; a word with a mode but no observation, or an unavailable one, is unchecked unless
+    another kind explains it. Null observations count as none."""
+    no = F.lit(False)
+    hidden, clear, cut = F.coalesce(mode.isin(3, 7), no), F.coalesce(transparent, no), F.coalesce(clipped, no)
+    bare, doubtful = F.coalesce(state == "no_contribution", no), F.coalesce(state == "ambiguous_overlap", no)
+    asks = F.coalesce(state != "contributes", no) | (mode.isNotNull() & state.isNull())
+    unchecked = asks & ~(hidden | clear | cut | bare | doubtful)
+    flags = zip((hidden, clear, cut, bare, doubtful, unchecked), PAINT_KINDS, strict=True)
+    return F.array_compact(F.array(*(F.when(f, F.lit(k)) for f, k in flags)))
+
+
+def json_kind(value: Column) -> Column:
+    """``text``, ``number``, ``boolean``, ``null`` or ``other`` of a JSON text; null if it is none."""
+    kind = F.schema_of_variant(F.try_parse_json(value))
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | F.startswith(kind, F.lit("DECIMAL"))
+    return F.when(kind.isNull() | value.isNull(), F.lit(None)).when(kind == "STRING", "text").when(number, "number").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null").otherwise("other")
+
+
+def valid_correction(original: Column, correction: Column) -> Column:
+    """Whether a correction (JSON) has the scalar type of the original value and, as a number,
+    is finite as a double."""
+    kind, new = json_kind(original), json_kind(correction)
+    finite = F.abs(correction.try_cast("double")) < F.lit(float("inf"))
+    same = F.when(kind == "number", (new == "number") & finite).otherwise((kind == new) & kind.isin("text", "boolean"))
+    return F.coalesce(same, F.lit(False))
+
+
+#: UTF-16 units that a spreadsheet cell holds.
+CELL_UNITS = 32_767
+
+
+def cell_text(text: Column) -> Column:
+    """struct<content, problem>: a text as it stands in a spreadsheet's XML, or why it can't."""
+    units = F.length(F.regexp_replace(text, "[\\x{10000}-\\x{10FFFF}]", "xx"))
+    bad = text.rlike("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]")
+    content = F.regexp_replace(text, "_(x[0-9a-fA-F]{4}_)", "_x005F_$1")
+    for sign, said in (("&", "&amp;"), (">", "&gt;"), ("<", "&lt;"), ("\r", "_x000D_")):
+        content = F.replace(content, F.lit(sign), F.lit(said))
+    problem = F.when(bad, "characters").when(units > CELL_UNITS, "length")
+    return F.struct(F.when(problem.isNull(), content).alias("content"), problem.alias("problem"))
+
+
+#: Bytes that a request's body may have, by route.
+BODY_LIMITS = {"upload": 20 << 20, "archive": 64 << 20, "json": 1 << 20}
+
+
+def body_verdict(route: Column, body: Column) -> Column:
+    """``ok``, ``too_large`` or ``unknown_route`` of a body (binary or text) by its bytes."""
+    limit = F.lit(None).cast("long")
+    for name, most in BODY_LIMITS.items():
+        limit = F.when(route == name, F.lit(most).cast("long")).otherwise(limit)
+    return F.when(limit.isNull(), "unknown_route").when(F.coalesce(F.octet_length(body), F.lit(0)) > limit, "too_large").otherwise("ok")
+
+
+def day_first(text: Column) -> Column:
+    """The day of a numeric date written day first; two-digit years are 20xx."""
+    fields, signs = F.split(F.trim(text), "[/.-]"), F.translate(F.trim(text), "0123456789", "")
+    d, m, y = (F.get(fields, F.lit(k)) for k in range(3))
+    ok = signs.isin("//", "..", "--") & F.length(d).between(1, 2) & F.length(m).between(1, 2) & F.length(y).isin(2, 4)
+    return F.when(ok, _day(F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y), m, d))
+
+
+def written_like(template: Column, day: Column) -> Column:
+    """A day spelt as the numeric date ``template`` is: its sign, its leading zeros, its year."""
+    fields = F.split(F.trim(template), "[/.-]")
+    sign = F.substring(F.translate(F.trim(template), "0123456789", ""), 1, 1)
+    two = lambda k: F.length(F.get(fields, F.lit(k))) == 2
+    part = lambda k, long, short: F.when(two(k), F.date_format(day, long)).otherwise(F.date_format(day, short))
+    return F.concat(part(0, "dd", "d"), sign, part(1, "MM", "M"), sign, part(2, "yy", "yyyy"))
+
+
+def plain_amount(value: Column) -> Column:
+    """An amount without needless zeros: whole numbers as such, others to two places at most."""
+    return plain_number(F.round(value, 2).cast("decimal(18,2)"))

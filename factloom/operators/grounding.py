@@ -10,6 +10,7 @@ import unicodedata
 from dataclasses import dataclass, field
 
 from factloom.functions import numbers, text
+from factloom.functions.columns import PAINT_KINDS
 
 STRONG_FROM, FUZZY_FROM = 92.0, 70.0
 
@@ -24,6 +25,15 @@ class Word:
     start: int
     stop: int
     review_paint: bool = False
+    paint: tuple[str, ...] = ()
+
+
+def paint_kinds(mode: int | None, transparent: bool | None, clipped: bool | None, state: str | None) -> tuple[str, ...]:
+    """What may keep a word from being seen, as ``columns.paint_kinds`` says it."""
+    flags = (mode in (3, 7), bool(transparent), bool(clipped), state == "no_contribution", state == "ambiguous_overlap")
+    kinds = tuple(k for k, f in zip(PAINT_KINDS, flags, strict=False) if f)
+    asks = state not in (None, "contributes") or (mode is not None and state is None)
+    return kinds or (("unchecked",) if asks else ())
 
 
 def laid_out(said: str, start: int, words) -> str:
@@ -155,6 +165,11 @@ def _literal(quote: str, page: Page, fold: bool) -> list[Match]:
     return out
 
 
+def is_literal(quote: str, pages: list[Page]) -> bool:
+    """Whether some page has the quote literally or case-folded, whole or as a part of a number."""
+    return any(_literal(quote, p, fold) for fold in (False, True) for p in pages)
+
+
 def _amount(word: str) -> list:
     word = word.strip().rstrip("*:;")
     found = numbers.tokens(word)

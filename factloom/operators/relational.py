@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.functions import columns as C
 from factloom.functions.columns import three_valued
 
 SPACE = r"[ \t\n\r\f\x0B]+"
@@ -366,3 +367,53 @@ def cell_intervals(rows: DataFrame, keys: list[str], doc: str, accepted: Column)
     limit = F.least(F.lit(1.0), F.get(F.array(*map(F.lit, POISSON_95)), F.col("k").cast("int")) / F.col("docs"))
     few = F.col("k") < len(POISSON_95)
     return cells.select(*keys, "n", "k", "docs", (F.col("k").cast("double") / F.col("n").cast("double")).alias("rate"), "_b.lower_95", F.when(few, limit).otherwise(F.col("_b.upper_95")).alias("upper_95"))
+
+
+def run_problems(before: DataFrame, after: DataFrame, keys: list[str], inputs: list[str]) -> DataFrame:
+    """One row of what keeps two runs from being compared: n_only_before, n_only_after (keys of one
+    run alone), n_repeated (keys that a run has more than once) and n_unlike (shared keys whose
+    ``inputs`` differ, nulls being alike). Null keys are keys."""
+    def told(df: DataFrame, side: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count("*").alias(f"_{side}_n"), F.min(F.struct(*inputs)).alias(f"_{side}_low"), F.max(F.struct(*inputs)).alias(f"_{side}_high"))
+
+    b, a = told(before, "b"), told(after, "a").withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & b[k].eqNullSafe(a[f"_{k}"])
+    both = b.join(a, same, "full_outer")
+    unlike = F.col("_b_n").isNotNull() & F.col("_a_n").isNotNull() & ~(F.col("_b_low").eqNullSafe(F.col("_a_low")) & F.col("_b_high").eqNullSafe(F.col("_a_high")))
+    repeated = (F.coalesce("_b_n", F.lit(0)) > 1) | (F.coalesce("_a_n", F.lit(0)) > 1)
+    return both.agg(F.count_if(F.col("_a_n").isNull()).alias("n_only_before"), F.count_if(F.col("_b_n").isNull()).alias("n_only_after"), F.count_if(repeated).alias("n_repeated"), F.count_if(unlike).alias("n_unlike"))
+
+
+#: Most fields and most bytes of corrections under one review.
+REVIEW_FIELDS, REVIEW_BYTES = 2_000, 1 << 20
+
+
+def review_problems(fields: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(doc_id, problem, n) of reviews that break a rule: decisions missing, unknown or repeated;
+    states out of the four; pending with a correction or edited without; corrections of another
+    type; more fields or bytes than a review may have. Sound documents have no row.
+
+    ``fields``: doc_id, path, value (JSON). ``decisions``: doc_id, path, review_status,
+    edited_value (JSON or null).
+    """
+    f = fields.groupBy("doc_id", "path").agg(F.first("value").alias("value"), F.lit(1).alias("_f"))
+    d = decisions.groupBy("doc_id", "path").agg(F.count("*").alias("_d"), F.first(F.struct("review_status", "edited_value")).alias("s"))
+    both = f.join(d, ["doc_id", "path"], "full_outer")
+    state, new = F.col("s.review_status"), F.col("s.edited_value")
+    held = F.col("_f").isNotNull() & F.col("_d").isNotNull()
+    known = F.coalesce(state.isin("pending", "approved", "edited", "rejected"), F.lit(False))
+    flags = {
+        "missing": F.col("_d").isNull(),
+        "unknown": F.col("_f").isNull(),
+        "repeated": F.coalesce("_d", F.lit(0)) > 1,
+        "state": held & ~known,
+        "correction": held & known & (((state == "pending") & new.isNotNull()) | ((state == "edited") & new.isNull())),
+        "type": held & new.isNotNull() & ~C.valid_correction(F.col("value"), new),
+    }
+    sizes = [F.count("_f").alias("_fields"), F.sum(F.octet_length(new)).alias("_bytes")]
+    by = both.groupBy("doc_id").agg(*(F.count_if(x).alias(n) for n, x in flags.items()), *sizes)
+    over = [F.struct(F.lit("too many fields").alias("problem"), F.when(F.col("_fields") > REVIEW_FIELDS, F.col("_fields")).alias("n")), F.struct(F.lit("too many bytes").alias("problem"), F.when(F.col("_bytes") > REVIEW_BYTES, F.col("_bytes")).alias("n"))]
+    rows = F.array(*(F.struct(F.lit(n).alias("problem"), F.when(F.col(n) > 0, F.col(n)).alias("n")) for n in flags), *over)
+    return by.select("doc_id", F.explode(F.filter(rows, lambda r: r["n"].isNotNull())).alias("p")).select("doc_id", "p.problem", "p.n")

@@ -10,18 +10,28 @@ from __future__ import annotations
 import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import columns as C
 from factloom.functions import numbers, text
 from factloom.operators import grounding as G
 
 MAX_PAGES, MAX_WORDS, MAX_CHARS = 64, 100_000, 2_000_000
 MIN_EDIT_QUOTE = 12
+#: Why words may not be seen, by kind, in the order of the reasons.
+PAINT_REASONS = {
+    "unpainted": "the words are of a text mode that paints nothing",
+    "transparent": "the words are painted with no opacity",
+    "clipped": "the words cross the edge of a clipping area",
+    "no_contribution": "some characters of the words add no paint of their own",
+    "ambiguous_overlap": "some characters of the words are painted only where others overlap them",
+    "unchecked": "the words' paint was not checked",
+}
 DATE_WORDS = {"date", "dates", "birthdate", "birthdates"}
 RESULT = "doc_id long, field_no int, path string, status string, reasons array<string>, notes array<string>, score double, found string, page int, boxes array<array<double>>, row_status string, column_status string"
 
@@ -162,8 +172,8 @@ def _judge(claim: Claim, pages: list[G.Page], options: Options, conv: tuple, anc
             return out
         out.notes.append("the occurrence on the row of its anchor was chosen")
     out.match = match
-    if any(w.review_paint for w in match.words):
-        out.reasons.append("the words may not be painted on the page")
+    kinds = {k for w in match.words if w.review_paint for k in w.paint or ("unchecked",)}
+    out.reasons += [reason for kind, reason in PAINT_REASONS.items() if kind in kinds]
     value = claim.value
     is_text = isinstance(value, str)
     as_date = is_text and (claim.declared_kind == "date" or (claim.declared_kind != "text" and hints_date(claim.path)))
@@ -332,42 +342,122 @@ def check_limits(pages: list[G.Page]) -> None:
         raise ValueError("the document is empty or beyond the limits")
 
 
+def oversize(words: DataFrame) -> DataFrame:
+    """(doc_id, reason) of the documents that have too many pages, words or characters to be
+    judged; the characters of a page are those of its words and the blanks between them."""
+    pages = words.groupBy("doc_id", "page").agg(F.count("*").alias("n"), F.sum(F.length("text") + 1).alias("c"))
+    sizes = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("n").alias("words"), F.sum(F.col("c") - 1).alias("chars"))
+    reason = F.when(F.col("pages") > MAX_PAGES, "too many pages").when(F.col("words") > MAX_WORDS, "too many words").when(F.col("chars") > MAX_CHARS, "too many characters")
+    return sizes.select("doc_id", reason.alias("reason")).where("reason is not null")
+
+
+def unusable(claims: DataFrame) -> DataFrame:
+    """(doc_id, field_no, path, reason) of claims whose value is no JSON text, number or boolean,
+    or a number that is not finite."""
+    kind = C.json_kind(F.col("value"))
+    endless = (kind == "number") & ~F.coalesce(F.abs(F.col("value").try_cast("double")) < F.lit(float("inf")), F.lit(False))
+    reason = F.when(kind.isNull(), "the value is no JSON").when(~kind.isin("text", "number", "boolean"), "the value is no text, number or boolean").when(endless, "the value is not finite")
+    return claims.select("doc_id", "field_no", "path", reason.alias("reason")).where("reason is not null")
+
+
+def rejects(words: DataFrame, claims: DataFrame) -> DataFrame:
+    """(doc_id, field_no, path, reason): what ``verify`` leaves out, whole documents with null
+    field_no and path."""
+    whole = oversize(words).join(claims.select("doc_id").distinct(), "doc_id", "left_semi")
+    return whole.select("doc_id", F.lit(None).cast("int").alias("field_no"), F.lit(None).cast("string").alias("path"), "reason").unionByName(unusable(claims))
+
+
+_WORD = ("page", "word_no", "text", "x0", "top", "x1", "bottom", "review_paint", "paint")
+_CLAIM = ("field_no", "path", "value", "evidence", "page", "declared_kind")
+
+
+def gathered(words: DataFrame, claims: DataFrame) -> DataFrame:
+    """(doc_id, w, c): the words and the claims of each document that has claims, both in order.
+
+    Documents beyond the limits have null words and a true ``over``. A document is one row, which
+    the limits bound; both sides are dealt by doc_id once, in as many parts as the session shuffles
+    into, since documents are small rows but much work. Unusable claims are left out.
+    """
+    if "paint" not in words.columns:
+        words = words.withColumn("paint", F.array().cast("array<string>"))
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = C.json_kind(F.col("value"))
+    usable = kind.isin("text", "boolean") | ((kind == "number") & (F.abs(F.col("value").try_cast("double")) < F.lit(float("inf"))))
+    claims = claims.where(F.coalesce(usable, F.lit(False)))
+    w = words.join(oversize(words), "doc_id", "left_anti").repartition(n, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*_WORD))).alias("w"))
+    c = claims.repartition(n, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*_CLAIM))).alias("c"))
+    both = c.join(w, "doc_id", "left")
+    return both.join(oversize(words).select("doc_id"), "doc_id", "left_anti").select("doc_id", "w", "c")
+
+
+def pages_of(said: list[dict] | None) -> list[G.Page]:
+    """The pages of a document's words, which come by page and number."""
+    pages = []
+    for number, part in itertools.groupby(said or [], key=lambda x: x["page"]):
+        at, made = 0, []
+        for x in part:
+            made.append(G.Word(x["text"], x["x0"], x["top"], x["x1"], x["bottom"], at, at + len(x["text"]), bool(x["review_paint"]), tuple(x["paint"] or ())))
+            at += len(x["text"]) + 1
+        pages.append(G.Page(number, made))
+    return pages
+
+
+def _per_document(both: DataFrame, kernel: Callable, ddl: str, schema: pa.Schema) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, said, told in zip(*(batch.column(i) for i in range(3)), strict=True):
+                rows = kernel(doc.as_py(), pages_of(said.as_py()), told.as_py())
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return both.mapInArrow(run, ddl)
+
+
 def verify(words: DataFrame, claims: DataFrame, options: Options | None = None) -> DataFrame:
-    """Field results of all documents.
+    """Field results of all documents within the limits.
 
-    ``words``: doc_id, page, word_no, text, x0, top, x1, bottom, review_paint. ``claims``: doc_id,
-    field_no, path, value (JSON), evidence (array), page, declared_kind. Claims of a document
-    without words are unsupported.
+    ``words``: doc_id, page, word_no, text, x0, top, x1, bottom, review_paint and, if there is
+    any, paint (kinds of ``columns.PAINT_KINDS``). ``claims``: doc_id, field_no, path, value
+    (JSON), evidence (array), page, declared_kind. Claims of a document without words are
+    unsupported. Documents beyond the limits and unusable claims are those of ``rejects``.
     """
     options = options or Options()
     names = [p.split(" ")[0] for p in RESULT.split(", ")]
     schema = pa.schema([("doc_id", pa.int64()), ("field_no", pa.int32()), ("path", pa.string()), ("status", pa.string()), ("reasons", pa.list_(pa.string())), ("notes", pa.list_(pa.string())), ("score", pa.float64()), ("found", pa.string()), ("page", pa.int32()), ("boxes", pa.list_(pa.list_(pa.float64()))), ("row_status", pa.string()), ("column_status", pa.string())])
+    assert names == schema.names
 
-    def one(doc: int, said: list[dict], told: list[dict]) -> list[tuple]:
-        pages = []
-        for number, part in itertools.groupby(said or [], key=lambda x: x["page"]):
-            at, made = 0, []
-            for x in part:
-                made.append(G.Word(x["text"], x["x0"], x["top"], x["x1"], x["bottom"], at, at + len(x["text"]), bool(x["review_paint"])))
-                at += len(x["text"]) + 1
-            pages.append(G.Page(number, made))
-        if pages:
-            check_limits(pages)
+    def one(doc: int, pages: list[G.Page], told: list[dict]) -> list[tuple]:
         asked = [Claim(x["path"], json.loads(x["value"]), x["evidence"] or [], x["page"], x["declared_kind"]) for x in told]
         return [
             (doc, x["field_no"], r.claim.path, r.status, r.reasons, r.notes, r.match.score if r.match else None, r.match.found if r.match else None, r.match.page if r.match else None, [list(map(float, b)) for b in G.line_boxes(r.match)] if r.match else [], r.row_status, r.column_status)
             for x, r in zip(told, verify_document(asked, pages, options), strict=True)
         ]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [r for x in batch.to_pylist() for r in one(x["doc_id"], x["w"], x["c"])]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    return _per_document(gathered(words, claims), one, RESULT, schema)
 
-    assert names == schema.names
-    w = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "word_no", "text", "x0", "top", "x1", "bottom", "review_paint"))).alias("w"))
-    c = claims.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("field_no", "path", "value", "evidence", "page", "declared_kind"))).alias("c"))
-    both = c.join(w, "doc_id", "left").select("doc_id", "w", "c")
-    # documents are small rows but much work: adaptive execution must not put them together
-    return both.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, RESULT)
+
+def locate(words: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Where quotes stand: doc_id, quote_no, rung (exact, folded, value, fuzzy or null), n_places,
+    page, found and score of the first place.
+
+    ``quotes``: doc_id, quote_no, quote and page, a hint that orders the pages and never filters.
+    A rung counts only where no page has the one before; documents without words have no place.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("quote_no", pa.int32()), ("rung", pa.string()), ("n_places", pa.int32()), ("page", pa.int32()), ("found", pa.string()), ("score", pa.float64())])
+    none = F.lit(None).cast("string")
+    asked = quotes.select("doc_id", F.col("quote_no").cast("int").alias("field_no"), F.lit("q").alias("path"), F.lit("true").alias("value"), F.array("quote").alias("evidence"), F.col("page").cast("int").alias("page"), none.alias("declared_kind"))
+
+    def one(doc: int, pages: list[G.Page], told: list[dict]) -> list[tuple]:
+        out = []
+        for x in told:
+            places = G.candidates(x["evidence"][0] or "", pages, x["page"])
+            first = places[0] if places else None
+            rung = None
+            if first:
+                literal = first.letters_agree is False and first.score < 100 and not first.by_value
+                rung = "value" if first.by_value else "exact" if any(m.exact for m in places) else "folded" if any(m.score == 99 for m in places) else "clipped" if literal and G.is_literal(x["evidence"][0], pages) else "fuzzy"
+            out.append((doc, x["field_no"], rung, len(places), first and first.page, first and first.found, first and first.score))
+        return out
+
+    ddl = "doc_id long, quote_no int, rung string, n_places int, page int, found string, score double"
+    return _per_document(gathered(words, asked), one, ddl, schema)

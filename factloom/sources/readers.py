@@ -5,12 +5,17 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import re
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import columns as C
+
 BOX = "struct<x0:double,top:double,x1:double,bottom:double>"
 WORD = f"struct<text:string,bbox:{BOX},start:int,end:int,render_mode:int,zero_opacity:boolean,clip_risk:boolean,raster_state:string>"
 DOCUMENT = f"source string, pages array<struct<number:int,width:double,height:double,text:string,words:array<{WORD}>>>"
@@ -22,9 +27,9 @@ def document_words(json_rows: DataFrame) -> DataFrame:
     pages = json_rows.select("doc_id", F.explode(F.from_json("json", DOCUMENT)["pages"]).alias("p"))
     words = pages.select("doc_id", F.col("p.number").alias("page"), F.posexplode("p.words").alias("word_no", "w"))
     w = lambda c: F.col(f"w.{c}")
-    unpainted = F.coalesce(w("render_mode").isin(3, 7), F.lit(False)) | F.coalesce(w("zero_opacity"), F.lit(False))
-    review = unpainted | F.coalesce(w("clip_risk"), F.lit(False)) | F.coalesce(w("raster_state") != "contributes", F.lit(False)) | (w("render_mode").isNotNull() & w("raster_state").isNull())
-    return words.select("doc_id", "page", "word_no", w("text").alias("text"), *(w(f"bbox.{c}").alias(c) for c in ("x0", "top", "x1", "bottom")), review.alias("review_paint"))
+    paint = C.paint_kinds(w("render_mode"), w("zero_opacity"), w("clip_risk"), w("raster_state"))
+    boxes = [w(f"bbox.{c}").alias(c) for c in ("x0", "top", "x1", "bottom")]
+    return words.select("doc_id", "page", "word_no", w("text").alias("text"), *boxes, (F.size(paint) > 0).alias("review_paint"), paint.alias("paint"))
 
 
 def recognised_words(spark: SparkSession, path: str) -> DataFrame:
@@ -86,6 +91,45 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.select([F.col(c).cast("string").alias(c) for c in rows.columns]).write.csv(path, header=True)
 
 
+_ESCAPE_LIKE = re.compile("_(x[0-9a-fA-F]{4}_)")
+_LEAST_NORMAL = 2.2250738585072014e-308
+
+
+def keeps_number(value: int | float) -> bool:
+    """Whether a spreadsheet keeps a number exactly: 15 digits, no subnormals."""
+    if isinstance(value, int):
+        return abs(value) < 10**15
+    mantissa = repr(abs(value)).partition("e")[0].replace(".", "")
+    return abs(value) < 1e15 and (value == 0 or abs(value) >= _LEAST_NORMAL) and len(mantissa.strip("0")) <= 15
+
+
+def replay(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(claims, rejects) of stored extractions, one JSON file each: the object under ``data`` or
+    the file's own. Claims: source, field_no, path, value (JSON), evidence, page, declared_kind, in
+    the order of the file. Rejects: source and reason of files that the strict reader refuses or
+    that hold bare values. Files are read whole, each in one task."""
+    from factloom.operators.verify import flatten
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for source, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    data = read_strict(raw)
+                    held = flatten(data.get("data", data))
+                    out += [(source, i, c.path, json.dumps(c.value, ensure_ascii=False), [str(x) for x in c.evidence], c.page, c.declared_kind, None) for i, c in enumerate(held)]
+                except (ValueError, TypeError, RecursionError) as problem:
+                    out.append((source, None, None, None, None, None, None, str(problem)[:500]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _CLAIMS, strict=True)] if out else [pa.array([], f.type) for f in _CLAIMS], schema=_CLAIMS)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInArrow(run, "source string, field_no int, path string, value string, evidence array<string>, page int, declared_kind string, reason string")
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").select("source", "reason")
+
+
+_CLAIMS = pa.schema([("source", pa.string()), ("field_no", pa.int32()), ("path", pa.string()), ("value", pa.string()), ("evidence", pa.list_(pa.string())), ("page", pa.int32()), ("declared_kind", pa.string()), ("reason", pa.string())])
+
+
 def xlsx(rows: list[dict], columns: list[str]) -> bytes:
     """A one-sheet workbook. Numbers a spreadsheet can't keep exactly become text; control
     characters and texts beyond 32,767 units are refused."""
@@ -94,14 +138,16 @@ def xlsx(rows: list[dict], columns: list[str]) -> bytes:
             return "<c/>"
         if isinstance(value, bool):
             return f'<c t="b"><v>{int(value)}</v></c>'
-        if isinstance(value, int) and abs(value) < 10**15:
-            return f"<c><v>{value}</v></c>"
-        if isinstance(value, float) and abs(value) < 1e15 and value == value and len(repr(abs(value)).replace(".", "").strip("0")) <= 15 and "e" not in repr(value):
-            return f"<c><v>{value!r}</v></c>"
+        finite = isinstance(value, int) or (isinstance(value, float) and abs(value) < float("inf"))
+        if finite and keeps_number(value):
+            return f'<c t="n"><v>{value!r}</v></c>'
+        if not finite and not isinstance(value, str):
+            raise ValueError("the value can't stand in a cell")
         text = str(value)
-        if any(ord(c) < 32 and c not in "\t\n\r" or 0xD800 <= ord(c) < 0xE000 or ord(c) in (0xFFFE, 0xFFFF) for c in text) or len(text.encode("utf-16-le")) > 2 * 32767:
+        if any(ord(c) < 32 and c not in "\t\n\r" or 0xD800 <= ord(c) < 0xE000 or ord(c) in (0xFFFE, 0xFFFF) for c in text) or len(text.encode("utf-16-le")) > 2 * C.CELL_UNITS:
             raise ValueError("the text can't stand in a cell")
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+        kept = escape(_ESCAPE_LIKE.sub(r"_x005F_\1", text)).replace("\r", "_x000D_")
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{kept}</t></is></c>'
 
     if len(rows) > 1_048_575:
         raise ValueError("too many rows for a sheet")

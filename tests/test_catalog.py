@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from factloom.plans import catalog, rules  # noqa: F401 - rules adds its queries
+from factloom.plans import catalog, records, rules  # noqa: F401 - both add their queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -171,6 +171,6 @@ def pack(docs: DataFrame, json_path: str, rank_path: str = "", end_id: int = 2,
     pieces = materialize(pieces if keep_ids else pieces.drop("ids"), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     places = _places(minimum_bin_slack(counts, capacity))
-    ranked = gapless(pieces, "length", ["doc_id", "piece"], "_rank", 64, bounded=True)
+    ranked = gapless(pieces, "length", ["doc_id", "piece"], "_rank", sum(counts.values()), len(counts))
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes)
     return ranked.select(*pieces.columns, "_rank").mapInArrow(_place(places), f"{schema}, sequence_id long, offset long")

@@ -86,7 +86,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    """The public vocabulary under a unigram model, which Viterbi is made for."""
+    return sentencepieces.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), unigram=True)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Candidates are found by shape: runs of 16 or more characters of ``A-Za-z0-9_-+/=.~`` with a
 letter and a digit; whole values of six bytes or more, quoted or not, assigned to a name that
 holds a word of ``CUES``; passwords in URLs; and private key blocks. A forest of decision trees
-judges each by its length, character mix and transitions, the share that a dictionary covers,
+judges each, key blocks included, by its length, character mix and transitions (how well a model
+of letter pairs, learned from the dictionary, foresees it), the share that a dictionary covers,
 path-like signs and the words around it. It is trained on labelled findings; without own ones,
 on findings composed by ``sample_findings``.
 """
@@ -67,6 +68,27 @@ _DIRECT = re.compile(rb"(?:" + _CUE.encode() + rb""")(?:orization)?s?(?:[_-][a-z
 _REFERENCE = re.compile(rb"^[$%{\[<]|\$\{|\{\{|[a-z_]\w{0,60}+\(|\w\[|^[a-z_]\w*(?:(?:\.|->|::)[a-z_]\w*)+$")
 
 
+def _pair_model() -> np.ndarray:
+    """log2 of the chance of a letter after another (26 stands for no letter) in dictionary words,
+    over that of any sign: above 0 where the pair is usual in words."""
+    count = np.full((27, 27), 0.5)
+    for word in DICTIONARY:
+        at = [26, *(ord(c) - 97 for c in word if c.isalpha()), 26]
+        np.add.at(count, (at[:-1], at[1:]), 1)
+    return np.log2(count / count.sum(1, keepdims=True) * 27)
+
+
+_PAIRS = _pair_model()
+_LETTER_NO = np.full(256, 26)
+_LETTER_NO[97:123] = _LETTER_NO[65:91] = np.arange(26)
+
+
+def pair_score(raw: np.ndarray) -> float:
+    """Mean log-likelihood ratio of a value's neighbouring signs, case aside."""
+    at = _LETTER_NO[raw]
+    return float(_PAIRS[at[:-1], at[1:]].mean()) if len(at) > 1 else 0.0
+
+
 def assigned(text: bytes) -> list[tuple[int, int, str]]:
     """(start, stop, kind) of the values that names of secrets are given, and of URL passwords."""
     low = text.lower()
@@ -157,6 +179,7 @@ def features(text: bytes, start: int, stop: int) -> np.ndarray:
             bool(_REFERENCE.search(low)),
             value.count(b" ") / n,
             digit.any() + upper.any() + lower.any() + (kind == 0).any(),
+            pair_score(raw),
         ],
         float,
     )
@@ -217,7 +240,7 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = SEE
     return Forest(grown)
 
 
-def sample_findings(n: int = 3000, seed: int = 1) -> list[tuple[bytes, int, int, int]]:
+def sample_findings(n: int = 6000, seed: int = 1) -> list[tuple[bytes, int, int, int]]:
     """Composed findings (text, start, stop, 1 for a secret): keys and tokens in the shapes
     that services use against hashes, paths, identifiers, placeholders and long words."""
     rng = np.random.default_rng(seed)
@@ -236,9 +259,22 @@ def sample_findings(n: int = 3000, seed: int = 1) -> list[tuple[bytes, int, int,
         name = one_of(*CUES)
         return one_of(lambda: name, lambda: rng.choice(DICTIONARY) + "_" + name, lambda: name + "_" + rng.choice(DICTIONARY))()
 
+    def block() -> str:
+        kind = one_of("", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED ")
+        body = some(alnum + "+/", rng.integers(40, 1700))
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(body[k : k + 64] for k in range(0, len(body), 64)) + f"\n-----END {kind}PRIVATE KEY-----"
+
+    def mock_block() -> str:
+        said = one_of(lambda: "...", lambda: words(rng.integers(1, 9), " "), lambda: "<" + words(2, "-") + ">", lambda: "x" * int(rng.integers(8, 60)), lambda: "\n".join(["your key here"] * 3))()
+        return f"-----BEGIN PRIVATE KEY-----\n{said}\n-----END PRIVATE KEY-----"
+
     out = []
     for i in range(n):
         secret = i % 2
+        if i % 20 < 2:
+            lead, value = words(rng.integers(0, 6), " ").encode() + b"\n", (block() if secret else mock_block()).encode()
+            out.append((lead + value + b"\n" + words(rng.integers(0, 6), " ").encode(), len(lead), len(lead) + len(value), secret))
+            continue
         lead, tail = words(rng.integers(0, 6), " "), words(rng.integers(0, 6), " ")
         quote = one_of('"', "'", "")
         if secret:
@@ -297,7 +333,7 @@ def judged(texts: list[bytes], forest: Forest) -> list[list[tuple[int, int, str,
     if flat:
         p = forest.predict(np.array([features(texts[i], a, b) for i, (a, b, _) in flat]))
         for (i, (a, b, kind)), x in zip(flat, p, strict=True):
-            out[i].append((a, b, kind, max(float(x), 0.99) if kind == "key block" else float(x)))
+            out[i].append((a, b, kind, float(x)))
     for i, cs in enumerate(out):
         taken: list[tuple[int, int, str, float]] = []
         for c in sorted(cs, key=lambda c: (c[3] < SECRET_FROM, _FIRST[c[2]], c[0])):
@@ -347,11 +383,13 @@ def redact(docs: DataFrame, forest: Forest | None = None, mark: str = "[SECRET]"
             clean: list[bytes | None] = list(raw)
             for first, texts in blocks(raw):
                 for i, cs in enumerate(judged(texts, forest)):
-                    for a, b, _, p in reversed(cs):
+                    parts, at_byte = [], 0
+                    for a, b, _, p in cs:
                         if p >= SECRET_FROM:
-                            texts[i] = texts[i][:a] + sign + texts[i][b:]
-                    if raw[first + i] is not None:
-                        clean[first + i] = texts[i]
+                            parts += [texts[i][at_byte:a], sign]
+                            at_byte = b
+                    if parts and raw[first + i] is not None:
+                        clean[first + i] = b"".join([*parts, texts[i][at_byte:]])
             cols = list(batch.columns)
             cols[at] = pa.array(clean, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)

@@ -6,14 +6,23 @@ grouped by length, and the words of one length advance together: hashes of subst
 the sorted hashes of the pieces, and each step is a vectorised maximum.
 
 * Unigram models: Viterbi over the end positions; the best sum of scores and its backpointer
-  are kept for every position.
+  are kept for every position. Sums are taken in single precision and ties go to the longer last
+  piece, as the library does; where rounding alone tells two segmentations of a word apart, the
+  library rounds the sum of the whole text so far and may choose the other. Words longer than ``LONG_WORD`` go alone: all their substrings are
+  probed at once, then one pass over the positions follows.
 * BPE models: their scores are merge ranks, for which the segmentation of largest sum is not
   what the model means. Here each round merges, in every word at once, the adjacent pair that
-  forms the best piece (the leftmost of equals), until no pair forms a piece.
+  forms the best piece (the leftmost of equals), until no pair forms a piece. Long words go alone
+  with a heap of pairs over linked symbols.
+
+``Model.as_unigram`` gives any vocabulary the scores of a unigram model by rule: the logarithms of
+shares that fall with the rank of the piece.
 """
 
 from __future__ import annotations
 
+import copy
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +39,10 @@ _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 #: Words kept with their ids between batches, at most.
 KEPT_WORDS = 300_000
+#: Code points beyond which a word is taken alone, in time that its length bounds nearly linearly.
+LONG_WORD = 64
+#: Positions of a long word whose substrings are probed together.
+PROBED = 1 << 16
 _MUL = 0x9E3779B97F4A7C15
 
 
@@ -106,9 +119,26 @@ class Model:
         keys = np.array([self._key(self.pieces[i]) for i in usable], U64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(usable)[order]
-        self.value = np.array(self.scores)[self.ids]
+        self._score()
+
+    def _score(self) -> None:
+        self.value = np.array(self.scores, np.float32)[self.ids]
+        #: What a character outside the vocabulary costs.
+        self.low = np.float32(self.value.min() - np.float32(10.0))
         self.words: dict[str, np.ndarray] = {}
 
+    def as_unigram(self) -> Model:
+        """The same pieces and ids under a unigram model by rule: the piece of rank r among the
+        ordinary ones, in the order of their ids, has a share in proportion to 1 / r."""
+        out = copy.copy(self)
+        ordinary = [i for i, k in enumerate(self.kinds) if k == _NORMAL]
+        total = float(np.log((1 / np.arange(1, len(ordinary) + 1)).sum()))
+        out.kind, out.scores = _UNIGRAM, list(self.scores)
+        for rank, i in enumerate(ordinary, 1):
+            out.scores[i] = float(np.float32(-np.log(rank) - total))
+        out._score()
+        return out
+
     @staticmethod
     def _key(piece: str) -> np.uint64:
         run = _prefixes(np.array([[ord(c) for c in piece]], np.int64))
@@ -123,31 +153,108 @@ class Model:
         raw = char.encode("utf-8")
         return [self.byte[b] for b in raw] if self.byte else [self.unknown]
 
+    def _spelt(self, ids: list[int], chars: list[str]) -> np.ndarray:
+        """Ids with the characters outside the vocabulary (-1, in their order) spelt out."""
+        if -1 not in ids:
+            return np.array(ids, np.int32)
+        left = iter(chars)
+        return np.array([x for i in ids for x in ([i] if i >= 0 else self._spell(next(left)))], np.int32)
+
     def _viterbi(self, points: np.ndarray) -> list[np.ndarray]:
         rows, n = points.shape
-        low = self.value.min() - 10.0  # what a character outside the vocabulary costs
-        best = np.full((rows, n + 1), -np.inf)
+        best = np.full((rows, n + 1), -np.inf, np.float32)
         best[:, 0] = 0
         back, piece = np.zeros((rows, n + 1), np.int64), np.full((rows, n + 1), -1, np.int64)
         run = _prefixes(points)
         for end in range(1, n + 1):
-            for size in range(1, min(self.longest, end) + 1):
+            for size in range(min(self.longest, end), 0, -1):
                 at = self.probe(_between(run[:, end - size], run[:, end], np.full(rows, size)))
-                score = np.where(at >= 0, self.value[at], low if size == 1 else -np.inf) + best[:, end - size]
+                score = np.where(at >= 0, self.value[at], self.low if size == 1 else np.float32(-np.inf)) + best[:, end - size]
                 better = score > best[:, end]
                 best[:, end] = np.where(better, score, best[:, end])
                 back[:, end] = np.where(better, end - size, back[:, end])
                 piece[:, end] = np.where(better, np.where(at >= 0, self.ids[at], -1), piece[:, end])
         out = []
         for i in range(rows):
-            ids: list[int] = []
-            end = n
+            ids, odd, end = [], [], n
             while end:
-                ids[:0] = [int(piece[i, end])] if piece[i, end] >= 0 else self._spell(chr(points[i, back[i, end]]))
+                ids.append(int(piece[i, end]))
+                if ids[-1] < 0:
+                    odd.append(chr(points[i, end - 1]))
                 end = int(back[i, end])
-            out.append(np.array(ids, np.int32))
+            out.append(self._spelt(ids[::-1], odd[::-1]))
         return out
 
+    def _viterbi_long(self, points: np.ndarray) -> np.ndarray:
+        """The ids of one long word: its substrings of each size are probed together, then each
+        position takes the best of its few candidates."""
+        n, widest = len(points), self.longest
+        run = np.zeros(n + 1, U64)
+        codes = mix64(points.astype(U64) + U64(1))
+        h = U64(0)
+        mul = U64(_MUL)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                h = h * mul + codes[k]
+                run[k + 1] = h
+        best = np.full(widest + n + 1, -np.inf, np.float32)  # place widest + k for position k
+        best[widest] = 0
+        size_of, piece = np.ones(n + 1, np.int64), np.full(n + 1, -1, np.int64)
+        sizes = np.arange(widest, 0, -1)
+        for first in range(1, n + 1, PROBED):
+            ends = np.arange(first, min(n + 1, first + PROBED))
+            start = ends[:, None] - sizes[None, :]
+            held = start >= 0
+            at = np.where(held, self.probe(_between(run[np.maximum(start, 0)], run[ends][:, None], np.broadcast_to(sizes, start.shape))), -1)
+            score = np.where(at >= 0, self.value[at], np.float32(-np.inf))
+            score[:, -1] = np.where(at[:, -1] >= 0, score[:, -1], self.low)
+            chosen = np.empty(len(ends), np.int64)
+            for k, end in enumerate(ends.tolist()):
+                total = score[k] + best[end : end + widest]
+                j = chosen[k] = total.argmax()
+                best[end + widest] = total[j]
+            size_of[ends] = sizes[chosen]
+            found = at[np.arange(len(ends)), chosen]
+            piece[ends] = np.where(found >= 0, self.ids[found], -1)
+        ids, odd, end = [], [], n
+        while end:
+            ids.append(int(piece[end]))
+            if ids[-1] < 0:
+                odd.append(chr(points[end - 1]))
+            end -= int(size_of[end])
+        return self._spelt(ids[::-1], odd[::-1])
+
+    def _merge_long(self, word: str) -> np.ndarray:
+        """The ids of one long word under a BPE model: a heap of pairs over linked symbols. A pair
+        that a neighbour's merge has changed is passed over when its turn comes."""
+        if not hasattr(self, "_rank"):
+            self._rank = {self.pieces[i]: (-float(v), int(i)) for i, v in zip(self.ids, self.value, strict=True)}
+        rank, n = self._rank, len(word)
+        stop, before = list(range(1, n + 1)), list(range(-1, n))  # of the symbol that starts here
+        heap = [(x[0], a, a + 2) for a in range(n - 1) if (x := rank.get(word[a : a + 2]))]
+        heapq.heapify(heap)
+        while heap:
+            _, a, end = heapq.heappop(heap)
+            middle = stop[a]
+            if middle < 0 or middle >= n or stop[middle] != end:
+                continue
+            stop[a], stop[middle] = end, -1
+            if end < n:
+                before[end] = a
+                if x := rank.get(word[a : stop[end]]):
+                    heapq.heappush(heap, (x[0], a, stop[end]))
+            b = before[a]
+            if b >= 0 and (x := rank.get(word[b:end])):
+                heapq.heappush(heap, (x[0], b, end))
+        ids, odd, a = [], [], 0
+        while a < n:
+            x = rank.get(word[a : stop[a]])
+            ids.append(x[1] if x else -1)
+            if not x:
+                odd.append(word[a : stop[a]])
+            a = stop[a]
+        return self._spelt(ids, odd)
+
     def _merges(self, points: np.ndarray) -> list[np.ndarray]:
         rows, n = points.shape
         # begin[i, k]: where symbol k of word i starts; the symbols end at `count`
@@ -221,6 +328,10 @@ class Model:
         for w in {w for words in split for w in words} - self.words.keys():
             new.setdefault(len(w), []).append(w)
         for n, words in new.items():
+            if n > LONG_WORD:
+                for w in words:
+                    self.words[w] = self._merge_long(w) if self.kind == _BPE else self._viterbi_long(np.frombuffer(w.encode("utf-32-le"), np.uint32).astype(np.int64))
+                continue
             step = max(1, 200_000 // n)
             for i in range(0, len(words), step):
                 part = words[i : i + step]
@@ -242,25 +353,28 @@ class Model:
         return out
 
 
-_MODELS: dict[str, Model] = {}
+_MODELS: dict[tuple[str, bool], Model] = {}
 
 
-def load(path: str) -> Model:
-    if path not in _MODELS:
-        _MODELS[path] = Model(path)
-    return _MODELS[path]
+def load(path: str, unigram: bool = False) -> Model:
+    """The model of a file, or its vocabulary as a unigram model; a worker reads it once."""
+    if (path, unigram) not in _MODELS:
+        _MODELS[path, unigram] = Model(path).as_unigram() if unigram else Model(path)
+    return _MODELS[path, unigram]
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, unigram: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id and ids (array of int).
 
     Needs doc_id (long) and text; other columns are ignored. Null texts give null, empty texts
-    empty arrays. Whole texts are encoded.
+    empty arrays; repeated rows are encoded alike. Whole texts are encoded, words of any length
+    too. ``unigram`` takes the model's vocabulary as a unigram model. Models with a character map
+    or that drop extra white space are refused.
     """
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = load(model_path, unigram)
         for batch in batches:
             raw = binary_column(batch, "text")
             ids = model.encode([(t or b"").decode("utf-8") for t in raw])
@@ -284,14 +398,14 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, unigram: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_ids, ids_crc32 (little-endian 32-bit), n_bytes
     and decoded_crc32 of the decoded text's UTF-8. Null texts count as empty."""
     bound_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids_crc32", pa.int64()), ("n_bytes", pa.int64()), ("decoded_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = load(model_path, unigram)
         for batch in batches:
             texts = [(t or b"").decode("utf-8") for t in binary_column(batch, "text")]
             ids = model.encode(texts)

@@ -6,9 +6,10 @@ an informative Dirichlet prior from the whole corpus (a text counts once for a b
 its own standard error, less a constant drift; so chance texts score below zero a token. A
 linear scan finds every maximal segment of positive sum. The scale of the segments' chance
 distribution solves sum p * exp(scale * score) = 1 over the clean tokens; its location comes
-from the largest segments of clean training rows. A text's evidence is the sum, over its
+from the largest segments of clean calibration rows, a quarter of the labelled ones that the
+log-odds don't see. A text's evidence is the sum, over its
 segments, of their scaled scores beyond what the best of its length reaches by chance; a
-logistic curve fitted on training rows turns it into a probability.
+logistic curve fitted on the calibration rows turns it into a probability.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from factloom.llm.storage import bound_batches
 BUCKETS = 1 << 17
 #: Weight of the prior in tokens; drift of a token; standard errors that a token must exceed.
 PRIOR, DRIFT, ERRORS = 5000.0, 0.25, 2.0
-#: Labelled rows, the smallest by a hash of doc_id, on which the calibration is fitted.
-CALIBRATION_ROWS = 4000
-#: Labelled rows that the log-odds are fitted on, at most, chosen likewise; the bound is what
+#: One labelled row in so many, by a hash of doc_id, is kept from the log-odds for calibration.
+CALIBRATION_SHARE = 4
+#: Labelled rows that are used, at most, the smallest by a hash of doc_id; the bound is what
 #: lets their ids be broadcast, so that no text is shuffled.
 TRAIN_ROWS = 20_000
 TOXIC_FROM = 0.7
@@ -140,10 +141,15 @@ def evidence(n: int, sums: list[float], scale: float, location: float) -> float:
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float, float, float]:
     """(bucket scores, scale, location, slope, shift); ``labels``: doc_id and label of the
     training rows alone, of which ``TRAIN_ROWS`` at most are used. The prior's counts cover all
-    rows of ``docs``; the driver gets one row a bucket and, for the calibration, the segment sums of ``CALIBRATION_ROWS`` rows at most."""
+    rows of ``docs``; the driver gets one row a bucket and the segment sums of the calibration rows.
+    Where these lack a label, all rows serve both ends."""
     labels = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    told = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id", "left").select("label", "text")
+    spare = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(CALIBRATION_SHARE)) == 0
+    fitted, kept = labels.where(~spare), labels.where(spare)
+    if kept.select("label").distinct().count() < 2:  # too few rows to keep some aside
+        fitted = kept = labels
+    told = docs.select("doc_id", "text").join(F.broadcast(fitted), "doc_id", "left").select("label", "text")
     counts = told.mapInArrow(_tally, "bucket long, every long, clean long, toxic long")
     counts = counts.groupBy("bucket").agg(F.sum("every").alias("every"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
     every, clean, toxic = np.zeros((3, BUCKETS))
@@ -151,8 +157,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float,
         to[counts["bucket"].to_numpy()] = counts[name]
     score = log_odds(every, clean, toxic)
     scale = chance_scale(score, clean)
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id").select("label", "text")
     rows = rows.mapInArrow(_segment_sums(score), "label int, n_tokens long, sums array<double>").toPandas()
     best = np.array([scale * max(s) - np.log(max(1, n)) for n, s, y in zip(rows["n_tokens"], rows["sums"], rows["label"], strict=True) if not y and len(s)])
     location = float(best.mean() - np.euler_gamma) if len(best) else 0.0

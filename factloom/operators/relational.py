@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 from factloom.functions import columns as C
 from factloom.functions.columns import three_valued
 
+#: Parts that the rows of a very common key are dealt in.
+SALTS = 32
 SPACE = r"[ \t\n\r\f\x0B]+"
 
 
@@ -45,7 +47,10 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     short = short.select("item_id", "quote", F.coalesce(F.try_element_at(starts, F.lit(1)), F.lit("")).alias("gram"))
     cut = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(w, i, n))))
     grams = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(F.transform(F.array_distinct(words), cut))))
-    pairs = docs.select("doc_id", F.explode(grams).alias("gram")).join(short.select("item_id", "gram"), "gram").select("doc_id", "item_id")
+    # nearly every text has a blank and the commonest letters: such grams are dealt in parts
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    dealt = short.select("item_id", "gram", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs = docs.select("doc_id", salt, F.explode(grams).alias("gram")).join(dealt, ["gram", "salt"]).select("doc_id", "item_id")
     rest = pairs.join(docs.select("doc_id", "text"), "doc_id").join(short.select("item_id", "quote"), "item_id").where(F.contains("text", F.col("quote")))
     return found.unionByName(rest.select("doc_id", "item_id"))
 
@@ -62,6 +67,46 @@ def overlapping_occurrences(text: Column, quote: Column) -> Column:
     return F.regexp_count(text, F.concat(F.lit(r"(?=\Q"), F.replace(quote, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))).cast("long")
 
 
+def occurrences_in_words(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n): how often quotes without white space stand in texts, overlaps
+    included; pairs without a place have no row.
+
+    Such a quote stands within one word. The distinct words of all texts are matched once, over
+    their three-letter beginnings, and the texts' word counts are joined with what was found, so
+    that no text travels. Null and empty quotes stand nowhere.
+    """
+    words = F.filter(F.split("text", SPACE), lambda w: w != "")
+    held = docs.select("doc_id", F.explode(words).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("_n"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr("word", i, F.lit(3))))
+    vocabulary = held.select("word").distinct().select("word", F.explode(grams).alias("gram"))
+    asked = quotes.where("quote <> ''").select("item_id", "quote", F.substring("quote", 1, 3).alias("gram"))
+    met = vocabulary.join(asked, "gram").where(F.contains("word", F.col("quote")))
+    short = asked.where(F.length("quote") < 3).select("item_id", "quote")
+    if not short.isEmpty():  # shorter than a gram: any gram may begin with it
+        few = vocabulary.select("word", F.explode(F.array(F.substring("gram", 1, 1), F.substring("gram", 1, 2))).alias("quote")).distinct().join(short, "quote")
+        met = met.select("word", "item_id", "quote").unionByName(few.select("word", "item_id", "quote")).distinct()
+    met = met.select("word", "item_id", overlapping_occurrences(F.col("word"), F.col("quote")).alias("_k"))
+    return held.join(met, "word").groupBy("doc_id", "item_id").agg(F.sum(F.col("_n") * F.col("_k")).alias("n"))
+
+
+def within_budget(rows: DataFrame, key: str, order: str, amount: str, budget: int, width: int = 4096) -> DataFrame:
+    """The rows of each ``key`` whose running sum of ``amount``, in the order of the whole number
+    ``order``, is at most ``budget``, with that sum as ``running``.
+
+    Sums of ranges of ``width`` numbers come first; ranges that begin beyond the budget are left
+    out, and the others are sorted and summed each in a task of its own. Amounts must not be
+    negative; null ones count as nothing, null orders come first.
+    """
+    rows = rows.withColumn("_range", F.coalesce(F.floor(F.col(order) / width), F.lit(-(2**60))))
+    sums = rows.groupBy(key, "_range").agg(F.sum(amount).alias("_s"))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(key).alias("_key"), F.col("_range").alias("_at"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before")).where(F.col("_before") <= budget)
+    kept = rows.join(sums, rows[key].eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_at")))
+    upto = Window.partitionBy(key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = kept.withColumn("running", F.col("_before") + F.coalesce(F.sum(amount).over(upto), F.lit(0)))
+    return out.where(F.col("running") <= budget).drop("_range", "_key", "_at", "_before")
+
+
 def report_counts(fields: DataFrame, *keys: str) -> DataFrame:
     """Counts of the three statuses, zeros included."""
     counts = [F.count_if(F.col("status") == s).alias(s) for s in ("verified", "needs_review", "unsupported")]
@@ -163,12 +208,13 @@ def downgrade(fields: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def review_state(actions: DataFrame) -> DataFrame:
-    """Last state per (doc_id, path) of an action log (order: seq): approve, edit, reject, reset.
+    """Last state per (doc_id, path) of an action log (order: seq): approve, edit, reject, reset and
+    extract, a new extraction, which resets.
 
     The correction is that of the last edit since the last reset; approve and reject keep it.
     """
     key = Window.partitionBy("doc_id", "path")
-    reset = F.max(F.when(F.col("action") == "reset", F.col("seq"))).over(key)
+    reset = F.max(F.when(F.col("action").isin("reset", "extract"), F.col("seq"))).over(key)
     a = actions.withColumn("_reset", F.coalesce(reset, F.lit(-1)))
     edits = F.when((F.col("action") == "edit") & (F.col("seq") > F.col("_reset")), F.struct("seq", "value"))
     last = a.groupBy("doc_id", "path").agg(F.max_by("action", "seq").alias("_last"), F.max(edits)["value"].alias("edited_value"))

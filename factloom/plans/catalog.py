@@ -69,13 +69,7 @@ SELECT doc_id, item_id, count(*) AS n FROM p WHERE substr(text, i, length(quote)
 def ground_occurrences(spark, sf_dir):
     words = F.filter(F.split("text", R.SPACE), lambda w: w != "")
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    docs = table(spark, sf_dir, "documents")
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", longest.alias("quote"))
-    # a quote is inside a word: candidates share the quote's first three characters with a word
-    starts = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substr(w, i, F.lit(3)))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct(words), starts)))).alias("gram"))
-    pairs = grams.join(quotes.withColumn("gram", F.substring("quote", 1, 3)), "gram").join(docs.select("doc_id", "text"), "doc_id")
-    return pairs.select("doc_id", "item_id", R.overlapping_occurrences(F.col("text"), F.col("quote")).alias("n")).where("n > 0")
+    return R.occurrences_in_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", longest.alias("quote")))
 
 
 _WORDS_SQL = r"""
@@ -542,8 +536,7 @@ def member_digests(spark, sf_dir):
 WITH r AS (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS running FROM documents)
 SELECT source, count(*) AS n_pages, CAST(max(running) AS BIGINT) AS n_chars FROM r WHERE running <= 60000 GROUP BY 1""")
 def page_budgets(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.sum("n_chars").over(w).alias("running")).where("running <= 60000")
+    rows = R.within_budget(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", 60000)
     return rows.groupBy("source").agg(F.count("*").alias("n_pages"), F.max("running").alias("n_chars"))
 
 
@@ -676,20 +669,24 @@ def verify_fields(spark, sf_dir):
     return verify(words, claims).select("doc_id", "path", "status", F.size("reasons").alias("n_reasons"))
 
 
-@query()
+@query("""
+SELECT d.doc_id, b.item_id, 100.0::DOUBLE * (length(b.text) - 1) / length(b.text) AS score, CAST(instr(d.text, b.text) - 1 AS BIGINT) AS start
+FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) >= 8""")
 def fuzzy_best_window(spark, sf_dir):
-    """The best window of each part's name, misspelt, in its type and name; tested on vectors."""
+    """Benchmark passages with their fourth letter misread, searched in the whole texts that hold
+    them: the best window is where the passage stands, one letter off."""
     from factloom.functions.text import best_window
 
-    @F.pandas_udf("struct<score:double,start:int,stop:int>")
+    @F.pandas_udf("struct<score:double,start:long,stop:long>")
     def window(quote, said):
         import pandas as pd
 
         return pd.DataFrame([best_window(q, s) for q, s in zip(quote, said, strict=True)], columns=["score", "start", "stop"])
 
-    part = table(spark, sf_dir, "part")
-    found = window(F.concat(F.substring("p_name", 1, 3), F.lit("x"), F.substring("p_name", 4, 200)), F.concat_ws(" ", "p_type", "p_name", "p_brand"))
-    return part.select("p_partkey", found.alias("w")).select("p_partkey", "w.*")
+    docs, passages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").where(F.length("text") >= 8)
+    pairs = R.containing(docs, passages).join(docs.select("doc_id", "text"), "doc_id").join(passages.select("item_id", F.col("text").alias("quote")), "item_id")
+    misread = F.concat(F.substring("quote", 1, 3), F.lit("\uffff"), F.substring(F.col("quote"), F.lit(5), F.length("quote")))
+    return pairs.select("doc_id", "item_id", window(misread, F.col("text")).alias("w")).select("doc_id", "item_id", "w.score", "w.start")
 
 
 # ---------------------------------------------------------------- paint, capacity, halves

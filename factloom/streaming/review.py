@@ -6,7 +6,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from factloom.functions import columns as C
+
+#: Bytes of one correction, at most.
+EDIT_BYTES = 1 << 20
 STATE = "status string, edited_value string, seq long"
 OUT = "doc_id long, path string, review_status string, edited_value string"
 
@@ -18,11 +23,20 @@ def next_state(status: str, edited: str | None, action: str, value: str | None)
         return "edited", value
     if action == "reject":
         return "rejected", edited
-    if action == "reset":
+    if action in ("reset", "extract"):  # a new extraction begins the review again
         return "pending", None
     raise ValueError(f"unknown action {action!r}")
 
 
+def accepted(actions: DataFrame, fields: DataFrame) -> DataFrame:
+    """The actions (doc_id, path, seq, action, value) on known fields, without edits whose value
+    (JSON) has another type than the field's or is not finite or beyond ``EDIT_BYTES``. ``fields``
+    (doc_id, path, value as JSON, each field once) is static; ``actions`` may be a stream."""
+    known = fields.select("doc_id", "path", F.col("value").alias("_original"))
+    sound = C.valid_correction(F.col("_original"), F.col("value")) & (F.octet_length("value") <= EDIT_BYTES)
+    return actions.join(known, ["doc_id", "path"]).where((F.col("action") != "edit") | F.coalesce(sound, F.lit(False))).drop("_original")
+
+
 def review_stream(actions: DataFrame) -> DataFrame:
     """Streaming (doc_id, path, seq, action, value) to the state after each micro-batch.
 

@@ -7,7 +7,9 @@ chosen for diversity, back links pruned to the cap) and is stored as flat neighb
 as a shard is bounded, candidates for links come from blocked distances within the layer
 instead of one insertion after another. Queries go to every shard in blocks: greedy descent
 through the upper layers, then a beam over the lowest, all queries of a block at once. The
-shards' best are merged; scores are taken in double precision on the original vectors.
+shards' best are merged; scores are taken in double precision on the original vectors. Every
+shard is asked: cells around fitted centres, of which a query would ask the nearest 24, kept only
+0.70 of the true neighbours at 101 cells of vectors without clusters.
 """
 
 from __future__ import annotations
@@ -193,15 +195,16 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, shard_points: int
     ``every``, its ``k`` nearest other rows by Euclidean distance, nearest first, ties to the
     smaller vec_id; all of them where there are fewer.
 
-    ``vectors`` needs vec_id (long, unique) and embedding (array of float or double); other
-    columns are ignored. Null and zero vectors, those with null or non-finite components and
-    null ids take no part. Vectors of another length are no candidates. Every row is indexed;
-    recall is below one in principle, see the tests. Empty tables give empty results.
+    ``vectors`` needs vec_id (long) and embedding (array of float or double); other columns are
+    ignored. Null and zero vectors, those with null or non-finite components and null ids take no
+    part. Vectors of another length are no candidates. A row that repeats counts once; a vec_id
+    with several vectors asks with each and is a candidate at its nearest one. Every row is
+    indexed; recall is below one in principle, see the tests. Empty tables give empty results.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = materialize(rows.mapInArrow(_clean, "vec_id long, dim int, vector binary"), "vectors")
+    rows = materialize(rows.mapInArrow(_clean, "vec_id long, dim int, vector binary").distinct(), "vectors")
     ranked = rows.withColumn("_no", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("_no") <= k + 1)
     points = ranked.groupBy("dim", "vector").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
     points = materialize(points, "points")
@@ -218,5 +221,6 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, shard_points: int
     asked = rows.where(F.col("vec_id") % every == 0).join(plan, "dim").select("dim", F.explode(F.expr("sequence(0L, shards - 1L)")).alias("shard"), block.alias("block"), "vec_id", "vector", none.cast("binary").alias("graph"))
     found = to.unionByName(asked).groupBy("dim", "shard", "block").applyInArrow(_search_shard(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     out = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")

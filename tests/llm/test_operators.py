@@ -329,6 +329,9 @@ def test_nearest_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0]), (2, [1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(few).collect()] == [(0, 1, 1, 1.0)]
     assert neighbours.nearest(few.limit(0)).count() == 0
+    again = few.unionByName(few).unionByName(spark.createDataFrame([(1, [1.0, 2.5]), (100, [1.0, 2.5])], "vec_id long, embedding array<double>"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(again).collect())
+    assert got == [(0, 1, 1, 0.5), (0, 2, 100, 0.5), (100, 1, 1, 0.0), (100, 2, 0, 0.5)]
 
 
 def test_sharding(spark):
@@ -702,3 +705,73 @@ def test_viterbi_finds_the_best_sum():
         for end in range(1, len(w) + 1):
             best[end] = max((best[a] + scores[w[a:end]] for a in range(end) if a in best and w[a:end] in scores), default=-1e18)
         assert abs(got - best[len(w)]) < 1e-4
+
+
+def repeated(spark):
+    """Rows that repeat, null ids, odd texts and columns named like those of the operators."""
+    rng = random.Random(40)
+    one, two = words(rng, 80), words(rng, 80)
+    rows = [(1, one), (1, one), (1, two), (None, one), (None, two), (2, None), (2, None), (None, None), (3, ""), (3, "")]
+    return rows, spark.createDataFrame([(*r, 5, "x", 1, 0.5) for r in rows], "doc_id long, text string, length long, print string, _row long, score double")
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    rows, docs = repeated(spark)
+    got = sorted(((r.doc_id, r.n_shingles > 0, r.component_id) for r in neardup.near_duplicates(docs, 2).collect()), key=repr)
+    assert len(got) == len(rows)
+    assert got == sorted([(1, True, 1), (1, True, 1), (1, True, 1), (None, True, 1), (None, True, 1), (2, False, 2), (2, False, 2), (None, False, None), (3, False, 3), (3, False, 3)], key=repr)
+
+
+def test_quality_and_toxicity_of_repeated_rows(spark):
+    rows, docs = repeated(spark)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, 0), (9, 1)], "doc_id long, label int")
+    for out, value in ((quality.quality(docs, labels), "probability"), (toxicity.toxicity(docs, labels), "score")):
+        got = collections.Counter(r.doc_id for r in out.collect())
+        assert got == collections.Counter(i for i, _ in rows)
+        assert all(r[value] is not None for r in out.collect())
+
+
+def test_sharding_and_packing_of_repeated_rows(spark):
+    rows, docs = repeated(spark)
+    got = sharding.shard(docs, 3).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=32).collect()
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = collections.Counter()
+    for i, t in rows:
+        want[i] += len(library.encode(t or "", add_special_tokens=False).ids) + 1
+    held, bins = collections.Counter(), collections.defaultdict(list)
+    for p in pieces:
+        held[p.doc_id] += p.length
+        bins[p.sequence_id].append((p.offset, p.length))
+    assert held == want
+    for spans in bins.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) <= 32
+
+
+def test_sentencepiece_of_repeated_rows(spark):
+    rows, docs = repeated(spark)
+    got = sentencepieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), unigram=True).collect()
+    want = collections.Counter((i, len((t or "").encode()), zlib.crc32((t or "").encode())) for i, t in rows)
+    assert collections.Counter((r.doc_id, r.n_bytes, r.decoded_crc32) for r in got) == want
+
+
+def test_gapless_in_buckets(spark, monkeypatch):
+    from factloom.llm import ranks
+
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 7)
+    rows = [("hot" if i % 3 else f"g{i % 5}", i // 2) for i in range(200)]
+    for sent in (10**6, 0):
+        monkeypatch.setattr(ranks, "SENT_SIZES", sent)
+        got = ranks.gapless(spark.createDataFrame(rows, "g string, i long"), "g", ["i"], "place", len(rows), 6).collect()
+        by = collections.defaultdict(list)
+        for r in got:
+            by[r.g].append(r.place)
+        assert all(sorted(p) == list(range(len(p))) for p in by.values()) and sum(map(len, by.values())) == 200

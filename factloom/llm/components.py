@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.storage import materialize
+from factloom.llm.storage import discard, materialize
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     are harmless; nodes of self loops alone are left out. Each round is two aggregations
     with map-side combination and two joins on the node, which adaptive execution splits
     where a node has very many neighbours; no group is collected. The number of rounds grows
-    with the logarithm of the diameter. An empty input gives an empty result.
+    with the logarithm of the diameter; the table of a round is deleted after the next. An empty
+    input gives an empty result.
     """
     u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     now = materialize(edges.where("a <> b").select(u, v).distinct(), "cc")
@@ -35,7 +36,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: u and its lower neighbours point to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = materialize(small.where("u <> v").distinct(), "cc")
+        before, now = now, materialize(small.where("u <> v").distinct(), "cc")
+        discard(before)
         last, seen = seen, _digest(now)
         if last == seen:
             break

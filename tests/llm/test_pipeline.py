@@ -151,3 +151,44 @@ def test_repeated_passages_judges_each_row(spark):
     want = [(1, "AB"), (1, "CD"), (1, "alone"), (None, "EF"), (None, "none"), (2, None)]
     out = told(P.repeated_passages(spark, odd_documents(spark, rows), DIR))
     assert out == sorted(((i, t, None if t is None else len(t)) for i, t in want), key=repr)
+
+
+def test_secrets_and_packing_judge_each_row(spark):
+    key = 'token = "aB3!xY7$kQ9#mN" '
+    rows = [(5, key + wordy("a")), (5, key + wordy("a")), (None, key), (None, None), (6, ""), (7, wordy("long", 3000))]
+    clean = P.secret_scan(spark, odd_documents(spark, rows), DIR)
+    assert clean.columns == P.COLUMNS
+    want = [(i, t if t is None else t.replace("aB3!xY7$kQ9#mN", "[SECRET]")) for i, t in rows]
+    assert told(clean) == sorted(((i, t, None if t is None else len(t)) for i, t in want), key=repr)
+    pieces = P.best_fit_packing(spark, odd_documents(spark, rows), DIR).collect()
+    library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    held = collections.Counter()
+    for p in pieces:
+        held[p.doc_id] += p.length
+    lengths = collections.Counter()
+    for i, t in rows:
+        lengths[i] += len(library.encode(t or "", add_special_tokens=False).ids) + 1
+    assert held == lengths
+
+
+def test_stages_take_empty_tables_and_further_columns(spark, monkeypatch):
+    monkeypatch.setattr(P, "read", lambda *_: spark.createDataFrame([], "doc_id long, quality int"))
+    docs = odd_documents(spark, [(1, wordy("a")), (2, wordy("b") + "\n" + wordy("c", 9000))])
+    more = docs.selectExpr("*", "1 as kept", "'x' as component_id", "doc_id as _row", "text as _text", "0 as node", "0L as length")
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), DIR).count() == 0
+        out = stage(spark, more, DIR)
+        assert {r.doc_id for r in out.collect()} == {1, 2}
+        assert name == "best_fit_packing" or out.columns == P.COLUMNS
+
+
+def test_packing_ids_are_those_of_the_library(spark):
+    """Plain texts take their ids from the rank file: they must be the library's on real texts."""
+    from factloom.llm import packing
+
+    at = public_tokenizers.path
+    library = Tokenizer.from_file(at("byte_bpe_50k.json"))
+    encode = packing._encoder(at("byte_bpe_50k.json"), at("byte_bpe_50k.tiktoken"))
+    for text in texts(read(spark, DIR, "documents")).values():
+        if text is not None:
+            assert encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids

@@ -23,14 +23,16 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the classifier keep."""
+    """Documents that the rules and the classifier keep. Each row is judged by its text alone; null
+    and empty texts fail the rules."""
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality.quality(docs, labels, carry=COLUMNS[1:]).where("kept").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every group of near-duplicates: five-word shingles, 0.8 or more.
-    The first has the smallest doc_id; null ones come last, and of rows that repeat one stays."""
+    The first has the smallest doc_id; null ones come last, and of rows that repeat one stays.
+    Texts without words are near nothing and stay."""
     docs = _numbered(docs, "numbered")
     found = neardup.near_duplicates(docs.select(F.col("_row").alias("doc_id"), "text"), shingle_words=5, percent=80)
     found = found.select(F.col("doc_id").alias("_row"), "component_id").join(docs.select("_row", "doc_id"), "_row")
@@ -41,7 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 200-byte strings that stand elsewhere too. Where a cut splits
-    a character, its remaining bytes go; n_chars follows the new text."""
+    a character, its remaining bytes go; n_chars follows the new text. Rows of equal texts, which
+    the stage before leaves none of, would all lose them; null texts stay null."""
     docs = _numbered(docs, "numbered")
     cut = passages.repeated_passages(docs.select(F.col("_row").alias("doc_id"), "text"), length=200, keep_bytes=True).where("n_removed > 0").select(F.col("doc_id").alias("_row"), F.try_validate_utf8("kept_bytes").alias("_valid"), F.make_valid_utf8("kept_bytes").alias("_left"))
     left = F.coalesce("_valid", F.replace("_left", F.lit("�"), F.lit("")))
@@ -51,13 +54,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with secrets replaced by a mark; n_chars follows the new text."""
+    """Texts with secrets replaced by a mark; n_chars follows the new text. Every row stays; null
+    texts stay null."""
     clean = secrets.redact(docs.select(COLUMNS))
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces, with their ids' checksums."""
+    """The packed pieces, with their ids' checksums: a row or more for each document, null and empty
+    texts included. Rows that repeat a doc_id are documents of their own."""
     at = public_tokenizers.path
     return packing.pack(docs, at("byte_bpe_50k.json"), at("byte_bpe_50k.tiktoken"), end_id=2, capacity=1024)
 

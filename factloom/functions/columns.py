@@ -368,3 +368,23 @@ def written_like(template: Column, day: Column) -> Column:
 def plain_amount(value: Column) -> Column:
     """An amount without needless zeros: whole numbers as such, others to two places at most."""
     return plain_number(F.round(value, 2).cast("decimal(18,2)"))
+
+
+def json_pointer(parts: Column) -> Column:
+    """The JSON Pointer of member names (array of strings); the empty text for the root."""
+    escaped = F.transform(parts, lambda p: F.concat(F.lit("/"), F.replace(F.replace(p, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))))
+    return F.array_join(escaped, "")
+
+
+def seed_of(*parts: Column) -> Column:
+    """The seed of a random stream: the digest of the parts' texts, joined by bars."""
+    return F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256)
+
+
+def mapped_point(x: Column, y: Column, box: tuple[Column, ...], origin: tuple[Column, Column], across: tuple[Column, Column], above: tuple[Column, Column]) -> Column:
+    """struct<x, y>: a page's point on the display, by where the page's lower left, lower right and
+    upper left corners come to lie; null for a page box (left, bottom, right, top) without extent."""
+    left, bottom, right, top = box
+    u, v = (x - left) / (right - left), (y - bottom) / (top - bottom)
+    at = lambda k: origin[k] + u * (across[k] - origin[k]) + v * (above[k] - origin[k])
+    return F.when((right > left) & (top > bottom), F.struct(at(0).alias("x"), at(1).alias("y")))

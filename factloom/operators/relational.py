@@ -232,6 +232,18 @@ def export_rows(fields: DataFrame, review: DataFrame, scope: str = "all") -> Dat
     return out.select("doc_id", "path", F.coalesce("edited_value", "value").alias("value"), F.col("value").alias("original_value"), F.when(F.col("edited_value").isNull(), "extraction").otherwise("correction").alias("value_source"), F.col("status").alias("verification_status"), "review_status")
 
 
+def with_provenance(rows: DataFrame, recognition: DataFrame) -> DataFrame:
+    """Export rows (doc_id, page, ...) with text_mode and text_source, null for documents whose text
+    is native throughout. ``recognition``: doc_id, text_mode, engine (null where none ran) and
+    processed_pages (null for all pages), each document once."""
+    told = recognition.select("doc_id", "text_mode", F.col("engine").alias("_engine"), F.col("processed_pages").alias("_pages"), F.lit(True).alias("_known"))
+    out = rows.join(told, "doc_id", "left")
+    shown = F.coalesce((F.col("text_mode") != "native") | F.col("_engine").isNotNull(), F.lit(False))
+    read = F.col("_engine").isNotNull() & (F.col("_pages").isNull() | F.coalesce(F.array_contains("_pages", F.col("page")), F.lit(False)))
+    source = F.when(F.col("page").isNull(), "Unlocated evidence").when(read, F.concat(F.lit("OCR: "), F.col("_engine"))).otherwise("Native PDF text")
+    return out.withColumn("text_mode", F.when(shown, F.col("text_mode"))).withColumn("text_source", F.when(shown, source)).drop("_engine", "_pages", "_known")
+
+
 def compare_runs(before: DataFrame, after: DataFrame, keys: list[str], status: str) -> DataFrame:
     """Transitions of the status between two runs; rows of one run alone count as ``absent``."""
     b = before.select(*keys, F.col(status).alias("_before"), F.lit(True).alias("_in_before"))
@@ -314,11 +326,19 @@ def by_value(quotes: DataFrame, words: DataFrame, key: str) -> DataFrame:
     return asked.join(seen, [key, "value"]).select(key, "quote_id", "word_id").distinct()
 
 
-def native_or_recognised(native: DataFrame, recognised: DataFrame, keys: list[str]) -> DataFrame:
-    """Native pages that have words, and the recognised ones in place of those without."""
-    blank = native.where("n_words = 0").select(*keys)
-    kept = native.where("n_words > 0").withColumn("text_source", F.lit("native"))
-    return kept.unionByName(recognised.join(blank, keys, "left_semi").withColumn("text_source", F.lit("recognised")))
+def native_or_recognised(native: DataFrame, recognised: DataFrame, keys: list[str], mode: str = "missing") -> DataFrame:
+    """Pages by their source: with ``missing``, native ones that have words and the recognised ones
+    in place of those without; with ``all``, the recognised ones alone; with ``native``, the native
+    ones as they are."""
+    if mode not in ("native", "missing", "all"):
+        raise ValueError("mode is native, missing or all")
+    seen = recognised.withColumn("text_source", F.lit("recognised"))
+    if mode == "all":
+        return seen
+    kept = native.withColumn("text_source", F.lit("native"))
+    if mode == "native":
+        return kept
+    return kept.where("n_words > 0").unionByName(seen.join(native.where("n_words = 0").select(*keys), keys, "left_semi"))
 
 
 def other_documents(values: DataFrame, pool: list[str], doc: str, most: int) -> DataFrame:

@@ -343,3 +343,100 @@ def rejected_claims(spark, sf_dir):
     claims = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("field_no"), F.lit("p").alias("path"), value.alias("value"))
     words = lines.where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.when(F.col("l_orderkey") % 40 == 0, 65).otherwise(64))).alias("page"), F.lit("w").alias("text"))
     return rejects(words, claims).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- strings, sources, geometry
+
+_SAID = (("{}", 1), ("{} ltd", 1), ("the {}.", 1), ("{}x", 0), ("z{}", 0))
+
+
+@query(r"""
+WITH p AS (SELECT p_partkey, p_partkey % 5 AS k, p_partkey // 5 % 4 AS j, p_name, string_split(p_name, ' ') AS w FROM part),
+t AS (SELECT *, CASE j WHEN 0 THEN p_name WHEN 1 THEN upper(w[1]) || '-' || w[2] WHEN 2 THEN w[1] || ' ' || w[3] ELSE w[1][1:2] END AS value, CASE k WHEN 0 THEN p_name WHEN 1 THEN p_name || ' ltd' WHEN 2 THEN 'the ' || p_name || '.' WHEN 3 THEN p_name || 'x' ELSE 'z' || p_name END AS evidence FROM p),
+a AS (SELECT *, list_filter(regexp_split_to_array(lower(value), '[^a-z0-9]+'), lambda x: x <> '') AS vw, list_filter(regexp_split_to_array(lower(evidence), '[^a-z0-9]+'), lambda x: x <> '') AS ew FROM t),
+r AS (SELECT *, list_has(flatten(list_transform(range(1, len(ew) + 1), lambda i: list_transform(range(i, len(ew) + 1), lambda e: array_to_string(ew[i:e], '')))), array_to_string(vw, '')) AS supported FROM a)
+SELECT p_partkey, value, evidence, coalesce(supported, FALSE) AS supported FROM r""")
+def string_runs(spark, sf_dir):
+    """Names, parts of names and parts of words against what a page says: whole words in order count,
+    whatever their case and punctuation."""
+    from factloom.operators.values import checked_strings
+
+    w, k, j = F.split("p_name", " "), F.col("p_partkey") % 5, F.floor(F.col("p_partkey") / 5) % 4
+    at = lambda i: F.get(w, F.lit(i))
+    value = F.when(j == 0, F.col("p_name")).when(j == 1, F.concat(F.upper(at(0)), F.lit("-"), at(1))).when(j == 2, F.concat(at(0), F.lit(" "), at(2))).otherwise(F.substring(at(0), 1, 2))
+    said = F.lit(None).cast("string")
+    for i, (frame, _) in enumerate(_SAID):
+        before, after = frame.split("{}")
+        said = F.when(k == i, F.concat(F.lit(before), "p_name", F.lit(after))).otherwise(said)
+    rows = table(spark, sf_dir, "part").select("p_partkey", value.alias("value"), said.alias("evidence"))
+    told = checked_strings(rows.select("*", F.col("value").alias("_v"), F.col("evidence").alias("_e")), "_v", "_e")
+    return told.select("p_partkey", "value", "evidence", "supported")
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_partkey % 4 END AS page FROM lineitem),
+r AS (SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'native' WHEN 1 THEN 'missing' ELSE 'all' END AS mode, CASE WHEN o_orderkey % 4 < 2 THEN 'reader 5; eng; 144 dpi' END AS engine, CASE WHEN o_orderkey % 4 = 0 THEN [1, 3] END AS pages FROM orders WHERE o_orderkey % 10 <> 0)
+SELECT doc_id, n, page, CASE WHEN mode <> 'native' OR engine IS NOT NULL THEN mode END AS text_mode, CASE WHEN mode <> 'native' OR engine IS NOT NULL THEN CASE WHEN page IS NULL THEN 'Unlocated evidence' WHEN engine IS NOT NULL AND (pages IS NULL OR list_contains(pages, page)) THEN 'OCR: ' || engine ELSE 'Native PDF text' END END AS text_source FROM f LEFT JOIN r USING (doc_id)""")
+def export_provenance(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.when(F.col("l_partkey") % 5 != 0, F.col("l_partkey") % 4).alias("page"))
+    k = F.col("o_orderkey")
+    mode = F.when(k % 3 == 0, "native").when(k % 3 == 1, "missing").otherwise("all")
+    told = table(spark, sf_dir, "orders").where(k % 10 != 0).select(k.alias("doc_id"), mode.alias("text_mode"), F.when(k % 4 < 2, "reader 5; eng; 144 dpi").alias("engine"), F.when(k % 4 == 0, F.array(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("processed_pages"))
+    return R.with_provenance(rows, told)
+
+
+@query("""
+WITH w AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 + 1 AS page, l_linenumber, l_partkey, CASE l_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 0 END AS mode, CASE l_partkey % 3 WHEN 0 THEN 'contributes' WHEN 1 THEN 'no_contribution' END AS state FROM lineitem),
+d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, l_linenumber, l_partkey ORDER BY mode, state) AS rn FROM w),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY l_linenumber, l_partkey) - 1 AS word_no FROM d WHERE rn = 1)
+SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(word_no AS INTEGER) AS word_no, 'w' || l_partkey AS text, l_linenumber * 10.0::DOUBLE AS x0, coalesce(mode = 3, FALSE) OR coalesce(state = 'no_contribution', FALSE) OR (mode IS NOT NULL AND state IS NULL) AS review_paint FROM o""")
+def document_json_words(spark, sf_dir):
+    """Orders written as document JSON of two pages, and read again."""
+    from factloom.sources.readers import document_words
+
+    part, line = F.col("l_partkey"), F.col("l_linenumber")
+    x = line * F.lit(10.0)
+    box = F.struct(x.alias("x0"), F.lit(0.0).alias("top"), (x + 9).alias("x1"), F.lit(10.0).alias("bottom"))
+    word = F.struct(F.concat(F.lit("w"), part.cast("string")).alias("text"), box.alias("bbox"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.when(part % 4 == 0, 3).when(part % 4 == 1, 0).alias("render_mode"), F.when(part % 3 == 0, "contributes").when(part % 3 == 1, "no_contribution").alias("raster_state"))
+    one = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (line % 2 + 1).alias("number"), "l_linenumber", "l_partkey").agg(F.first(word).alias("word"))
+    pages = one.groupBy("l_orderkey", "number").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "word"))), lambda s: s["word"]).alias("words"))
+    docs = pages.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("number", "words"))).alias("pages"))
+    return document_words(docs.select(F.col("l_orderkey").alias("doc_id"), F.to_json(F.struct(F.lit("s").alias("source"), "pages")).alias("json"))).select("doc_id", "page", "word_no", "text", "x0", "review_paint")
+
+
+@query("""
+WITH b AS (SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE ELSE event_id % 50 END AS x0, CASE WHEN event_id % 6 = 3 THEN NULL ELSE 10.0 END::DOUBLE AS top, CASE WHEN event_id % 6 = 4 THEN (event_id % 50)::DOUBLE ELSE event_id % 50 + 5 END AS x1, 20.0::DOUBLE AS bottom FROM events)
+SELECT event_id % 6 AS kind, coalesce(isfinite(x0) AND isfinite(top) AND isfinite(x1) AND x1 > x0 AND bottom > top, FALSE) AS sound, count(*) AS n FROM b GROUP BY 1, 2""")
+def sound_boxes(spark, sf_dir):
+    e = F.col("event_id")
+    x0 = F.when(e % 6 == 1, float("nan")).when(e % 6 == 2, float("-inf")).otherwise((e % 50).cast("double"))
+    x1 = (e % 50 + F.when(e % 6 == 4, 0).otherwise(5)).cast("double")
+    ok = C.sound_box(x0, F.when(e % 6 != 3, 10.0), x1, F.lit(20.0))
+    return table(spark, sf_dir, "events").groupBy((e % 6).alias("kind"), ok.alias("sound")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, 10.0::DOUBLE AS l, 20.0::DOUBLE AS b, CASE WHEN p_partkey % 9 = 0 THEN 10 ELSE 110 END::DOUBLE AS r, 220.0::DOUBLE AS t, p_size * 2.0::DOUBLE AS x, p_size * 3.0::DOUBLE AS y FROM part)
+SELECT p_partkey, CASE WHEN r > l THEN round(300 + (x - l) / (r - l) * 0 + (y - b) / (t - b) * -300, 6) END AS dx, CASE WHEN r > l THEN round(5 + (x - l) / (r - l) * 150 + (y - b) / (t - b) * 0, 6) END AS dy, sha256('part|' || p_partkey || '|' || p_size) AS seed, '/a~0b/' || replace(replace(p_type, '~', '~0'), '/', '~1') || '/c~1d' AS pointer FROM part p2 JOIN p USING (p_partkey)""")
+def mapped_points(spark, sf_dir):
+    """Points of a page turned by a quarter, seeds of random streams and JSON Pointers."""
+    lit = lambda v: F.lit(float(v))
+    box = (lit(10), lit(20), F.when(F.col("p_partkey") % 9 == 0, lit(10)).otherwise(lit(110)), lit(220))
+    at = C.mapped_point(F.col("p_size") * lit(2), F.col("p_size") * lit(3), box, (lit(300), lit(5)), (lit(300), lit(155)), (lit(0), lit(5)))
+    rows = table(spark, sf_dir, "part").select("p_partkey", at.alias("at"), C.seed_of(F.lit("part"), F.col("p_partkey"), F.col("p_size")).alias("seed"), C.json_pointer(F.array(F.lit("a~b"), "p_type", F.lit("c/d"))).alias("pointer"))
+    return rows.select("p_partkey", F.round("at.x", 6).alias("dx"), F.round("at.y", 6).alias("dy"), "seed", "pointer")
+
+
+@query("""
+WITH n AS (SELECT doc_id, CASE WHEN n_chars < 300 THEN 0 ELSE n_chars END AS n_words FROM documents), r AS (SELECT doc_id, n_chars AS n_words FROM documents WHERE lang <> 'de')
+SELECT 'all' AS mode, 'recognised' AS text_source, count(*) AS n, CAST(sum(n_words) AS BIGINT) AS words FROM r UNION ALL SELECT 'native', 'native', count(*), CAST(sum(n_words) AS BIGINT) FROM n
+UNION ALL SELECT 'missing', 'native', count(*), CAST(sum(n_words) AS BIGINT) FROM n WHERE n_words > 0 UNION ALL SELECT 'missing', 'recognised', count(*), CAST(sum(r.n_words) AS BIGINT) FROM r JOIN n USING (doc_id) WHERE n.n_words = 0 HAVING count(*) > 0""")
+def text_modes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    native = docs.select("doc_id", F.when(F.col("n_chars") < 300, 0).otherwise(F.col("n_chars")).cast("long").alias("n_words"))
+    seen = docs.where("lang <> 'de'").select("doc_id", F.col("n_chars").cast("long").alias("n_words"))
+    out = None
+    for mode in ("native", "missing", "all"):
+        part = R.native_or_recognised(native, seen, ["doc_id"], mode).select(F.lit(mode).alias("mode"), "text_source", "n_words")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("mode", "text_source").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows that one task numbers, about; buckets are counted from it.
-BUCKET_ROWS = 50_000
+#: Rows that one task numbers, about, and buckets at least; buckets are counted from these.
+BUCKET_ROWS, LEAST_BUCKETS = 50_000, 64
 #: Bucket sizes that are broadcast at most, 24 bytes each; more of them are joined by a shuffle.
 SENT_SIZES = 200_000
 
@@ -18,12 +18,12 @@ def gapless(df: DataFrame, by: str, ids: list[str], out: str, rows: int, values:
     A group is dealt over buckets by a hash of ``ids`` and ``by``, numbered there, and shifted by
     the sizes of the buckets before, so a group with a third of all rows is no single task. There
     are as many buckets as ``rows``, the number of rows of ``df``, needs for ``BUCKET_ROWS`` each
-    if one group held them all. ``values`` is the number of values of ``by`` or a bound of it. Rows
+    if one group held them all, and ``LEAST_BUCKETS`` at least. ``values`` is the number of values of ``by`` or a bound of it. Rows
     that agree in ``ids`` are told apart by the order in which they come, so they must be alike.
     ``df`` is read twice and must give the same rows both times. Columns starting with ``_rank``
     must not exist.
     """
-    buckets = max(1, -(-rows // BUCKET_ROWS))
+    buckets = max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS))
     df = df.withColumn("_rank_bucket", F.pmod(F.xxhash64(*ids), F.lit(buckets)))
     sizes = df.groupBy(by, "_rank_bucket").agg(F.count("*").alias("_rank_n"))
     before = Window.partitionBy(by).orderBy("_rank_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -767,6 +767,7 @@ def test_gapless_in_buckets(spark, monkeypatch):
     from factloom.llm import ranks
 
     monkeypatch.setattr(ranks, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(ranks, "LEAST_BUCKETS", 3)
     rows = [("hot" if i % 3 else f"g{i % 5}", i // 2) for i in range(200)]
     for sent in (10**6, 0):
         monkeypatch.setattr(ranks, "SENT_SIZES", sent)

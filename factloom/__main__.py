@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from factloom.operators import verify as V
 from factloom.sources import readers
 
-RULES = {"invoice": V.INVOICE_RULES, "receipt": V.RECEIPT_RULES}
+RULES = {name.lower(): rules for name, rules in V.DEFAULT_RULES.items()}
 
 
 def _stem(path: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import itertools
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -57,6 +57,26 @@ INVOICE_RULES = (RowRule("line_items", "description", ("quantity", "unit_price",
 RECEIPT_RULES = (RowRule("items", "description", ("quantity", "amount")),)
 
 
+#: Rules by the name of a document's schema; others have none.
+DEFAULT_RULES = {"Invoice": INVOICE_RULES, "Receipt": RECEIPT_RULES}
+
+
+def check_rules(rules: Iterable[RowRule], collections: dict[str, Iterable[str]]) -> tuple[RowRule, ...]:
+    """The rules, if each names a collection of the schema, once, and fields of its items;
+    ``collections`` gives the items' fields by path. A misspelt rule would check nothing."""
+    rules, seen = tuple(rules), set()
+    for rule in rules:
+        if rule.collection in seen:
+            raise ValueError(f"there are two rules for {rule.collection!r}")
+        seen.add(rule.collection)
+        if rule.collection not in collections:
+            raise ValueError(f"the schema has no collection {rule.collection!r}")
+        lost = {rule.anchor, *rule.fields} - set(collections[rule.collection])
+        if lost:
+            raise ValueError(f"items of {rule.collection!r} have no {sorted(lost)}")
+    return rules
+
+
 @dataclass
 class Options:
     text_edit_tolerance: int = 0

@@ -440,3 +440,25 @@ def text_modes(spark, sf_dir):
         part = R.native_or_recognised(native, seen, ["doc_id"], mode).select(F.lit(mode).alias("mode"), "text_source", "n_words")
         out = part if out is None else out.unionByName(part)
     return out.groupBy("mode", "text_source").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 90 WHEN 2 THEN 180 WHEN 3 THEN 270 ELSE 45 END AS turn, p_size AS l, p_size * 2 AS b, 600 - p_size AS r, 800 - p_size * 3 AS t FROM part)
+SELECT p_partkey, CAST(CASE turn WHEN 0 THEN l - 1 WHEN 90 THEN b - 2 WHEN 180 THEN 612 - r WHEN 270 THEN 812 - t END AS DOUBLE) AS x, CAST(CASE turn WHEN 0 THEN 812 - t WHEN 90 THEN l - 1 WHEN 180 THEN b - 2 WHEN 270 THEN 612 - r END AS DOUBLE) AS y, CAST(CASE WHEN turn IN (0, 180) THEN r - l WHEN turn IN (90, 270) THEN t - b END AS DOUBLE) AS width, CAST(CASE WHEN turn IN (0, 180) THEN t - b WHEN turn IN (90, 270) THEN r - l END AS DOUBLE) AS height FROM p""")
+def visible_boxes(spark, sf_dir):
+    k, size = F.col("p_partkey") % 5, F.col("p_size")
+    turn = F.when(k == 0, 0).when(k == 1, 90).when(k == 2, 180).when(k == 3, 270).otherwise(45)
+    box = C.visible_box(turn, tuple(F.lit(v) for v in (1, 2, 612, 812)), (size, size * 2, 600 - size, 800 - size * 3))
+    return table(spark, sf_dir, "part").select("p_partkey", box.alias("b")).select("p_partkey", "b.*")
+
+
+@query("""
+WITH b AS (SELECT event_id, (event_id % 100)::DOUBLE AS x0, (event_id % 70)::DOUBLE AS y0, (event_id % 100 + 20)::DOUBLE AS x1, (event_id % 70 + 8)::DOUBLE AS y1, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 10 ELSE 0 END::DOUBLE AS c0, CASE WHEN event_id % 4 = 3 THEN 90.0000005 ELSE 100 END::DOUBLE AS c2, CASE WHEN event_id % 8 = 6 THEN 0 ELSE 60 END::DOUBLE AS c3 FROM events)
+SELECT event_id % 8 AS kind, CASE WHEN c0 IS NULL THEN FALSE WHEN c0 >= c2 OR 0 >= c3 THEN TRUE ELSE x0 < c0 - 1e-6 OR y0 < 0 - 1e-6 OR x1 > c2 + 1e-6 OR y1 > c3 + 1e-6 END AS crosses, count(*) AS n FROM b GROUP BY 1, 2""")
+def clip_risks(spark, sf_dir):
+    e = F.col("event_id")
+    left = F.when(e % 4 == 0, F.lit(None)).when(e % 4 == 1, 10.0).otherwise(0.0)
+    known = left.isNotNull()
+    clip = tuple(F.when(known, x) for x in (left, F.lit(0.0), F.when(e % 4 == 3, 90.0000005).otherwise(100.0), F.when(e % 8 == 6, 0.0).otherwise(60.0)))
+    box = tuple((x).cast("double") for x in (e % 100, e % 70, e % 100 + 20, e % 70 + 8))
+    return table(spark, sf_dir, "events").groupBy((e % 8).alias("kind"), C.crosses_clip(box, clip).alias("crosses")).agg(F.count("*").alias("n"))

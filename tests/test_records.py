@@ -184,3 +184,11 @@ def test_reading_order_joins_words_of_a_line(spark):
     words = [("b", 50.0, 1.0, 60.0, 11.0), ("a", 0.0, 0.0, 10.0, 10.0), ("d", 0.0, 20.0, 10.0, 30.0), ("c", 90.0, 4.0, 99.0, 14.0), ("e", 0.0, 26.0, 10.0, 36.0)]
     df = spark.createDataFrame([(words,), ([],)], "w array<struct<text:string,x0:double,top:double,x1:double,bottom:double>>")
     assert [[x.text for x in r.w] for r in df.select(S.reading_order(F.col("w")).alias("w")).collect()] == [["a", "b", "c", "d", "e"], []]
+
+
+def test_row_rules_name_what_the_schema_has():
+    held = {"line_items": ["description", "quantity", "unit_price", "amount"]}
+    assert V.check_rules(V.DEFAULT_RULES["Invoice"], held) == V.INVOICE_RULES
+    for rules, schema in ((V.RECEIPT_RULES, held), (V.INVOICE_RULES * 2, held), (V.INVOICE_RULES, {"line_items": ["description"]})):
+        with pytest.raises(ValueError):
+            V.check_rules(rules, schema)

@@ -3,9 +3,8 @@
 Equal vectors collapse to one point that carries its smallest ids (one more than a query asks
 for, which is all that ties can use). Points are dealt into shards of about ``SHARD_POINTS``
 by a hash. Each shard's graph has the layers and link rules of HNSW (geometric levels, links
-chosen for diversity, back links pruned to the cap) and is stored as flat neighbour arrays;
-as a shard is bounded, candidates for links come from blocked distances within the layer
-instead of one insertion after another. Queries go to every shard in blocks: greedy descent
+chosen for diversity, back links pruned to the cap) and is stored as flat neighbour arrays.
+Points are inserted in blocks: a block searches the graph so far. Queries go to every shard in blocks: greedy descent
 through the upper layers, then a beam over the lowest, all queries of a block at once. The
 shards' best are merged; scores are taken in double precision on the original vectors. Every
 shard is asked: cells around fitted centres, of which a query would ask the nearest 24, kept only
@@ -28,6 +27,8 @@ from factloom.llm.storage import bound_batches, materialize
 
 SHARD_POINTS, QUERY_BLOCK = 4096, 512
 LINKS, CANDIDATES, BEAM = 16, 64, 128
+#: Points that are inserted together, first and at most.
+FIRST_BLOCK, MOST_BLOCK = 128, 512
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,49 +50,76 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T)
 
 
-def _layer(x: np.ndarray, cap: int) -> np.ndarray:
-    """Flat neighbour array (rows, cap), -1 for none, over the points of one layer."""
-    n = len(x)
-    out = np.full((n, cap), -1, np.int32)
-    if n < 2:
-        return out
-    take = min(CANDIDATES, n - 1)
-    near = np.empty((n, take), np.int64)
-    for a in range(0, n, 512):
-        d = _distances(x[a : a + 512], x)
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        part = np.argpartition(d, take - 1, 1)[:, :take]
-        near[a : a + 512] = np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, 1), 1, kind="stable"), 1)
-    chosen: list[np.ndarray] = []
-    for i in range(n):
-        c = near[i]
-        own = ((x[c] - x[i]) ** 2).sum(1)
-        between = _distances(x[c], x[c])
-        blocked = np.zeros(take, bool)
-        picked = []
-        for k in range(take):
-            if not blocked[k]:
-                picked.append(k)
-                if len(picked) == cap // 2:
-                    break
-                blocked |= between[k] < own  # nearer to a chosen link than to the point
-        rest = [k for k in range(take) if k not in picked][: cap // 2 - len(picked)]
-        chosen.append(c[picked + rest])
-    source = np.repeat(np.arange(n), [len(c) for c in chosen])
-    target = np.concatenate(chosen)
-    pair = np.unique(np.concatenate([source * n + target, target * n + source]))
+def _diverse(x: np.ndarray, at: int, near: np.ndarray, cap: int) -> np.ndarray:
+    """Of candidates by distance from point ``at``, those nearer to it than to a chosen one, filled
+    up with the nearest others."""
+    own = ((x[near] - x[at]) ** 2).sum(1)
+    between = _distances(x[near], x[near])
+    blocked = np.zeros(len(near), bool)
+    picked: list[int] = []
+    for k in range(len(near)):
+        if not blocked[k]:
+            picked.append(k)
+            if len(picked) == cap:
+                break
+            blocked |= between[k] < own
+    rest = np.setdiff1d(np.arange(len(near)), picked)[: cap - len(picked)]
+    return near[np.concatenate([picked, rest]).astype(np.int64)]
+
+
+def _joined(x: np.ndarray, links: np.ndarray, source: np.ndarray, target: np.ndarray) -> None:
+    """Add links both ways; of those of one point the nearest stay, as many as the array holds."""
+    n, cap = links.shape
+    touched = np.unique(np.concatenate([source, target]))
+    old_source = np.repeat(touched, cap)
+    old = links[touched].ravel()
+    held = old >= 0
+    pair = np.unique(np.concatenate([source * n + target, target * n + source, old_source[held] * n + old[held]]))
     a, b = pair // n, pair % n
-    d = ((x[a] - x[b]) ** 2).sum(1)
-    order = np.lexsort((d, a))
+    order = np.lexsort((((x[a] - x[b]) ** 2).sum(1), a))
     a, b = a[order], b[order]
     place = np.arange(len(a)) - np.searchsorted(a, a)
     fit = place < cap
-    out[a[fit], place[fit]] = b[fit]
+    links[touched] = -1
+    links[a[fit], place[fit]] = b[fit]
+
+
+def _layer(x: np.ndarray, cap: int) -> np.ndarray:
+    """Flat neighbour array (rows, cap), -1 for none, over the points of one layer.
+
+    Points are inserted in blocks, each as large as a quarter of what is there: a block searches the
+    graph so far and looks at its own points, links to a diverse choice of both, and the links back
+    are pruned to the cap.
+    """
+    n = len(x)
+    out = np.full((n, cap), -1, np.int32)
+    done = 0
+    while done < n:
+        block = np.arange(done, min(n, done + max(FIRST_BLOCK, min(MOST_BLOCK, done // 4))))
+        inner = _distances(x[block], x[block])
+        inner[np.arange(len(block)), np.arange(len(block))] = np.inf
+        take = min(CANDIDATES, len(block) - 1)
+        near = block[np.argpartition(inner, take - 1, 1)[:, :take]] if take > 0 else np.empty((len(block), 0), np.int64)
+        if done:
+            found = _beam(x[:done], out[:done], x[block], np.arange(min(done, CANDIDATES // 2))[None, :].repeat(len(block), 0), CANDIDATES)[0]
+            near = np.concatenate([near, found], 1)
+        sources, targets = [], []
+        for i, at in enumerate(block):
+            c = near[i][near[i] >= 0]
+            if len(c):
+                c = c[np.argsort(((x[c] - x[at]) ** 2).sum(1), kind="stable")[:CANDIDATES]]
+                chosen = _diverse(x, at, c, cap // 2)
+                sources.append(np.full(len(chosen), at))
+                targets.append(chosen)
+        if sources:
+            _joined(x, out, np.concatenate(sources), np.concatenate(targets))
+        done += len(block)
     return out
 
 
 def build(vectors: np.ndarray, ids: np.ndarray) -> dict:
-    """The graph of one shard; levels follow from the ids, so a rebuild gives the same."""
+    """The graph of one shard; levels follow from the ids, so a rebuild gives the same. Points of
+    higher layers are inserted first."""
     x = vectors.astype(np.float32)
     draw = np.random.default_rng(11).permutation(1 << 12)
     uniform = (draw[(ids * 2654435761 % (1 << 32)) >> 20 & 4095] + 0.5) / (1 << 12)
@@ -99,45 +127,31 @@ def build(vectors: np.ndarray, ids: np.ndarray) -> dict:
     layers = []
     for at in range(level.max() + 1):
         members = np.flatnonzero(level >= at)
-        layers.append((members.astype(np.int32), _layer(x[members], 2 * LINKS if at == 0 else LINKS)))
+        order = members[np.argsort(-level[members], kind="stable")]
+        links = _layer(x[order], 2 * LINKS if at == 0 else LINKS)
+        if at == 0:  # by row numbers, as queries walk it
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            links = np.where(links >= 0, order[np.maximum(links, 0)], -1)[back].astype(np.int32)
+            order = np.arange(len(order))
+        layers.append((order.astype(np.int32), links))
     return {"vectors": x, "layers": layers}
 
 
-def search(graph: dict, queries: np.ndarray, want: int, beam: int = BEAM) -> np.ndarray:
-    """(queries, want) row numbers of near points, nearest first, -1 for none."""
-    x, q = graph["vectors"], queries.astype(np.float32)
+def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(points, squared distances) of each query's ``beam`` nearest found from its entries, which
+    must differ, by distance; -1 and infinity for none. All queries advance together."""
     n, rows = len(x), np.arange(len(q))
+    beam = min(beam, n)
 
     def far(points: np.ndarray) -> np.ndarray:
         return ((x[np.maximum(points, 0)] - q[:, None, :]) ** 2).sum(2)
 
-    members, _ = graph["layers"][-1]
-    at = np.full(len(q), members[0], np.int64)
-    for members, links in reversed(graph["layers"][1:]):
-        local = np.full(n, -1, np.int64)
-        local[members] = np.arange(len(members))
-        best = far(at[:, None])[:, 0]
-        while True:
-            around = links[local[at]]
-            points = np.where(around >= 0, members[np.maximum(around, 0)], -1)
-            d = np.where(points >= 0, far(points), np.inf)
-            k = d.argmin(1)
-            better = d[rows, k] < best
-            if not better.any():
-                break
-            at = np.where(better, points[rows, k], at)
-            best = np.where(better, d[rows, k], best)
-    links = graph["layers"][0][1]
-    beam = min(beam, n)
     spot = np.full((len(q), beam), -1, np.int64)
     dist = np.full((len(q), beam), np.inf, np.float32)
     open_ = np.zeros((len(q), beam), bool)
     seen = np.zeros((len(q), n), bool)
-    # the entry found by the descent, and the members of layer 1 as further entries: shards
-    # may hold clusters that no link joins
-    entries = graph["layers"][1][0][: beam // 2] if len(graph["layers"]) > 1 else np.empty(0, np.int32)
-    first = np.unique(np.concatenate([at[:1], entries]))[:beam]
-    first = np.where((first[None, :] == at[:, None]).any(1)[:, None], first[None, :], np.concatenate([at[:, None], np.tile(first[1:], (len(q), 1))], 1))
+    first = entries[:, :beam]
     spot[:, : first.shape[1]], dist[:, : first.shape[1]], open_[:, : first.shape[1]] = first, far(first), True
     np.put_along_axis(seen, first, True, 1)
     while open_.any():
@@ -156,8 +170,41 @@ def search(graph: dict, queries: np.ndarray, want: int, beam: int = BEAM) -> np.
         keep = np.argpartition(every_dist, beam - 1, 1)[:, :beam]
         spot, dist, open_ = (np.take_along_axis(v, keep, 1) for v in (every_spot, every_dist, every_open))
         open_ &= np.isfinite(dist)
-    order = np.argsort(dist, 1, kind="stable")[:, :want]
-    return np.where(np.isfinite(np.take_along_axis(dist, order, 1)), np.take_along_axis(spot, order, 1), -1)
+    order = np.argsort(dist, 1, kind="stable")
+    spot, dist = np.take_along_axis(spot, order, 1), np.take_along_axis(dist, order, 1)
+    return np.where(np.isfinite(dist), spot, -1), dist
+
+
+def search(graph: dict, queries: np.ndarray, want: int, beam: int = BEAM) -> np.ndarray:
+    """(queries, want) row numbers of near points, nearest first, -1 for none."""
+    x, q = graph["vectors"], queries.astype(np.float32)
+    n, rows = len(x), np.arange(len(q))
+
+    def far(points: np.ndarray) -> np.ndarray:
+        return ((x[np.maximum(points, 0)] - q[:, None, :]) ** 2).sum(2)
+
+    members, _ = graph["layers"][-1]
+    at = np.full(len(q), members[0], np.int64)
+    for members, links in reversed(graph["layers"][1:]):
+        local = np.full(n, -1, np.int64)
+        local[members] = np.arange(len(members))
+        best = far(at[:, None])[:, 0]
+        while True:
+            around = links[local[at]]
+            points = np.where(around >= 0, members[np.maximum(around, 0)], -1)
+            d = np.where(points >= 0, far(points), np.inf)
+            k = d.argmin(1)
+            better = d[rows, k] < best
+            if not better.any():
+                break
+            at = np.where(better, points[rows, k], at)
+            best = np.where(better, d[rows, k], best)
+    # the entry found by the descent, and the members of layer 1 as further entries: shards
+    # may hold clusters that no link joins
+    entries = graph["layers"][1][0][: beam // 2].astype(np.int64) if len(graph["layers"]) > 1 else np.empty(0, np.int64)
+    first = np.unique(np.concatenate([at[:1], entries]))[: min(beam, n)]
+    first = np.where((first[None, :] == at[:, None]).any(1)[:, None], first[None, :], np.concatenate([at[:, None], np.tile(first[1:], (len(q), 1))], 1))
+    return _beam(x, graph["layers"][0][1], q, first, beam)[0][:, :want]
 
 
 def _build_shard(key: tuple, table: pa.Table) -> pa.Table:

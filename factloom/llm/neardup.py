@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.bytesops import U64, Words, binary_column, blocks, mix64
 from factloom.llm.components import connected_components
-from factloom.llm.storage import bound_batches, materialize
+from factloom.llm.storage import bound_batches, discard, materialize
 
 SYMBOLS, CHUNKS, WIDTH = 100, 20, 5
 REACH = 2 * CHUNKS - 1
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     keys = classes.select("node", "sig").mapInArrow(_emit_keys, "key long, node long")
     keys = keys.repartition("key").sortWithinPartitions("key", "node")
-    keys = materialize(keys.mapInArrow(_shared_keys, "key long, node long, place long"), "keys")
+    keys = shared = materialize(keys.mapInArrow(_shared_keys, "key long, node long, place long"), "keys")
     large = keys.where(F.col("place") >= KEY_BLOCK).groupBy("key").agg(F.max("place").alias("top"))
     block = F.floor(F.col("place") / KEY_BLOCK).cast("int")
     top = F.coalesce(F.floor(F.col("top") / KEY_BLOCK).cast("int"), F.lit(0))
@@ -277,14 +277,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     placed = placed.select("key", (F.least("at", "other") * 1_000_000 + F.greatest("at", "other")).cast("long").alias("unit"), "node")
     placed = placed.join(classes.select("node", "sig"), "node").select("key", "unit", "node", "sig")
     forest = placed.repartition("key", "unit").sortWithinPartitions("key", "unit", "node").mapInArrow(_family_edges, "a long, b long")
-    family = materialize(connected_components(forest), "families").select("node", F.col("component").alias("family"))
-
-    family = materialize(family.join(classes.select("node", "n_shingles"), "node"), "members")
+    families = materialize(connected_components(forest), "families")
+    discard(shared)
+    family = materialize(families.select("node", F.col("component").alias("family")).join(classes.select("node", "n_shingles"), "node"), "members")
+    discard(families)
     half = F.greatest(F.count("*") / (FAMILY_BLOCK // 2), F.sum("n_shingles") / (FAMILY_SHINGLES // 2))
     sizes = family.groupBy("family").agg(F.ceil(half).alias("blocks"))
     block = F.when(F.col("blocks") <= 2, 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("long")
     placed = family.join(sizes, "family").select("family", "node", block.alias("block"))
     placed = materialize(placed, "blocks")
+    discard(family)
     texts = placed.select("node").join(docs, placed.node == docs.doc_id).select("node", "text")
     texts = materialize(texts, "family-texts")
 
@@ -297,7 +299,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     heads = placed.where("block > 0").groupBy("family").agg(F.expr(f"slice(array_sort(collect_set(case when block = 1 then node end)), 1, {HEADS})").alias("heads"))
     split = placed.where("block > 0").select("family", "block").distinct().join(heads, "family").select("family", F.explode("heads").alias("node"), "block")
     first = placed.select("family", "node", "block").unionByName(split).distinct().select("family", "block", no.alias("other"), "node", F.col("node").alias("known"), F.lit(True).alias("asks"))
-    links = materialize(linked(first), "links")
+    links = near = materialize(linked(first), "links")
     found = materialize(connected_components(links), "components")
 
     big = placed.where("block > 0").join(found, "node", "left").select("family", "block", "node", F.coalesce("component", "node").alias("known"))
@@ -310,8 +312,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         side = pairs.join(big.where("asks").select("family", F.col("block").alias("x"), "node", "known"), ["family", "x"]).select("family", F.col("x").alias("block"), F.col("y").alias("other"), "node", "known", F.lit(True).alias("asks"))
         rest = pairs.where("x <> y").join(big.select("family", F.col("block").alias("y"), "node", "known"), ["family", "y"]).select("family", F.col("x").alias("block"), F.col("y").alias("other"), "node", "known", F.lit(False).alias("asks"))
         same = pairs.where("x = y").join(big.where("not asks").select("family", F.col("block").alias("y"), "node", "known"), ["family", "y"]).select("family", F.col("x").alias("block"), F.col("y").alias("other"), "node", "known", F.lit(False).alias("asks"))
-        links = links.unionByName(materialize(linked(side.unionByName(rest).unionByName(same)), "links"))
-        found = materialize(connected_components(links), "components")
+        far = materialize(linked(side.unionByName(rest).unionByName(same)), "links")
+        before, found = found, materialize(connected_components(links.unionByName(far)), "components")
+        discard(far)
+        discard(before)
+    for table in (near, texts, placed):  # the result needs none of them
+        discard(table)
 
     member = classes.select("print", "node").join(found, "node", "left").select("print", F.coalesce("component", "node").alias("class"))
     out = signed.join(member, "print", "left").select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))

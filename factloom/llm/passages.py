@@ -38,12 +38,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.bytesops import binary_column, prefix_hash, span_hash
 from factloom.llm.neardup import _grouped
-from factloom.llm.storage import bound_batches, materialize
+from factloom.llm.storage import bound_batches, discard, materialize
 
 #: Places of a gram that one group may hold, and rows that one pass of the construction takes
 #: together, over as many groups as that holds.
@@ -347,23 +347,12 @@ def _frequent_spans(active: DataFrame, length: int, group_rows: int) -> list[Dat
     return [*found, met.select("print", F.col("begin").alias("start"), "stop")]
 
 
-def repeated_passages(docs: DataFrame, length: int = 200, keep_bytes: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs),
-    kept_sha256 (of the bytes left, lowercase hex) and, on demand, kept_bytes (null where
-    nothing was removed).
-
-    ``docs`` needs doc_id and text; other columns are ignored. doc_id is only passed through: it
-    may be null or repeat, each row is judged by its text. Null text counts as empty. Every
-    string is judged on the input. Texts shorter than ``length`` bytes lose nothing; equal texts
-    of that length or more, a repeated row's included, lose everything, each copy alike. Bytes
-    left need not be valid UTF-8. Very long texts are taken whole; empty tables give empty
-    results. ``group_rows`` bounds the rows that meet in a task and does not change the result.
-    """
+def _analysed(docs: DataFrame, length: int, group_rows: int, keep_bytes: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of doc_id and text: every row with its sizes and digests (``print`` is that of its text),
+    the texts with their copies, and the cuts of texts that lose bytes without having a copy."""
     if length < 4 or length % 2:
         raise ValueError("length must be even and at least 4")
     bound_batches(docs.sparkSession)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     surveyed = materialize(docs.mapInArrow(_survey(length), "doc_id long, n_bytes long, print binary, sha string, grams array<long>, places array<long>"), "survey")
     classes = materialize(surveyed.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("n_bytes").alias("size")), "texts")
     # one row of each text stands for all; rows that repeat a doc_id and its text all do, which
@@ -375,8 +364,7 @@ def repeated_passages(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
     wanted = keys.drop("n").join(counts, "key").groupBy("print").agg(F.collect_set(F.when(~is_hot, F.col("key"))).alias("grams"), F.collect_set(F.when(is_hot, F.col("key"))).alias("hot"))
     chosen = wanted.join(classes.select("print", "node"), "print")
     chosen = chosen.select(F.col("print").alias("_print"), "node", "grams", "hot")
-    digest = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
-    found = docs.withColumn("print", digest).join(chosen, (F.col("print") == F.col("_print")) & F.col("doc_id").eqNullSafe(F.col("node")))
+    found = docs.withColumn("print", _print_of("text")).join(chosen, (F.col("print") == F.col("_print")) & F.col("doc_id").eqNullSafe(F.col("node")))
     active = materialize(found.select("print", "text", "grams", "hot"), "active")
 
     rows = active.mapInArrow(_contexts(length, "grams"), _ROWS_DDL)
@@ -387,17 +375,49 @@ def repeated_passages(docs: DataFrame, length: int = 200, keep_bytes: bool = Fal
         for more in _frequent_spans(active, length, group_rows):
             spans = spans.unionByName(more)
     spans = spans.groupBy("print").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    cut = active.select("print", "text").join(spans, "print").mapInArrow(_cut, "print binary, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
-    cut = cut if keep_bytes else cut.drop("kept_bytes")
+    single = classes.where("copies = 1").select("print")
+    cut = active.select("print", "text").join(spans, "print").join(single, "print", "left_semi").mapInArrow(_cut, "print binary, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+    cut = materialize(cut if keep_bytes else cut.drop("kept_bytes"), "cut")
+    discard(active)
+    discard(counts)
+    return surveyed, classes, cut
+
+
+def _print_of(text: str) -> Column:
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def repeated_passages(docs: DataFrame, length: int = 200, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and
+    kept_sha256 (of the bytes left, lowercase hex).
+
+    ``docs`` needs doc_id and text; other columns are ignored. doc_id is only passed through: it
+    may be null or repeat, each row is judged by its text. Null text counts as empty. Every
+    string is judged on the input. Texts shorter than ``length`` bytes lose nothing; equal texts
+    of that length or more, a repeated row's included, lose everything, each copy alike. Bytes
+    left need not be valid UTF-8. Very long texts are taken whole; empty tables give empty
+    results. ``group_rows`` bounds the rows that meet in a task and does not change the result.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    surveyed, classes, cut = _analysed(docs, length, group_rows, False)
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    single = surveyed.drop("grams", "places").join(classes.select("print", "copies"), "print")
-    # texts with copies are removed whole, so that a repeated row finds no second cut here
-    out = single.join(cut.withColumnRenamed("print", "_print"), (F.col("print") == F.col("_print")) & (F.col("copies") == 1), "left")
-    cols = [
+    out = surveyed.drop("grams", "places").join(classes.select("print", "copies"), "print").join(cut, "print", "left")
+    return out.select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-    ]
-    return out.select(*cols, *([F.when(whole, F.lit(b"")).otherwise(F.col("kept_bytes")).alias("kept_bytes")] if keep_bytes else []))
+    )
+
+
+def without_repeats(docs: DataFrame, length: int = 200, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``docs`` with kept_bytes, the bytes that ``repeated_passages`` leaves of each row's text;
+    null where it loses none. All rows and columns stay, rows that repeat and null ids too; null
+    texts lose nothing. ``docs`` is read twice and must give the same texts."""
+    bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    _, classes, cut = _analysed(bare, length, group_rows, True)
+    whole = classes.where((F.col("copies") > 1) & (F.col("size") >= length)).select("print", F.lit(b"").alias("kept_bytes"))
+    gone = cut.select("print", "kept_bytes").unionByName(whole).withColumnRenamed("print", "_print")
+    return docs.join(gone, _print_of("text") == F.col("_print"), "left").drop("_print")

@@ -45,12 +45,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without the bytes of 200-byte strings that stand elsewhere too. Where a cut splits
     a character, its remaining bytes go; n_chars follows the new text. Rows of equal texts, which
     the stage before leaves none of, would all lose them; null texts stay null."""
-    docs = _numbered(docs, "numbered")
-    cut = passages.repeated_passages(docs.select(F.col("_row").alias("doc_id"), "text"), length=200, keep_bytes=True).where("n_removed > 0").select(F.col("doc_id").alias("_row"), F.try_validate_utf8("kept_bytes").alias("_valid"), F.make_valid_utf8("kept_bytes").alias("_left"))
-    left = F.coalesce("_valid", F.replace("_left", F.lit("�"), F.lit("")))
-    new = cut.select("_row", left.alias("_text"))
-    text = F.coalesce("_text", "text")
-    return docs.join(new, "_row", "left").select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast("long").alias("n_chars"))
+    cut = passages.without_repeats(docs.select(*COLUMNS), length=200)
+    valid, left = F.try_validate_utf8("kept_bytes"), F.make_valid_utf8("kept_bytes")
+    new = F.coalesce(valid, F.replace(left, F.lit("\ufffd"), F.lit("")))
+    return cut.withColumn("_text", new).select("doc_id", F.coalesce("_text", "text").alias("text"), "lang", "source", F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast("long").alias("n_chars"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,3 +172,70 @@ def test_cell_intervals(spark):
     shares.sort()
     m, wide = got["mixed"], shares[1949] - shares[50]
     assert abs(m.lower_95 - shares[50]) < 0.1 * wide and abs(m.upper_95 - shares[1949]) < 0.1 * wide
+
+
+def test_many_small_documents_share_a_batch_and_no_slice_is_long(monkeypatch):
+    """A batch a document, and each word an object of its own, was most of the time of a large table."""
+    import pyarrow as pa
+
+    class Gathered:
+        def mapInArrow(self, run, ddl):
+            return run
+
+    word = {"page": 1, "word_no": 0, "text": "Total", "x0": 0.0, "top": 0.0, "x1": 5.0, "bottom": 10.0, "review_paint": False, "paint": None}
+    words = [word, {**word, "word_no": 1, "text": "12.50", "x0": 6.0, "x1": 11.0, "paint": []}]
+    claim = {"field_no": 0, "path": "total", "value": "12.5", "evidence": ["12.50"], "page": None, "declared_kind": None}
+    n = 500
+    said = [None if i % 5 == 4 else words for i in range(n)]
+    told = [[claim, {**claim, "field_no": 1, "evidence": None if i % 2 else []}] for i in range(n)]
+    fields = lambda of: pa.list_(pa.struct([(k, t) for k, t in of.items()]))
+    w = fields({k: pa.string() if k == "text" else pa.bool_() if k == "review_paint" else pa.list_(pa.string()) if k == "paint" else pa.int64() if k == "word_no" else pa.int32() if k == "page" else pa.float64() for k in word})
+    c = fields({k: pa.list_(pa.string()) if k == "evidence" else pa.int32() if k in ("field_no", "page") else pa.string() for k in claim})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(said, w), pa.array(told, c)], names=["doc_id", "w", "c"])
+
+    monkeypatch.setattr(V, "gathered", lambda words, claims: Gathered())
+    run = V.verify(None, None)
+    whole = list(run(iter([batch])))
+    assert len(whole) == 1
+    rows = whole[0].to_pylist()
+    assert [(r["doc_id"], r["field_no"]) for r in rows] == [(i, k) for i in range(n) for k in (0, 1)]
+    assert [r["status"] for r in rows] == [s for i in range(n) for s in ("unsupported" if i % 5 == 4 else "verified", "unsupported")]
+    assert {r["found"] for r in rows if r["status"] == "verified"} == {"12.50"}
+    # slices begin anywhere; one document may be longer than a slice
+    for members in (1, 7, 100):
+        monkeypatch.setattr(V, "SLICE_MEMBERS", members)
+        parts = list(run(iter([batch.slice(3)])))
+        assert len(parts) > 10 and [r for p in parts for r in p.to_pylist()] == rows[6:]
+
+
+def test_windows_that_cannot_reach_the_least_score_are_not_compared(monkeypatch):
+    from factloom.functions import text
+
+    asked = []
+    ratio = text.indel_ratio
+    monkeypatch.setattr(text, "indel_ratio", lambda a, b: asked.append(b) or ratio(a, b))
+    assert text.best_window("purchase number qq", "total 1,234.50 dated 03/04/1996", 70.0)[0] < 70.0 and not asked
+    for short, long in (("invoice number", "the invoise number is 12"), ("abcdef", "xxabcxefxx"), ("abcd", "ab")):
+        assert text.best_window(short, long, 60.0) == text.best_window(short, long)
+
+
+def test_odd_blanks_of_plain_texts_keep_their_offsets():
+    from factloom.functions.text import normalise
+
+    for said in ("", " ", "a", "  a\t b\n\n", "\x1fa\x1c\x1d b ", "a a  a aa", "x y"):
+        chars, source = normalise(said + "é")
+        plain, offsets = normalise(said)
+        cut = len(chars) - 1 - (said[-1:].isspace() and chars[-2:-1] == " ")
+        assert (plain, offsets) == (chars[:cut], source[:cut])
+
+
+def test_what_is_gathered_and_what_is_oversize_agree(spark, monkeypatch):
+    for name, most in (("MAX_PAGES", 2), ("MAX_WORDS", 5), ("MAX_CHARS", 14)):
+        monkeypatch.setattr(V, name, most)
+    sizes = {1: [(1, "abc")], 2: [(1, "a"), (2, "b"), (3, "c")], 3: [(1, "a")] * 5, 4: [(1, "a")] * 6, 5: [(1, "x" * 14)], 6: [(1, "x" * 15)], 7: [(1, "x" * 7), (2, "x" * 7)], 8: [(1, "x" * 7), (1, "x" * 7)], 9: [(5, "a"), (9, "b")], 10: []}
+    words = [(d, page, k, text, 0.0, 0.0, 1.0, 1.0, False) for d, said in sizes.items() for k, (page, text) in enumerate(said)]
+    words = spark.createDataFrame(words, "doc_id long, page int, word_no long, text string, x0 double, top double, x1 double, bottom double, review_paint boolean")
+    claims = spark.createDataFrame([(d, 0, "a", '"a"', ["a"], None, None) for d in sizes], "doc_id long, field_no int, path string, value string, evidence array<string>, page int, declared_kind string")
+    over = {r.doc_id for r in V.oversize(words).collect()}
+    got = {r.doc_id: [(w.page, w.text) for w in r.w or []] for r in V.gathered(words, claims).collect()}
+    assert over == {2, 4, 6, 8} and got == {d: said for d, said in sizes.items() if d not in over}

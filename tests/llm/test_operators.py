@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import chat, neardup, neighbours, packing, passages, quality, secrets, sentencepieces, sharding, toxicity
+from factloom.llm import chat, components, neardup, neighbours, packing, passages, quality, secrets, sentencepieces, sharding, toxicity
 
 SCHEMA = "doc_id long, text string, node long, key string, `group` string, place int"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -87,6 +87,38 @@ def test_large_family_is_dealt_in_blocks(spark, monkeypatch):
     assert [got[i] for i in range(150)] == label
 
 
+def smallest_reachable(edges):
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    while any(label[a] != label[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+@pytest.mark.parametrize("block", [1 << 20, 7])
+def test_components_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(components, "BLOCK", block)
+    rng = random.Random(21)
+    path = rng.sample(range(-300, 300), 120)
+    edges = [*zip(path[:-1], path[1:], strict=True), *((1000, x) for x in range(1001, 1040)), *((rng.randrange(2000, 2080), rng.randrange(2000, 2080)) for _ in range(60)), (5000, 5000)]
+    edges += [(b, a) for a, b in edges[:20]] + edges[:20]
+    rng.shuffle(edges)
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+    assert len(got) == len({r.node for r in got})
+    assert {r.node: r.component for r in got} == smallest_reachable(edges)
+    assert components.connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_components_of_a_long_path_are_not_found_round_by_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, name, f=components.materialize: written.append(name) or f(df, name))
+    path = random.Random(22).sample(range(2000), 2000)
+    got = components.connected_components(spark.createDataFrame(list(zip(path[:-1], path[1:], strict=True)), "a long, b long")).collect()
+    assert {r.component for r in got} == {0} and len(got) == 2000
+    assert len(written) <= 2
+
+
 def test_chunk_keys_hold_every_pair_within_reach():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 256, (200, neardup.SYMBOLS)).astype(np.uint8)
@@ -694,6 +726,21 @@ def test_a_very_long_word_takes_seconds():
         assert time.process_time() - begun < 20 and model.decode([ids]) == [word]
 
 
+def test_words_of_all_lengths_are_probed_in_few_calls(monkeypatch):
+    """Ids as word by word, spelt characters too; the calls don't grow with the words or their ends."""
+    rng = random.Random(17)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "etaoin shr", "aé漢😀\0 ") for n in range(1, 64) for _ in range(2)]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, one = sentencepieces.Model(path).as_unigram(), sentencepieces.Model(path).as_unigram()
+    calls = []
+    monkeypatch.setattr(model, "probe", lambda h, f=model.probe: calls.append(h.size) or f(h))
+    ids = model.encode(texts)
+    assert len(calls) <= 16 * model.longest
+    for text, got in zip(texts, ids, strict=True):
+        points = [np.array([[ord(c) for c in w]]) for w in one._split("▁" * one.dummy_prefix + text.replace(" ", "▁"))]
+        assert got.tolist() == [int(x) for p in points for x in one._viterbi_long(p[0])]
+
+
 def test_viterbi_finds_the_best_sum():
     model = sentencepieces.load(public_tokenizers.path("piece_bpe_32k.model"), unigram=True)
     words_ = ["▁the", "▁then", "▁unit", "▁wxyz"]

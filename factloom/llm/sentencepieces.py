@@ -2,7 +2,7 @@
 
 Texts are cut before every space mark into words, which no piece of the vocabulary crosses
 (runs of marks form words of their own; see ``_split``). The distinct words of a batch are
-grouped by length, and the words of one length advance together: hashes of substrings probe
+grouped by length, and the words of a group advance together: hashes of substrings probe
 the sorted hashes of the pieces, and each step is a vectorised maximum.
 
 * Unigram models: Viterbi over the end positions; the best sum of scores and its backpointer
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import copy
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -44,6 +45,9 @@ LONG_WORD = 64
 #: Positions of a long word whose substrings are probed together.
 PROBED = 1 << 16
 _MUL = 0x9E3779B97F4A7C15
+#: A hash shifted by this leaves 20 bits.
+_SIEVE = U64(44)
+_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def _varint(raw: bytes, i: int) -> tuple[int, int]:
@@ -119,13 +123,20 @@ class Model:
         keys = np.array([self._key(self.pieces[i]) for i in usable], U64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(usable)[order]
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[self.keys >> _SIEVE] = True
         self._score()
 
     def _score(self) -> None:
         self.value = np.array(self.scores, np.float32)[self.ids]
         #: What a character outside the vocabulary costs.
         self.low = np.float32(self.value.min() - np.float32(10.0))
-        self.words: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words kept with their numbers; word i has the ids from _first[i] to _first[i + 1]."""
+        self.words: dict[str, int] = {}
+        self._kept, self._first = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def as_unigram(self) -> Model:
         """The same pieces and ids under a unigram model by rule: the piece of rank r among the
@@ -145,9 +156,14 @@ class Model:
         return _between(run[:, 0], run[:, -1], np.array([len(piece)]))[0]
 
     def probe(self, h: np.ndarray) -> np.ndarray:
-        """Places in the sorted keys, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, at, -1)
+        """Places in the sorted keys, -1 where there is none. The keys' first bits sort out most
+        hashes before the search."""
+        out = np.full(h.shape, -1, np.int64)
+        near = self.sieve[h >> _SIEVE]
+        some = h[near]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        out[near] = np.where(self.keys[at] == some, at, -1)
+        return out
 
     def _spell(self, char: str) -> list[int]:
         raw = char.encode("utf-8")
@@ -161,29 +177,51 @@ class Model:
         return np.array([x for i in ids for x in ([i] if i >= 0 else self._spell(next(left)))], np.int32)
 
     def _viterbi(self, points: np.ndarray) -> list[np.ndarray]:
+        """The ids of words of one length, a row of code points each."""
+        ids, count = self._best(points, np.full(len(points), points.shape[1]))
+        return np.split(ids, np.cumsum(count)[:-1])
+
+    def _best(self, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has. A row of code points is a
+        word, filled up behind its end; what is computed there is not read."""
         rows, n = points.shape
-        best = np.full((rows, n + 1), -np.inf, np.float32)
-        best[:, 0] = 0
-        back, piece = np.zeros((rows, n + 1), np.int64), np.full((rows, n + 1), -1, np.int64)
+        widest = min(self.longest, n)
         run = _prefixes(points)
+        # at[end - 1, word]: the places of the substrings that end there, the longest first
+        at = np.full((n, rows, widest), -1, np.int32)
+        for size in range(1, widest + 1):
+            at[size - 1 :, :, widest - size] = self.probe(_between(run[:, : n + 1 - size], run[:, size:], np.array([size]))).T
+        score = np.where(at >= 0, self.value[at], np.float32(-np.inf))
+        score[:, :, -1] = np.where(at[:, :, -1] >= 0, score[:, :, -1], self.low)
+        best = np.full((rows, widest + n + 1), -np.inf, np.float32)  # column widest + k for position k
+        best[:, widest] = 0
+        size_of, piece, all_rows = np.zeros((rows, n + 1), np.int32), np.full((rows, n + 1), -1, np.int32), np.arange(rows)
         for end in range(1, n + 1):
-            for size in range(min(self.longest, end), 0, -1):
-                at = self.probe(_between(run[:, end - size], run[:, end], np.full(rows, size)))
-                score = np.where(at >= 0, self.value[at], self.low if size == 1 else np.float32(-np.inf)) + best[:, end - size]
-                better = score > best[:, end]
-                best[:, end] = np.where(better, score, best[:, end])
-                back[:, end] = np.where(better, end - size, back[:, end])
-                piece[:, end] = np.where(better, np.where(at >= 0, self.ids[at], -1), piece[:, end])
-        out = []
-        for i in range(rows):
-            ids, odd, end = [], [], n
-            while end:
-                ids.append(int(piece[i, end]))
-                if ids[-1] < 0:
-                    odd.append(chr(points[i, end - 1]))
-                end = int(back[i, end])
-            out.append(self._spelt(ids[::-1], odd[::-1]))
-        return out
+            total = score[end - 1] + best[:, end : end + widest]
+            j = total.argmax(1)
+            best[:, end + widest] = total[all_rows, j]
+            found = at[end - 1, all_rows, j]
+            size_of[:, end] = widest - j
+            piece[:, end] = np.where(found >= 0, self.ids[found], -1)
+        # back from the ends, all words together; -2 where a word has begun already
+        steps, stops, end = [], [], lengths.copy()
+        while (end > 0).any():
+            steps.append(np.where(end > 0, piece[all_rows, end], -2))
+            stops.append(end.copy())
+            end -= size_of[all_rows, end]
+        back, stop = np.stack(steps[::-1], 1), np.stack(stops[::-1], 1)
+        held = back != -2
+        ids, count = back[held], held.sum(1)
+        odd = np.flatnonzero(ids < 0)
+        if len(odd):  # characters outside the vocabulary are spelt out
+            word = np.nonzero(held)[0][odd]
+            spelt = [self._spell(chr(c)) for c in points[word, stop[held][odd] - 1]]
+            times = np.ones(len(ids), np.int64)
+            times[odd] = [len(x) for x in spelt]
+            ids = np.repeat(ids, times)
+            ids[ids < 0] = [x for part in spelt for x in part]
+            np.add.at(count, word, times[odd] - 1)
+        return ids.astype(np.int32, copy=False), count
 
     def _viterbi_long(self, points: np.ndarray) -> np.ndarray:
         """The ids of one long word: its substrings of each size are probed together, then each
@@ -307,14 +345,7 @@ class Model:
     def _split(self, text: str) -> list[str]:
         """Words: cut before a mark that follows another character and after runs of marks
         that another mark's word doesn't continue."""
-        parts = text.split(MARK)
-        words, marks = [parts[0]] if parts[0] else [], 0
-        for p in parts[1:]:
-            marks += 1
-            if p:
-                words.append(MARK * marks + p)
-                marks = 0
-        return [*words, MARK * marks] if marks else words
+        return _WORD.findall(text)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, those of the library's encode."""
@@ -323,23 +354,48 @@ class Model:
             text = text.replace(" ", MARK)
             split.append(self._split((MARK if self.dummy_prefix and text else "") + text))
         if len(self.words) > KEPT_WORDS:
-            self.words = {}
-        new: dict[int, list[str]] = {}
-        for w in {w for words in split for w in words} - self.words.keys():
-            new.setdefault(len(w), []).append(w)
-        for n, words in new.items():
+            self._forget()
+        self._learn(set().union(*split) - self.words.keys())
+        out = []
+        for words in split:
+            which = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            first = self._first[which]
+            size = self._first[which + 1] - first
+            before = np.cumsum(size) - size
+            out.append(self._kept[np.repeat(first - before, size) + np.arange(size.sum())])
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Keep the words with their ids. Words of one length go together under a BPE model, those
+        of a range of lengths under a unigram model, in parts that bound the memory."""
+        learnt, found, counts = [], [self._kept], [np.empty(0, np.int64)]
+        groups: dict[int, list[str]] = {}
+        for w in new:
+            n = len(w)
             if n > LONG_WORD:
-                for w in words:
-                    self.words[w] = self._merge_long(w) if self.kind == _BPE else self._viterbi_long(np.frombuffer(w.encode("utf-32-le"), np.uint32).astype(np.int64))
-                continue
-            step = max(1, 200_000 // n)
+                learnt.append(w)
+                found.append(self._merge_long(w) if self.kind == _BPE else self._viterbi_long(np.frombuffer(w.encode("utf-32-le"), np.uint32).astype(np.int64)))
+                counts.append(np.array([len(found[-1])]))
+            else:
+                groups.setdefault(n if self.kind == _BPE else -(-n // 4) * 4, []).append(w)
+        for widest, words in groups.items():
+            step = max(1, 200_000 // widest)
             for i in range(0, len(words), step):
                 part = words[i : i + step]
-                points = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), n).astype(np.int64)
-                ids = self._merges(points) if self.kind == _BPE else self._viterbi(points)
-                self.words.update(zip(part, ids, strict=True))
-        none = np.empty(0, np.int32)
-        return [np.concatenate([self.words[w] for w in words]) if words else none for words in split]
+                raw = "".join([w.ljust(widest, "\0") for w in part]).encode("utf-32-le")
+                points = np.frombuffer(raw, np.uint32).reshape(len(part), widest).astype(np.int64)
+                if self.kind == _BPE:
+                    ids = self._merges(points)
+                    found += ids
+                    counts.append(np.array([len(x) for x in ids]))
+                else:
+                    ids, count = self._best(points, np.array([len(w) for w in part]))
+                    found.append(ids)
+                    counts.append(count)
+                learnt += part
+        self.words.update(zip(learnt, range(len(self.words), len(self.words) + len(learnt)), strict=True))
+        self._kept = np.concatenate(found)
+        self._first = np.concatenate([self._first, self._first[-1] + np.cumsum(np.concatenate(counts))])
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """The texts of id sequences; byte pieces are joined before they are read as UTF-8."""

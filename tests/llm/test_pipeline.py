@@ -212,3 +212,16 @@ def test_a_materialised_table_leaves_no_shuffle_behind(spark):
     assert not shuffled() - before
     assert sorted((r.k, r["count"]) for r in table.collect()) == [(k, 100) for k in range(5)] and rows.count() == 5
     assert spark.conf.get(key) == setting
+
+
+def test_near_duplicates_of_small_graphs_write_no_round_after_round(spark, monkeypatch):
+    """A long chain of near copies: every table of a round costs the driver plans and tasks."""
+    from factloom.llm import components
+
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, name, f=components.materialize: written.append(name) or f(df, name))
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join([f"x{k}" for k in range(i)] + words[i:]) for i in range(0, 300, 8)]  # near up to three apart
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in P.near_duplicates(spark, docs, "").collect()] == [0]
+    assert len(written) <= 4

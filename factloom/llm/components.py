@@ -1,4 +1,4 @@
-"""Connected components: blocks of edges contracted by numpy, then alternating large-star and
+"""Connected components: one block of edges contracted by numpy, or alternating large-star and
 small-star steps in DataFrames."""
 
 from __future__ import annotations
@@ -65,16 +65,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that an edge of ``edges`` (a, b: long) touches.
 
     The component is the smallest node that can be reached. Self loops and repeated edges
-    are harmless; nodes of self loops alone are left out. Every task first puts stars in place
-    of its edges, block by block, which shortens paths and drops what says nothing new. What fits
-    in one block then is contracted once more, and done. For more, each round is two aggregations
+    are harmless; nodes of self loops alone are left out. Distinct edges that fit in one block
+    are contracted in one task, and done. For more, each round is two aggregations
     with map-side combination and two joins on the node, which adaptive execution splits
     where a node has very many neighbours; no group is collected. The number of rounds grows
     with the logarithm of the diameter; the table of a round is deleted after the next. An empty
     input gives an empty result.
     """
-    edges = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    now = materialize(edges.mapInArrow(_contract, "u long, v long"), "cc")
+    u, v = F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")
+    now = materialize(edges.where("a <> b").select(u, v).distinct(), "cc")
     if (n := now.count()) <= BLOCK:
         if n:
             before, now = now, materialize(now.coalesce(1).mapInArrow(_contract, "u long, v long"), "cc")
@@ -87,9 +86,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _rounds(now: DataFrame) -> DataFrame:
-    """Stars (u, v: the smaller) of whole components, written, from those of blocks."""
-    before, now = now, materialize(now.distinct(), "cc")
-    discard(before)
+    """Stars (u, v: the smaller) of whole components, written, from distinct edges."""
     seen = _digest(now)
     while True:
         # large star: every neighbour above u points to the smallest node around u
